@@ -45,12 +45,12 @@ def _split_points(df: DataFrame, cols: list[str], order: Sequence[str], slices:
     keys = df.select(*cols)
     wanted = slices * POINTS_PER_SLICE
     total = keys.count()
-    picked = keys.withColumn("_h", F.xxhash64(*cols))
+    picked = keys.withColumn("_pick", F.xxhash64(*cols))
     if total > 4 * wanted:
         # Hashes are uniform over 64 bits: keep a share of about 4 * wanted / total.
         share = 4.0 * wanted / total
-        picked = picked.where(F.col("_h") < F.lit(int(-(2**63) + share * 2.0**64)))
-    points = picked.orderBy("_h").limit(wanted).drop("_h").orderBy(*sort_columns(order)).collect()
+        picked = picked.where(F.col("_pick") < F.lit(int(-(2**63) + share * 2.0**64)))
+    points = picked.orderBy("_pick").limit(wanted).drop("_pick").orderBy(*sort_columns(order)).collect()
     step = max(1, len(points) // slices)
     return points[step::step][: slices - 1]
 
