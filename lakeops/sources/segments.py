@@ -149,7 +149,7 @@ def _body(own: Column, dialect: Dialect) -> Column:
 
 def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, element: str, component: str, **select) -> DataFrame:
     lines = raw_lines(spark, path, line_sep, **select)
-    text = F.regexp_replace(F.regexp_replace("value", "^\\x{FEFF}", ""), "^\\s+|[\\r\\n]+$", "")
+    text = F.trim("value", F.lit(" \t\r\n\ufeff"))
     rows = lines.withColumn("_t", text).where("_t <> ''")
     rows = rows.withColumn("_p", _cut(F.col("_t"), F.lit(element), dialect)).drop("value", "_t")
     rows = rows.withColumn("_s", _named(F.col("_p"), F.lit(element), dialect)).drop("_p")
