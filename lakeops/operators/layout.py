@@ -87,6 +87,7 @@ def overlap_counts(stats: DataFrame, group: str) -> DataFrame:
         ["v", "kind", group],
         {"started": F.when(F.col("kind") == 0, one).otherwise(zero), "ended": F.when(F.col("kind") == 1, one).otherwise(zero)},
         {"files": F.when(F.col("kind") == 0, one).otherwise(zero)},
+        settle_input=True,
     )
     per = seen.groupBy(group).agg(
         F.max(F.when(F.col("kind") == 0, F.col("ended"))).alias("ended_before"),

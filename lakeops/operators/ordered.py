@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lakeops.session import settle
+
 SLICE = "_slice"
 CARRY = "_carry"
 POINTS_PER_SLICE = 16
@@ -101,15 +103,21 @@ def running(
     sums: dict[str, Column],
     totals: dict[str, Column] | None = None,
     slices: int | None = None,
+    settle_input: bool = False,
 ) -> DataFrame:
     """Running sums in ``order`` within ``keys``, plus whole-key ``totals`` of expressions.
 
+    The input is read for its split points, for slice totals and for the result.
+    ``settle_input`` writes a derived input down once, instead of computing it each time.
+
     Each slice is summed on its own.  One carrier row per (key, slice) sorts first in the
     slice and brings the sum of all earlier slices, so no join back is needed.
     """
     totals = totals or {}
     keys = list(keys)
     columns = df.columns
+    if settle_input:
+        df = settle(df, "ordered")
     values = {f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}
     parts = {f"_t_{k}": v for k, v in totals.items()}
     sliced = with_slice(df, keys, order, slices).withColumns({**values, **parts})
@@ -134,15 +142,15 @@ def running(
     return both.withColumns(outs).where(~F.col(CARRY)).select(*columns, *outs)
 
 
-def row_numbers(df, keys, order, name="rn", total=None, slices=None) -> DataFrame:
+def row_numbers(df, keys, order, name="rn", total=None, slices=None, settle_input=False) -> DataFrame:
     """ROW_NUMBER per key; ``total`` also adds the number of rows of the key."""
     one = F.lit(1).cast("long")
-    return running(df, keys, order, {name: one}, {total: one} if total else {}, slices)
+    return running(df, keys, order, {name: one}, {total: one} if total else {}, slices, settle_input)
 
 
-def ntile(df, keys, order, tiles: int, name="tile", slices=None) -> DataFrame:
+def ntile(df, keys, order, tiles: int, name="tile", slices=None, settle_input=False) -> DataFrame:
     """NTILE(tiles): larger tiles first, as in SQL."""
-    numbered = row_numbers(df, keys, order, "_rn", "_n", slices)
+    numbered = row_numbers(df, keys, order, "_rn", "_n", slices, settle_input)
     at = F.col("_rn") - 1
     small = F.floor(F.col("_n") / tiles)
     big_tiles = F.col("_n") % tiles
@@ -183,6 +191,7 @@ def rank_columns(df, keys, order, outs: dict[str, str], slices=None) -> DataFram
         {"_upto": F.col("_n"), "_dense": F.lit(1).cast("long")},
         {"_total": F.col("_n")},
         slices,
+        settle_input=True,
     )
     rank = F.col("_upto") - F.col("_n") + 1
     forms = {
@@ -206,6 +215,7 @@ def row_frames(
     build: Callable[[WindowSpec, WindowSpec], dict[str, Column]],
     block_rows: int = 100_000,
     slices: int | None = None,
+    settle_input: bool = False,
 ) -> DataFrame:
     """Expressions over a bounded row frame (LAG, LEAD, moving averages).
 
@@ -215,7 +225,7 @@ def row_frames(
     """
     if max(preceding, following) > block_rows:
         raise ValueError("frame is larger than a block")
-    numbered = row_numbers(df, keys, order, "_rn", slices=slices)
+    numbered = row_numbers(df, keys, order, "_rn", slices=slices, settle_input=settle_input)
     block = F.floor((F.col("_rn") - 1) / block_rows)
     at = (F.col("_rn") - 1) % block_rows
     own = F.struct(block.alias("b"), F.lit(True).alias("own"))

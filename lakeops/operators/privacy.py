@@ -75,7 +75,7 @@ def token_map(df: DataFrame, column: str, salt: str) -> DataFrame:
     """(value, token): opaque TOK_ tokens.  Numbers follow the salted hash, so a token
     says nothing about its value; NULL has no token."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    numbered = row_numbers(values.withColumn("_h", keyed_hash("value", salt)), [], ["_h"], "_n")
+    numbered = row_numbers(values.withColumn("_h", keyed_hash("value", salt)), [], ["_h"], "_n", settle_input=True)
     return numbered.select("value", F.concat(F.lit("TOK_"), F.lpad(F.col("_n").cast("string"), 10, "0")).alias("token"))
 
 

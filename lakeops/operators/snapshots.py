@@ -117,7 +117,7 @@ def rows_per_version(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     versions = log.select("version").distinct().select("version", F.lit(0).cast("long").alias("d"))
     per = deltas.select(F.col("s.v").alias("version"), F.col("s.d").alias("d")).unionByName(versions)
     net = per.groupBy("version").agg(F.sum("d").alias("d"))
-    return running(net, [], ["version"], {"n_rows": F.col("d")}).drop("d")
+    return running(net, [], ["version"], {"n_rows": F.col("d")}, settle_input=True).drop("d")
 
 
 def retention(log: DataFrame, keys: Sequence[str], keep_from: int) -> DataFrame:

@@ -45,7 +45,7 @@ def _(t):
 )
 def _(t):
     per = t.orders.groupBy("o_custkey").agg(total("o_totalprice").alias("value"))
-    return o.ntile(per, [], ["-value", "o_custkey"], 4)
+    return o.ntile(per, [], ["-value", "o_custkey"], 4, settle_input=True)
 
 
 @query(
@@ -154,7 +154,7 @@ def _(t):
 )
 def _(t):
     per = t.events.groupBy("event_type", day("ts").alias("day")).agg(F.count("*").alias("n"))
-    return o.running(per, ["event_type"], ["day"], {"stacked": F.col("n")})
+    return o.running(per, ["event_type"], ["day"], {"stacked": F.col("n")}, settle_input=True)
 
 
 # --- sort and top-k -----------------------------------------------------------------
