@@ -34,7 +34,16 @@ def shipped_sql(before: bool, keys="l_orderkey") -> str:
 
 TS = f"WITH t AS ({shipped_sql(True)}), s AS ({shipped_sql(False)}) "
 JOINED = "t FULL JOIN s ON t.l_orderkey = s.l_orderkey"
-S = {k: F.col(f"s.{k}") for k in ("l_orderkey", "lines", "qty", "last_ship", "state")}
+
+
+def src(name: str):
+    """A column of the merge source."""
+    return F.col(f"s.{name}")
+
+
+def src_row(**changed):
+    """All columns of a feed row, some replaced."""
+    return {k: src(k) for k in ("l_orderkey", "lines", "qty", "last_ship", "state")} | changed
 
 
 @query(
@@ -78,11 +87,11 @@ def _(t):
 def branches():
     """Update large feeds, delete when the feed ships nothing much, else keep; insert small ones as 'late'."""
     matched = [
-        c.Branch("update", F.col("s.qty") > 60, {"qty": S["qty"], "state": F.lit("big")}),
+        c.Branch("update", F.col("s.qty") > 60, {"qty": src("qty"), "state": F.lit("big")}),
         c.Branch("delete", F.col("s.lines") == 1),
         c.Branch("update", F.col("s.qty") > 40, {"state": F.lit("mid")}),
     ]
-    fresh = [c.Branch("insert", F.col("s.lines") >= 2, {**S, "state": F.lit("late")})]
+    fresh = [c.Branch("insert", F.col("s.lines") >= 2, src_row(state=F.lit("late")))]
     return matched, fresh
 
 
@@ -114,8 +123,8 @@ def _(t):
         shipped(t, True),
         shipped(t, False),
         ["l_orderkey"],
-        [c.Branch("update", None, {"qty": S["qty"], "state": F.lit("active")})],
-        [c.Branch("insert", None, {**S, "state": F.lit("active")})],
+        [c.Branch("update", None, {"qty": src("qty"), "state": F.lit("active")})],
+        [c.Branch("insert", None, src_row(state=F.lit("active")))],
         [
             c.Branch("delete", F.col("t.last_ship") < "1995-06-01"),
             c.Branch("update", None, {"state": F.lit("inactive")}),
@@ -274,8 +283,8 @@ def _(t):
 )
 def _(t):
     add = {x: F.col(f"t.{x}") + F.col(f"s.{x}") for x in ("lines", "qty")}
-    matched = [c.Branch("update", None, {**add, "last_ship": S["last_ship"]})]
-    return c.merge(shipped(t, True), shipped(t, False), ["l_orderkey"], matched, [c.Branch("insert", None, S)])
+    matched = [c.Branch("update", None, {**add, "last_ship": src("last_ship")})]
+    return c.merge(shipped(t, True), shipped(t, False), ["l_orderkey"], matched, [c.Branch("insert", None, src_row())])
 
 
 @query(
@@ -294,8 +303,8 @@ def _(t):
         shipped(t, True),
         shipped(t, False),
         ["l_orderkey"],
-        [c.Branch("update", None, {"lines": S["lines"], "qty": S["qty"], "last_ship": S["last_ship"], "state": grew})],
-        [c.Branch("insert", None, {**S, "state": size})],
+        [c.Branch("update", None, {"lines": src("lines"), "qty": src("qty"), "last_ship": src("last_ship"), "state": grew})],
+        [c.Branch("insert", None, src_row(state=size))],
     )
 
 
