@@ -171,16 +171,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     hops = settle(both_ways(edges.select("src", "dst")), "component-edges")
     state = cut_lineage(vertices.select("id", F.col("id").alias("label")))
     while True:
-        near = hops.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("m"))
-        hooked = cut_lineage(
-            state.join(near, F.col("id") == F.col("dst"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        )
-        jump = hooked.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        jumped = hooked.join(jump, F.col("label") == F.col("_i")).select("id", "old", F.col("_l").alias("label"))
-        state = cut_lineage(jumped)
-        if state.where("label < old").isEmpty():
+        known = state.select(F.col("id").alias("src"), "label")
+        near = hops.join(known, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
+        hooked = state.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("to"))
+        # The label of the label, from the state before this round: never larger.
+        jump = state.select(F.col("id").alias("to"), "label")
+        new = cut_lineage(hooked.join(jump, "to").select("id", "old", "label"))
+        state = new.select("id", "label")
+        if new.where("label < old").isEmpty():
             return state.select("id", F.col("label").alias("component"))
-        state = state.select("id", "label")
 
 
 def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -350,13 +349,22 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         row = F.struct("weight", "src", "dst", "ca", "cb")
         per = live.select(F.explode(F.array("ca", "cb")).alias("c"), row.alias("e")).groupBy("c").agg(F.min("e").alias("e"))
-        picks = cut_lineage(per.select("e.*").distinct())
-        chosen.append(picks.select("src", "dst", "weight"))
-        joined = picks.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        parts = joined.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        new = connected_components(parts, joined)
-        a = new.select(F.col("id").alias("ca"), F.col("component").alias("na"))
-        b = new.select(F.col("id").alias("cb"), F.col("component").alias("nb"))
+        other = F.when(F.col("e.ca") == F.col("c"), F.col("e.cb")).otherwise(F.col("e.ca"))
+        picks = cut_lineage(per.select("c", "e", other.alias("to")))
+        chosen.append(picks.select("e.src", "e.dst", "e.weight"))
+        # Components point along their edge.  The order of edges is total, so the only loops
+        # are pairs that chose the same edge; the smaller one becomes the root.
+        back = picks.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+        tops = cut_lineage(picks.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:
+            jump = tops.select(F.col("c").alias("to"), F.col("to").alias("top"))
+            new = cut_lineage(tops.join(jump, "to").select("c", F.col("to").alias("old"), F.col("top").alias("to")))
+            tops = new.select("c", "to")
+            if new.where("old <> to").isEmpty():
+                break
+        a = tops.select(F.col("c").alias("ca"), F.col("to").alias("na"))
+        b = tops.select(F.col("c").alias("cb"), F.col("to").alias("nb"))
         moved = live.join(a, "ca").join(b, "cb").where("na <> nb")
         live = cut_lineage(moved.select("src", "dst", "weight", F.col("na").alias("ca"), F.col("nb").alias("cb")))
     if not chosen:

@@ -44,13 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that iterative plans stay short
-    and a lost executor costs a re-read instead of a recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -65,3 +58,13 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise the state of a loop.
+
+    A written table, not ``checkpoint()``: a checkpointed plan keeps the constraints that
+    Catalyst derived for it, and in a loop these multiply from round to round until
+    planning takes longer than the job.
+    """
+    return settle(df, "round")
