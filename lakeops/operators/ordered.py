@@ -22,6 +22,7 @@ from lakeops.session import settle
 SLICE = "_slice"
 CARRY = "_carry"
 POINTS_PER_SLICE = 16
+TREE_POINTS = 40
 
 
 def parse_order(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -68,24 +69,38 @@ def with_slice(
     if not points:
         return df.withColumn(SLICE, F.lit(0))
     types = {f.name: f.dataType for f in df.schema.fields}
-    bounds = F.array(
-        *[F.struct(*[F.lit(p[c]).cast(types[c]).alias(f"f{i}") for i, c in enumerate(cols)]) for p in points]
-    )
 
-    def not_after(bound: Column) -> Column:
+    def literal(point) -> list[Column]:
+        return [F.lit(point[c]).cast(types[c]) for c in cols]
+
+    def not_after(bound: Sequence[Column]) -> Column:
         """bound <= this row, compared column by column (NULL lowest, as Spark sorts)."""
         verdict = F.lit(True)
-        for i, (c, up) in reversed(list(enumerate(items))):
-            b, r = bound[f"f{i}"], F.col(c)
+        for b, (c, up) in reversed(list(zip(bound, items))):
+            r = F.col(c)
             low, high = (b, r) if up else (r, b)
             less = F.coalesce(low < high, low.isNull() & high.isNotNull())
             verdict = less | (b.eqNullSafe(r) & verdict)
         return verdict
 
+    if len(points) <= TREE_POINTS:
+        # Few cuts: a decision tree, which Spark compiles.
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(not_after(literal(points[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+        return df.withColumn(SLICE, tree(0, len(points)))
+    # Many cuts: a binary search in one constant array, as compiled code has a size limit.
+    names = [f"f{i}" for i in range(len(cols))]
+    bounds = F.array(*[F.struct(*[v.alias(n) for n, v in zip(names, literal(p))]) for p in points])
+
     def halve(state: Column, _: Column) -> Column:
         lo, hi = state["lo"], state["hi"]
         mid = F.shiftright(lo + hi, 1)
-        right = (lo < hi) & not_after(F.get(bounds, mid))
+        at = F.get(bounds, mid)
+        right = (lo < hi) & not_after([at[n] for n in names])
         return F.struct(
             F.when(right, mid + 1).otherwise(lo).alias("lo"),
             F.when((lo < hi) & ~right, mid).otherwise(hi).alias("hi"),

@@ -80,3 +80,13 @@ def test_global_order(df, rows):
 def test_hot_key_is_spread_over_slices(df):
     per = o.with_slice(df, ["k"], ["o", "id"], 10).where("k = 'hot'").groupBy(o.SLICE).count().collect()
     assert len(per) >= 5 and max(r["count"] for r in per) < 200
+
+
+def test_many_cuts_use_the_array_search(df):
+    few, many = o.with_slice(df, ["k"], ["-o", "id"], 10), o.with_slice(df, ["k"], ["-o", "id"], 60)
+    both = few.withColumnRenamed(o.SLICE, "few").join(many.select("id", o.SLICE), "id")
+    # Both rise with the same order, so a finer slice never lies in two places of the coarse order.
+    spread = both.groupBy("few").agg(F.min(o.SLICE).alias("lo"), F.max(o.SLICE).alias("hi")).orderBy("few").collect()
+    assert len(spread) == 10 and all(a["hi"] <= b["lo"] for a, b in zip(spread, spread[1:]))
+    out = o.row_numbers(df, ["k"], ["-o", "id"], slices=60)
+    assert got(out, "rn") == got(o.row_numbers(df, ["k"], ["-o", "id"], slices=3), "rn")
