@@ -270,12 +270,13 @@ def distances(hops: DataFrame, source: int) -> DataFrame:
             return best
 
 
-def shortest_path(hops: DataFrame, source: int, target: int) -> DataFrame:
+def shortest_path(hops: DataFrame, source: int, target: int, best: DataFrame | None = None) -> DataFrame:
     """(step, id, distance) along one shortest path; among equals the smallest parent.
 
-    The walk back is one lookup per step of the path.
+    The walk back is one lookup per step of the path.  ``best`` may hand over known
+    distances from the source.
     """
-    best = settle(distances(hops, source), "distances")
+    best = distances(hops, source) if best is None else best
     a = best.select(F.col("id").alias("src"), F.col("distance").alias("da"))
     b = best.select(F.col("id").alias("dst"), F.col("distance").alias("db"))
     tight = hops.join(a, "src").join(b, "dst").where((F.col("da") + F.col("weight")) == F.col("db"))

@@ -329,8 +329,9 @@ def _(t):
 def _(t):
     hops = settle(graph(t, RETURNED, directed=False).hops())
     start = hub(hops)
-    goal = g.distances(hops, start).orderBy(F.col("distance").desc(), "id").first()["id"]
-    return g.shortest_path(hops, start, goal)
+    best = g.distances(hops, start)
+    goal = best.orderBy(F.col("distance").desc(), "id").first()["id"]
+    return g.shortest_path(hops, start, goal, best)
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,15 +104,25 @@ def read_delimited(
     return parsed.select("_r.*", *extra)
 
 
-def union_by_header(spark: SparkSession, path, delimiter: str = ",", **options) -> DataFrame:
-    """Delimited files with different headers as one table; absent columns are NULL.
+def union_by_header(spark: SparkSession, path, delimiter: str = ",", quote: str = '"', **select) -> DataFrame:
+    """Delimited files with different headers as one table of text; absent columns are NULL.
 
-    Files are grouped by header, so there is one scan per distinct header, not per file.
+    One scan: each line is parsed by the header of its own file.  Only the distinct
+    headers (one per schema version) come to the driver.  One record per line.
     """
-    heads = numbered_lines(spark, path).where(F.col(LINE) == 1)
-    groups = heads.groupBy("value").agg(F.collect_list(FILE).alias("files")).orderBy("value").collect()
-    parts = [read_delimited(spark, g["files"], delimiter=delimiter, **options) for g in groups]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lines = numbered_lines(spark, path, **select).select(FILE, LINE, "value")
+    heads = lines.where(F.col(LINE) == 1).select(FILE, F.col("value").alias("_head"))
+    versions = [r["_head"] for r in heads.select("_head").distinct().orderBy("_head").collect()]
+    names = {h: [n.strip().strip(quote) for n in h.split(delimiter)] for h in versions}
+    every = list(dict.fromkeys(n for h in versions for n in names[h]))
+    options = {"sep": delimiter, "quote": quote}
+    parsed = []
+    for h in versions:
+        row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names[h]), options)
+        cells = [row[n] if n in names[h] else F.lit(None).cast("string") for n in every]
+        parsed.append(F.when(F.col("_head") == h, F.struct(*[c.alias(n) for c, n in zip(cells, every)])))
+    body = lines.where(F.col(LINE) > 1).join(heads, FILE)
+    return body.select(F.coalesce(*parsed).alias("_r")).select("_r.*")
 
 
 def with_lineage(df: DataFrame, dataset: str) -> DataFrame:
