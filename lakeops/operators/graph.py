@@ -198,12 +198,15 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         return settle(kept.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc-edges")
 
     while not rest.isEmpty():
-        both = hops.select(F.col("src").alias("id")).intersect(hops.select(F.col("dst").alias("id")))
-        core = cut_lineage(both)
-        single = cut_lineage(rest.join(core, "id", "left_anti"))
+        outs = hops.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
+        ins = hops.select(F.col("dst").alias("id")).distinct().withColumn("in", F.lit(True))
+        flagged = rest.join(outs, "id", "left").join(ins, "id", "left")
+        marked = cut_lineage(flagged.select("id", (F.col("out").isNull() | F.col("in").isNull()).alias("alone")))
+        single = marked.where("alone").select("id")
         if not single.isEmpty():
             done.append(single.select("id", F.col("id").alias("component")))
-            rest, hops = core, inside(core)
+            rest = marked.where("NOT alone").select("id")
+            hops = inside(rest)
             continue
         colour = cut_lineage(rest.select("id", F.col("id").alias("label")))
         while True:
@@ -222,7 +225,8 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         while not frontier.isEmpty():
             back = same.join(frontier.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").distinct()
             frontier = cut_lineage(back.join(found, "id", "left_anti"))
-            found = cut_lineage(found.unionByName(frontier))
+            found = found.unionByName(frontier)
+        found = cut_lineage(found)
         done.append(found.select("id", F.col("label").alias("component")))
         rest = cut_lineage(rest.join(found, "id", "left_anti"))
         hops = inside(rest)
@@ -319,7 +323,7 @@ def betweenness(vertices: DataFrame, hops: DataFrame, sources: DataFrame | None
         if level.isEmpty():
             break
         levels.append(level)
-        seen = cut_lineage(seen.unionByName(level.select("source", "id")))
+        seen = seen.unionByName(level.select("source", "id"))
     parts = []
     below = levels[-1].withColumn("dep", F.lit(0.0))
     for upper in reversed(levels[:-1]):
