@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators.ordered import rank_columns, row_numbers
-from lakeops.session import cut_lineage, settle
+from lakeops.session import Rounds, cut_lineage, settle
 
 
 @dataclass(frozen=True)
@@ -162,24 +162,38 @@ def ranked_scores(scores: DataFrame, digits: int = 9) -> DataFrame:
     return row_numbers(rounded, [], ["-score", "id"], "place")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id of the component; edge direction is ignored.
+def component_stars(edges: DataFrame) -> DataFrame:
+    """(id, component) of every vertex that has an edge to another one.
 
-    Each round takes the smallest label of the neighbours and then jumps to the label of
-    that label, so long chains shrink fast.
+    Large-star and small-star passes: each vertex ties its larger neighbours, then its
+    smaller ones, to the smallest vertex it knows, until the edges are stars around the
+    smallest id of each component.  The rounds grow with the logarithm of the vertices, and
+    of the rounds' tables only the last one is kept.
     """
-    hops = settle(both_ways(edges.select("src", "dst")), "component-edges")
-    state = cut_lineage(vertices.select("id", F.col("id").alias("label")))
+    high, low = F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")
+    state = Rounds(edges.sparkSession, "component-round")
+    now = state.put(edges.where("src <> dst").select(high, low).distinct())
+    seen = None
     while True:
-        known = state.select(F.col("id").alias("src"), "label")
-        near = hops.join(known, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
-        hooked = state.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        # The label of the label, from the state before this round: never larger.
-        jump = state.select(F.col("id").alias("to"), "label")
-        new = cut_lineage(hooked.join(jump, "to").select("id", "old", "label"))
-        state = new.select("id", "label")
-        if new.where("label < old").isEmpty():
-            return state.select("id", F.col("label").alias("component"))
+        marks = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if marks == seen or not marks["n"]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+                now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            )
+        seen = marks
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        ties = F.array(F.struct(F.col("a").alias("a")), F.struct(F.col("b").alias("a")))
+        small = large.join(least, "a").select(F.explode(ties).alias("t"), "m").select("t.a", F.col("m").alias("b"))
+        now = state.put(small.where("a <> b").distinct())
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of the component; edge direction is ignored."""
+    found = component_stars(edges)
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
