@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeops.llm import imatch, ledger, mixing, neardup, packing, urlglobs
+from lakeops.llm import captures, cotraining, imatch, language, ledger, mixing, neardup, packing, toxicity, urlglobs
+from lakeops.llm.common import fold
 from lakeops.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -51,6 +52,17 @@ def url_globs(t):
     return urlglobs.judge(t.pages, [urlglobs.domain_rule(r, v) for r, v in URL_RULES])
 
 
+@query("op4_cotraining")
+def cotraining_quality(t):
+    return cotraining.score(t.documents, cotraining.fit(t.documents, t.labels))
+
+
+@query("op5_capture_index")
+def capture_index(t):
+    found = captures.archive_history(t.pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
+
+
 @query(
     "op6_rule_ledger",
     f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -77,6 +89,13 @@ def imatch_fingerprints(t):
     return imatch.with_neighbours(t.documents)
 
 
+@query("op8_text_cnn")
+def text_cnn(t):
+    held = fold("doc_id", 5) == 0
+    model = toxicity.fit(t.documents, t.labels, where=~held)
+    return toxicity.score(t.documents, model).withColumn("held_out", held)
+
+
 @query(
     "op9_weighted_mix",
     f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD_SQL}))::BIGINT AS size, length(coalesce(text, '')) AS chars,
@@ -96,3 +115,10 @@ def imatch_fingerprints(t):
 )
 def weighted_mix(t):
     return mixing.mix(t.documents).drop("text_hash")
+
+
+@query("op10_zstd_language")
+def zstd_language(t):
+    held = fold("doc_id", 3) == 1
+    model = language.fit(t.documents, where=~held)
+    return language.predict(t.documents, model).withColumn("held_out", held)
