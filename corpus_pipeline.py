@@ -15,15 +15,12 @@ LABELS = "{}/labels.parquet"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(LABELS.format(sf_dir))
-    model = toxicity.fit(docs, labels)
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(LABELS.format(sf_dir))
-    model = cotraining.fit(docs, labels)
-    return cotraining.score(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
+    return cotraining.good(docs, cotraining.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ The fit uses bounded samples: ``fit_rows`` labelled and ``pool_rows`` unlabelled
 Defined results: a null or empty text has the features of an empty text; a null source or language
 is a value of its own.  Without labels of both kinds every document is kept with score 1.  Rows
 are scored one by one, so repeated rows stay.  An empty table gives no rows.  ``lang`` and
-``source`` may be missing; columns to keep are named by ``keep``.
+``source`` may be missing; ``good`` keeps all columns, ``score`` the id alone.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds
 def features(documents: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` beside what the views read."""
     lang, source = ((F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")) for c in ("lang", "source"))
-    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
     return documents.select(*kept, utf8().alias("_t"), lang.alias("_l"), source.alias("_o"))
 
 
@@ -227,9 +227,8 @@ def fit(
     return train(of_batch(table[0]), np.array([r["quality"] for r in rows], np.int64), of_batch(table[1]), rounds, sure, spared)
 
 
-def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: doc_id) with text_score, meta_score, score and kept."""
-    keep = keep or ["doc_id"]
+def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` under stand-in names, which no input can clash with, the scores and the verdict."""
 
     def build():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -241,7 +240,16 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
         return run
 
     types = ", ".join(f"_k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = map_batches(features(documents, keep), build, f"{types}, _a double, _b double, _s double, _g boolean")
-    renamed = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
-    scores = [F.col(a).alias(b) for a, b in (("_a", "text_score"), ("_b", "meta_score"), ("_s", "score"), ("_g", "kept"))]
-    return found.select(*renamed, *scores)
+    return map_batches(features(documents, keep), build, f"{types}, _a double, _b double, _s double, _g boolean")
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, kept) of every row."""
+    return scored(documents, model, ["doc_id"]).toDF("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+def good(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` that are kept."""
+    names = documents.columns
+    found = scored(documents, model, names).where("_g")
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)])

@@ -98,13 +98,16 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     # Equal rows share alike, so that the join gives each of them its own part.
     plan = plan.groupBy("doc_id", "text_hash").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"), F.min("size").alias("_size"))
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_taken", "_size")
-    both = documents.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    # The row travels as one column, so that no name of the input can clash with these.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    both = rows.join(plan, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
     full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
-    each = both.withColumn("_rest", F.explode(F.concat(F.array_repeat(F.lit(0), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_rest")), " ")
-    each = each.withColumn("text", F.when(F.col("_rest") > 0, cut).otherwise(F.col("text")))
+    none = F.array().cast("array<int>")
+    each = both.withColumn("_rest", F.explode(F.concat(F.array_repeat(F.lit(0), full), F.when(rest > 0, F.array(rest)).otherwise(none))))
+    part, row = F.col("_rest") > 0, F.col("_row")
+    cut = F.array_join(F.slice(F.regexp_extract_all(row["text"], F.lit(WORD), F.lit(0)), F.lit(1), F.col("_rest")), " ")
+    new = {"text": F.when(part, cut).otherwise(row["text"])}
     if "n_chars" in documents.columns:
-        counted = F.when(F.col("_rest") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        each = each.withColumn("n_chars", counted)
-    return each.select(*documents.columns)
+        new["n_chars"] = F.when(part, F.length(cut).cast(documents.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return each.select(*[new.get(c, row[c]).alias(c) for c in documents.columns])
