@@ -102,8 +102,9 @@ class Automaton:
                 width = min(block, longest - at)
                 chars = np.full((len(some), width), 256, np.uint16)
                 for row, i in enumerate(some):
-                    part = np.frombuffer(texts[i], np.uint8, max(0, min(width, len(texts[i]) - at)), at) if len(texts[i]) > at else b""
-                    chars[row, : len(part)] = part
+                    if len(texts[i]) > at:
+                        count = min(width, len(texts[i]) - at)
+                        chars[row, :count] = np.frombuffer(texts[i], np.uint8, count, at)
                 for k in range(width):
                     c = chars[:, k]
                     moved = now << np.uint64(1)
