@@ -141,18 +141,26 @@ def directed_triangles(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """(id, score); scores sum to 1, the score of vertices without out-edges is spread evenly."""
+    """(id, score); scores sum to 1, the score of vertices without out-edges is spread evenly.
+
+    The edges are dealt by source once and kept, so a round shuffles the shares and what
+    comes in, not the edges; a lost executor deals its part anew from the written table.
+    """
+    spark = edges.sparkSession
     hops = settle(edges.select("src", "dst"), "pagerank-edges")
     out = hops.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outs"))
-    base = cut_lineage(vertices.select("id").join(out, "id", "left").fillna(0, ["outs"]))
+    base = settle(vertices.select("id").join(out, "id", "left").fillna(0, ["outs"]), "pagerank-vertices")
     n = base.count()
+    dealt = hops.repartition("src").persist()
+    rounds = Rounds(spark, "pagerank-round")
     state = base.withColumn("score", F.lit(1.0 / n))
     for _ in range(iterations):
         dangling = state.agg(F.coalesce(F.sum(F.when(F.col("outs") == 0, F.col("score"))), F.lit(0.0))).scalar()
         shares = state.where("outs > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("outs")).alias("share"))
-        got = hops.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        got = dealt.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + dangling / n)
-        state = cut_lineage(state.join(got, "id", "left").select("id", "outs", score.alias("score")))
+        state = rounds.put(state.join(got, "id", "left").select("id", "outs", score.alias("score")))
+    dealt.unpersist()
     return state.select("id", "score")
 
 
@@ -250,36 +258,35 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs(hops: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(source, id, depth, parent) from every row of ``sources`` (one column ``source``).
 
-    The parent is the smallest id one step nearer; a source has none.
+    The parent is the smallest id one step nearer; a source has none.  The state is one table,
+    written anew each round; the vertices of the last depth are the frontier.
     """
     hops = settle(hops.where("src <> dst").select("src", "dst"), "bfs-edges")
-    seen = cut_lineage(
-        sources.select("source", F.col("source").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
-    )
-    frontier, depth = seen, 0
+    start = sources.select("source", F.col("source").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
+    rounds, depth = Rounds(hops.sparkSession, "bfs-round"), 0
+    state = rounds.put(start)
     while max_depth is None or depth < max_depth:
+        step = state.where(F.col("depth") == depth).select("source", F.col("id").alias("src")).join(hops, "src")
         depth += 1
-        step = frontier.select("source", F.col("id").alias("src")).join(hops, "src")
         reached = step.groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        fresh = reached.join(seen.select("source", "id"), ["source", "id"], "left_anti")
-        frontier = cut_lineage(fresh.select("source", "id", F.lit(depth).alias("depth"), "parent"))
-        if frontier.isEmpty():
+        fresh = reached.join(state.select("source", "id"), ["source", "id"], "left_anti")
+        state = rounds.put(state.unionByName(fresh.select("source", "id", F.lit(depth).alias("depth"), "parent")))
+        if state.where(F.col("depth") == depth).isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return state
 
 
 def distances(hops: DataFrame, source: int) -> DataFrame:
     """(id, distance) by total weight from one source; only improved vertices go on."""
     hops = settle(hops.select("src", "dst", "weight"), "path-edges")
     best = hops.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("distance"))
-    frontier = best
+    frontier, rounds = best, Rounds(hops.sparkSession, "path-round")
     while True:
         step = frontier.select(F.col("id").alias("src"), "distance").join(hops, "src")
         offers = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
         merged = best.join(offers, "id", "full")
         better = F.col("distance").isNull() | (F.col("offer") < F.col("distance"))
-        state = cut_lineage(
+        state = rounds.put(
             merged.select("id", F.when(better, F.col("offer")).otherwise(F.col("distance")).alias("distance"), better.alias("better"))
         )
         frontier = state.where("better").select("id", "distance")

@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Numeric types from narrow to wide.
-NUMERIC_RANK = ["tinyint", "smallint", "int", "bigint", "float", "double"]
-
-
 def add_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """New columns, NULL in existing rows: name -> type."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
@@ -25,32 +22,37 @@ def reorder(df: DataFrame, column: str, after: str | None = None) -> DataFrame:
     return df.select(*rest[:at], column, *rest[at:])
 
 
+def meeting_type(spark: SparkSession, types: Sequence[str]) -> str:
+    """The type Spark gives to a value that may be of any of ``types``; text if there is none.
+
+    Text meets any other type as text: it may hold what no number or date can.
+    """
+    kinds = list(dict.fromkeys(t for t in types if t != "void"))
+    if len(kinds) < 2 or "string" in kinds:
+        return "string" if "string" in kinds else (kinds or ["void"])[0]
+    try:
+        return spark.range(0).select(F.coalesce(*[F.lit(None).cast(t) for t in kinds]).alias("v")).dtypes[0][1]
+    except AnalysisException:
+        return "string"
+
+
 def widen(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast columns to a wider numeric type; narrowing is refused."""
+    """Cast columns to a wider type; a type that does not hold all old values is refused."""
     have = dict(df.dtypes)
     for c, t in types.items():
-        if have[c] in NUMERIC_RANK and NUMERIC_RANK.index(t) < NUMERIC_RANK.index(have[c]):
+        if meeting_type(df.sparkSession, [have[c], t]) != t:
             raise ValueError(f"{c}: {have[c]} to {t} is not a widening")
     return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
 
 
-def common_type(a: str, b: str) -> str:
-    """Widest of two types; different non-numeric types meet as text."""
-    if a == b:
-        return a
-    if a in NUMERIC_RANK and b in NUMERIC_RANK:
-        return max(a, b, key=NUMERIC_RANK.index)
-    return "string"
-
-
 def widest_union(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of frames with different columns and types; absent columns are NULL."""
-    types: dict[str, str] = {}
-    for df in frames:
-        for c, t in df.dtypes:
-            types[c] = common_type(types.get(c, t), t)
-    cast = [df.select(*[F.col(c).cast(types[c]).alias(c) for c in df.columns]) for df in frames]
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), cast).select(*types)
+    seen: dict[str, list[str]] = {}
+    for name, kind in (field for df in frames for field in df.dtypes):
+        seen.setdefault(name, []).append(kind)
+    types = {name: meeting_type(frames[0].sparkSession, kinds) for name, kinds in seen.items()}
+    rows = [df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in df.columns]) for df in frames]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).select(*[F.col(f"`{c}`") for c in types])
 
 
 def map_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -1,8 +1,7 @@
 """Graph queries.
 
 ``trade``: who bought from whom (customer -> supplier; both are parties with one id
-space), weighted by quantity.  ``returns``: its sparse part, returned lines of 45 or more
-pieces.  ``typed``: trade by return flag.  ``supply``: supplier and part, two-sided.
+space), weighted by quantity.  ``typed``: trade by return flag.  ``supply``: supplier and part, two-sided.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from lakeops.plans.registry import query
 from lakeops.plans.relational import dsum
 from lakeops.session import settle
 
-RETURNED = "l_returnflag = 'R' AND l_quantity >= 45"
-
 
 def parties(t):
     sold = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(True).alias("sells"))
@@ -52,8 +49,7 @@ def und_sql(name: str = "u", edges: str = "e") -> str:
 
 
 VE = f"WITH RECURSIVE {V}, {e_sql()}"
-VR = f"WITH RECURSIVE {V}, {e_sql(RETURNED)}"
-VRU = f"{VR}, {und_sql()}"
+VEU = f"{VE}, {und_sql()}"
 HUB = "(SELECT src FROM u GROUP BY src ORDER BY COUNT(*) DESC, src LIMIT 1)"
 
 
@@ -78,10 +74,10 @@ def _(t):
 @query(
     "graph_edge_match",
     "N03",
-    f"{VR} SELECT a.name AS buyer, b.name AS seller, b.segment AS seller_segment, weight FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.nation = b.nation",
+    f"{VE} SELECT a.name AS buyer, b.name AS seller, b.segment AS seller_segment, weight FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.nation = b.nation",
 )
 def _(t):
-    rows = graph(t, RETURNED).triples().where("a.nation = b.nation")
+    rows = graph(t).triples().where("a.nation = b.nation")
     return rows.select(F.col("a.name").alias("buyer"), F.col("b.name").alias("seller"), F.col("b.segment").alias("seller_segment"), "weight")
 
 
@@ -127,11 +123,11 @@ def _(t):
 @query(
     "graph_negative_pattern",
     "N07",
-    f"""{VR} SELECT id, 'no_out' AS missing FROM v WHERE id NOT IN (SELECT src FROM e)
+    f"""{VE} SELECT id, 'no_out' AS missing FROM v WHERE id NOT IN (SELECT src FROM e)
         UNION ALL SELECT id, 'no_in' FROM v WHERE id NOT IN (SELECT dst FROM e)""",
 )
 def _(t):
-    net = graph(t, RETURNED)
+    net = graph(t)
     a = net.without_out().select("id", F.lit("no_out").alias("missing"))
     return a.unionByName(net.without_in().select("id", F.lit("no_in").alias("missing")))
 
@@ -139,11 +135,11 @@ def _(t):
 @query(
     "graph_variable_length",
     "N08 N29",
-    f"""{VRU}, h AS (SELECT {HUB} AS s), one AS (SELECT DISTINCT dst FROM u, h WHERE src = s), two AS (SELECT DISTINCT u.dst FROM u JOIN one ON u.src = one.dst)
+    f"""{VEU}, h AS (SELECT {HUB} AS s), one AS (SELECT DISTINCT dst FROM u, h WHERE src = s), two AS (SELECT DISTINCT u.dst FROM u JOIN one ON u.src = one.dst)
         SELECT dst AS id FROM (SELECT dst FROM one UNION SELECT dst FROM two), h WHERE dst <> s""",
 )
 def _(t):
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     return g.bfs(hops, one(t, hub(hops)), max_depth=2).where("depth > 0").select("id")
 
 
@@ -220,7 +216,7 @@ def pagerank_sql(rounds: int) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-ROUNDS = 8
+ROUNDS = 20
 
 
 @query(
@@ -234,7 +230,7 @@ def _(t):
 
 
 def components_sql(rounds: int, tail: str) -> str:
-    parts = [f"{VRU}", "l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"]
+    parts = [f"{VEU}", "l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"]
     for i in range(rounds):
         parts.append(
             f"l{i + 1} AS MATERIALIZED (SELECT l.id, LEAST(l.label, COALESCE(MIN(n.label), l.label)) AS label FROM l{i} l LEFT JOIN u ON u.src = l.id LEFT JOIN l{i} n ON n.id = u.dst GROUP BY l.id, l.label)"
@@ -244,17 +240,17 @@ def components_sql(rounds: int, tail: str) -> str:
 
 @query("graph_connected_components", "N14", components_sql(14, " SELECT id, label AS component FROM {last}"))
 def _(t):
-    return g.connected_components(parties(t), trade(t, RETURNED))
+    return g.connected_components(parties(t), trade(t))
 
 
 @query(
     "graph_strong_components",
     "N15",
-    f"""{VR}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+    f"""{VE}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
         SELECT v.id, LEAST(v.id, COALESCE(MIN(f.b), v.id)) AS component FROM v LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) f ON f.a = v.id GROUP BY v.id""",
 )
 def _(t):
-    return g.strongly_connected(parties(t), trade(t, RETURNED))
+    return g.strongly_connected(parties(t), trade(t))
 
 
 @query(
@@ -277,31 +273,31 @@ def probes(hops, k: int):
 @query("graph_betweenness_sampled", "N17")
 def _(t):
     # The sampled form: exact betweenness of every vertex is O(vertices * edges).
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     return g.betweenness(parties(t), hops, probes(hops, 16))
 
 
 @query(
     "graph_closeness",
     "N18",
-    f"""{VRU}, p AS (SELECT src AS s FROM u GROUP BY src ORDER BY COUNT(*) DESC, src LIMIT 16),
+    f"""{VEU}, p AS (SELECT src AS s FROM u GROUP BY src ORDER BY COUNT(*) DESC, src LIMIT 16),
         b(s, id, d) AS (SELECT s, s, 0 FROM p UNION SELECT b.s, u.dst, b.d + 1 FROM b JOIN u ON u.src = b.id WHERE b.d < 12),
         m AS (SELECT s, id, MIN(d) AS d FROM b GROUP BY 1, 2), q AS (SELECT s, COUNT(*)::DOUBLE AS r, SUM(d)::DOUBLE AS total FROM m WHERE d > 0 GROUP BY 1)
         SELECT s AS id, (r / total) * (r / ((SELECT COUNT(*) FROM v) - 1)) AS closeness FROM q""",
 )
 def _(t):
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     return g.closeness(hops, probes(hops, 16), t.customer.count())
 
 
 @query("graph_communities", "N19")
 def _(t):
-    v, e = parties(t), trade(t, RETURNED)
+    v, e = parties(t), trade(t)
     return g.modularity(e, g.communities(v, e, rounds=4, levels=2))
 
 
 def bellman_sql(rounds: int) -> str:
-    parts = [VRU, f"d0 AS MATERIALIZED (SELECT {HUB} AS id, 0.0::DOUBLE AS distance)"]
+    parts = [VEU, f"d0 AS MATERIALIZED (SELECT {HUB} AS id, 0.0::DOUBLE AS distance)"]
     for i in range(rounds):
         parts.append(
             f"d{i + 1} AS MATERIALIZED (SELECT id, MIN(distance) AS distance FROM (SELECT * FROM d{i} UNION ALL SELECT u.dst, distance + weight FROM d{i} JOIN u ON u.src = id) GROUP BY id)"
@@ -311,7 +307,7 @@ def bellman_sql(rounds: int) -> str:
 
 @query("graph_all_distances", "N22", bellman_sql(14) + " SELECT id, distance FROM d14")
 def _(t):
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     return g.distances(hops, hub(hops))
 
 
@@ -327,7 +323,7 @@ def _(t):
     + """) SELECT CAST((SELECT MAX(k) FROM w) - k AS INTEGER) AS step, w.id, d14.distance FROM w JOIN d14 ON d14.id = w.id""",
 )
 def _(t):
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     start = hub(hops)
     best = g.distances(hops, start)
     goal = best.orderBy(F.col("distance").desc(), "id").first()["id"]
@@ -337,17 +333,17 @@ def _(t):
 @query(
     "graph_bfs",
     "N21",
-    f"""{VRU}, b(id, d) AS (SELECT {HUB}, 0 UNION SELECT u.dst, d + 1 FROM b JOIN u ON u.src = b.id WHERE d < 12), m AS (SELECT id, MIN(d) AS d FROM b GROUP BY 1)
+    f"""{VEU}, b(id, d) AS (SELECT {HUB}, 0 UNION SELECT u.dst, d + 1 FROM b JOIN u ON u.src = b.id WHERE d < 12), m AS (SELECT id, MIN(d) AS d FROM b GROUP BY 1)
         SELECT m.id, m.d AS depth, (SELECT MIN(u.src) FROM u JOIN m x ON x.id = u.src WHERE u.dst = m.id AND x.d = m.d - 1) AS parent FROM m""",
 )
 def _(t):
-    hops = settle(graph(t, RETURNED, directed=False).hops())
+    hops = graph(t, directed=False).hops()
     return g.bfs(hops, one(t, hub(hops))).select("id", "depth", "parent")
 
 
 @query("graph_spanning_forest", "N23")
 def _(t):
-    return g.spanning_forest(parties(t), trade(t, RETURNED))
+    return g.spanning_forest(parties(t), trade(t))
 
 
 JACCARD = f"""{VE}, {und_sql()}, dg AS MATERIALIZED (SELECT src, COUNT(*) AS d FROM u GROUP BY 1)"""
@@ -369,13 +365,13 @@ def _(t):
 @query(
     "graph_pair_similarity",
     "N25",
-    f"""{VR}, {und_sql()}, dg AS MATERIALIZED (SELECT src, COUNT(*) AS d FROM u GROUP BY 1)
+    f"""{VE}, {und_sql()}, dg AS MATERIALIZED (SELECT src, COUNT(*) AS d FROM u GROUP BY 1)
         SELECT p.src AS a, p.dst AS b, COUNT(y.src) AS common, CAST(COUNT(y.src) AS DOUBLE) / (any_value(da.d) + any_value(db.d) - COUNT(y.src)) AS similarity
         FROM (SELECT src, dst FROM u WHERE src < dst) p JOIN dg da ON da.src = p.src JOIN dg db ON db.src = p.dst
         LEFT JOIN u x ON x.src = p.src LEFT JOIN u y ON y.src = p.dst AND y.dst = x.dst GROUP BY 1, 2""",
 )
 def _(t):
-    e = trade(t, RETURNED)
+    e = trade(t)
     pairs = g.both_ways(e).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return g.pair_similarity(e, pairs)
 
@@ -394,15 +390,19 @@ def _(t):
     )
 
 
+#: The state before the mutation: heavy returned lines.
+SENT_BACK = "l_returnflag = 'R' AND l_quantity >= 45"
+
+
 @query(
     "graph_after_mutation",
     "N27",
-    f"""WITH {V}, {e_sql(RETURNED, 'old')}, {e_sql("l_returnflag = 'A' AND l_quantity >= 48", 'new')},
+    f"""WITH {V}, {e_sql(SENT_BACK, 'old')}, {e_sql("l_returnflag = 'A' AND l_quantity >= 48", 'new')},
         e AS (SELECT COALESCE(o.src, n.src) AS src, COALESCE(o.dst, n.dst) AS dst FROM old o FULL JOIN new n ON o.src = n.src AND o.dst = n.dst
               WHERE NOT (o.src IS NOT NULL AND n.src IS NULL AND o.weight >= 50)) {DEGREE}""",
 )
 def _(t):
-    old, new = trade(t, RETURNED), trade(t, "l_returnflag = 'A' AND l_quantity >= 48")
+    old, new = trade(t, SENT_BACK), trade(t, "l_returnflag = 'A' AND l_quantity >= 48")
     values = {c: F.col(f"s.{c}") for c in ("src", "dst", "weight", "n")}
     edges = merge(
         old,
