@@ -325,6 +325,24 @@ def closeness(hops: DataFrame, sources: DataFrame, n_vertices: int) -> DataFrame
     return far.select(F.col("source").alias("id"), (r / F.col("s") * (r / (n_vertices - 1))).alias("closeness"))
 
 
+def hash_sample(vertices: DataFrame, k: int) -> DataFrame:
+    """``k`` vertices by the order of the md5 of their id, as ``source``: a repeatable random sample."""
+    return vertices.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(k).select(F.col("id").alias("source"))
+
+
+def closeness_by_landmarks(hops: DataFrame, landmarks: DataFrame, n_vertices: int) -> DataFrame:
+    """Closeness of every vertex, estimated from its distances to a random sample of landmarks.
+
+    Undirected ``hops``.  Work is linear in the edges for each landmark, while the exact
+    form of all vertices is O(vertices * edges).
+    """
+    landmarks = settle(landmarks, "landmarks")
+    k = landmarks.count()
+    far = bfs(hops, landmarks).where("depth > 0").groupBy("id").agg(F.count("*").alias("r"), F.sum("depth").alias("s"))
+    r = F.col("r").cast("double")
+    return far.select("id", (r / F.col("s") * F.least(F.lit(1.0), r * n_vertices / k / (n_vertices - 1))).alias("closeness"))
+
+
 def betweenness(vertices: DataFrame, hops: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Normalised betweenness: shortest-path counts forward, dependencies backward.
 
@@ -450,41 +468,61 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
     return sizes.withColumn("modularity", per.agg(q).scalar())
 
 
-def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6) -> DataFrame:
     """(id, community): local moves that raise modularity, then the same on merged vertices.
 
     In a round only one half of the vertices, picked by a hash of id and round, may move,
-    so two neighbours seldom swap.  Equal gains go to the smaller community id.
+    so two neighbours seldom swap.  Equal gains go to the smaller community id.  Rounds end
+    when a full turn (both halves) raises modularity by less than ``least_gain``, and levels
+    when merging no longer helps; a turn that lowers it is not taken.
     """
     hops = settle(both_ways(edges.select("src", "dst", "weight")), "community-edges")
     assigned = cut_lineage(vertices.select("id", F.col("id").alias("community")))
     m2 = hops.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
     if not m2:
         return assigned
-    for _ in range(levels):
-        strength = cut_lineage(hops.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
-        state = cut_lineage(strength.withColumn("c", F.col("id")))
-        for r in range(rounds):
-            totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = hops.where("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst")
-            links = near.groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
-            own = state.select("id", "k", F.col("c").alias("old"))
-            stay = state.select("id", "c", F.lit(0.0).alias("w"))
-            options = links.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own, "id").join(totals, "c")
-            others = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
-            best = options.withColumn("g", gain).groupBy("id").agg(
-                F.max(F.struct("g", (-F.col("c")).alias("nc"))).alias("b"),
-                F.max(F.when(F.col("c") == F.col("old"), F.col("g"))).alias("g0"),
-                F.first("old").alias("old"),
-                F.first("k").alias("k"),
-            )
-            turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-            moves = turn & (F.col("b.g") > F.col("g0"))
-            after = cut_lineage(best.select("id", "k", F.when(moves, -F.col("b.nc")).otherwise(F.col("old")).alias("c"), moves.alias("moved")))
-            state = after.select("id", "k", "c")
-            if r % 2 and after.where("moved").isEmpty():
+    reached = None
+
+    def quality(hops: DataFrame, state: DataFrame) -> float:
+        a = state.select(F.col("id").alias("src"), F.col("c").alias("ca"))
+        b = state.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
+        inside = F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))
+        per = hops.join(a, "src").join(b, "dst").groupBy("ca").agg(F.sum("weight").alias("k"), inside.alias("inside"))
+        return per.agg(F.sum(F.col("inside") / m2 - resolution * (F.col("k") / m2) * (F.col("k") / m2))).first()[0]
+
+    def half_turn(hops: DataFrame, state: DataFrame, r: int) -> DataFrame:
+        totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+        near = hops.where("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst")
+        links = near.groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
+        own = state.select("id", "k", F.col("c").alias("old"))
+        stay = state.select("id", "c", F.lit(0.0).alias("w"))
+        options = links.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own, "id").join(totals, "c")
+        others = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
+        best = options.withColumn("g", gain).groupBy("id").agg(
+            F.max(F.struct("g", (-F.col("c")).alias("nc"))).alias("b"),
+            F.max(F.when(F.col("c") == F.col("old"), F.col("g"))).alias("g0"),
+            F.first("old").alias("old"),
+            F.first("k").alias("k"),
+        )
+        moves = (F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2) & (F.col("b.g") > F.col("g0"))
+        return cut_lineage(best.select("id", "k", F.when(moves, -F.col("b.nc")).otherwise(F.col("old")).alias("c")))
+
+    while True:
+        state = cut_lineage(hops.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")).withColumn("c", F.col("id")))
+        at, turn = quality(hops, state), 0
+        while True:
+            # Both halves are picked by the hash of the same number, so each vertex has one turn.
+            moved = half_turn(hops, half_turn(hops, state, 2 * turn), 2 * turn + 1)
+            now = quality(hops, moved)
+            if now > at:
+                state = moved
+            if now < at + least_gain:
                 break
+            at, turn = now, turn + 1
+        if reached is not None and at < reached + least_gain:
+            return assigned
+        reached = at
         merged = state.select(F.col("id").alias("community"), F.col("c").alias("new"))
         assigned = cut_lineage(
             assigned.join(merged, "community", "left").select("id", F.coalesce("new", "community").alias("community"))
@@ -493,4 +531,3 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0,
         b = state.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
         grouped = hops.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst"))
         hops = settle(grouped.agg(F.sum("weight").alias("weight")), "community-edges")
-    return assigned

@@ -264,36 +264,55 @@ def _(t):
     return g.triangle_counts(parties(t), trade(t))
 
 
-def probes(hops, k: int):
-    """The k best-connected vertices, as BFS sources."""
-    ranked = hops.groupBy("src").agg(F.count("*").alias("d")).orderBy(F.col("d").desc(), "src").limit(k)
-    return ranked.select(F.col("src").alias("source"))
+SAMPLED = "p AS MATERIALIZED (SELECT id AS s FROM v ORDER BY md5(id::VARCHAR), id LIMIT 16)"
 
 
-@query("graph_betweenness_sampled", "N17")
+def betweenness_sql(depth: int) -> str:
+    """Path counts level by level from each sampled source, then dependencies level by level back."""
+    parts = [VEU, SAMPLED, "l0 AS MATERIALIZED (SELECT s, s AS id, 1.0::DOUBLE AS paths FROM p)", "seen0 AS MATERIALIZED (SELECT s, id FROM l0)"]
+    for i in range(depth):
+        parts.append(
+            f"""l{i + 1} AS MATERIALIZED (SELECT l.s, u.dst AS id, SUM(paths) AS paths FROM l{i} l JOIN u ON u.src = l.id
+            WHERE NOT EXISTS (SELECT 1 FROM seen{i} x WHERE x.s = l.s AND x.id = u.dst) GROUP BY 1, 2)"""
+        )
+        parts.append(f"seen{i + 1} AS MATERIALIZED (SELECT * FROM seen{i} UNION ALL SELECT s, id FROM l{i + 1})")
+    parts.append(f"d{depth} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS dep FROM l{depth})")
+    for i in reversed(range(depth)):
+        parts.append(
+            f"""d{i} AS MATERIALIZED (SELECT l.s, l.id, l.paths, l.paths * COALESCE(g.pull, 0) AS dep FROM l{i} l LEFT JOIN
+            (SELECT b.s, u.src AS id, SUM((1 + b.dep) / b.paths) AS pull FROM d{i + 1} b JOIN u ON u.dst = b.id GROUP BY 1, 2) g ON g.s = l.s AND g.id = l.id)"""
+        )
+    every = " UNION ALL ".join(f"SELECT s, id, dep FROM d{i}" for i in range(1, depth + 1))
+    return (
+        ",\n".join(parts)
+        + f""", c AS (SELECT COUNT(*)::DOUBLE AS n, (SELECT COUNT(*) FROM p)::DOUBLE AS k FROM v), t AS (SELECT id, SUM(dep) AS dep FROM ({every}) GROUP BY 1)
+        SELECT v.id, round(COALESCE(dep, 0) * (n / k) / ((n - 1) * (n - 2)), 9) AS score FROM v CROSS JOIN c LEFT JOIN t ON t.id = v.id"""
+    )
+
+
+@query("graph_betweenness_sampled", "N17", betweenness_sql(8))
 def _(t):
     # The sampled form: exact betweenness of every vertex is O(vertices * edges).
-    hops = graph(t, directed=False).hops()
-    return g.betweenness(parties(t), hops, probes(hops, 16))
+    v = parties(t)
+    return g.betweenness(v, graph(t, directed=False).hops(), g.hash_sample(v, 16)).select("id", F.round("score", 9).alias("score"))
 
 
 @query(
     "graph_closeness",
     "N18",
-    f"""{VEU}, p AS (SELECT src AS s FROM u GROUP BY src ORDER BY COUNT(*) DESC, src LIMIT 16),
-        b(s, id, d) AS (SELECT s, s, 0 FROM p UNION SELECT b.s, u.dst, b.d + 1 FROM b JOIN u ON u.src = b.id WHERE b.d < 12),
-        m AS (SELECT s, id, MIN(d) AS d FROM b GROUP BY 1, 2), q AS (SELECT s, COUNT(*)::DOUBLE AS r, SUM(d)::DOUBLE AS total FROM m WHERE d > 0 GROUP BY 1)
-        SELECT s AS id, (r / total) * (r / ((SELECT COUNT(*) FROM v) - 1)) AS closeness FROM q""",
+    f"""{VEU}, {SAMPLED}, b(s, id, d) AS (SELECT s, s, 0 FROM p UNION SELECT b.s, u.dst, b.d + 1 FROM b JOIN u ON u.src = b.id WHERE b.d < 8),
+        m AS (SELECT s, id, MIN(d) AS d FROM b GROUP BY 1, 2), q AS (SELECT id, COUNT(*)::DOUBLE AS r, SUM(d)::DOUBLE AS total FROM m WHERE d > 0 GROUP BY 1),
+        c AS (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM p) AS k FROM v)
+        SELECT id, (r / total) * least(1.0::DOUBLE, r * n / k / (n - 1)) AS closeness FROM q, c""",
 )
 def _(t):
-    hops = graph(t, directed=False).hops()
-    return g.closeness(hops, probes(hops, 16), t.customer.count())
+    v = parties(t)
+    return g.closeness_by_landmarks(graph(t, directed=False).hops(), g.hash_sample(v, 16), t.customer.count())
 
 
 @query("graph_communities", "N19")
 def _(t):
-    v, e = parties(t), trade(t)
-    return g.modularity(e, g.communities(v, e, rounds=4, levels=2))
+    return g.communities(parties(t), trade(t))
 
 
 def bellman_sql(rounds: int) -> str:
