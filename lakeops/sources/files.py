@@ -69,8 +69,8 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text as typed columns (text columns if no schema is given).
 
-    ``skip_starting_rows`` drops the first lines of each file, the header comes next, and
-    ``max_rows`` counts data lines per file.  These two and ``file_metadata`` need line
+    ``skip_starting_rows`` drops the first lines of each file, the header is the next line that
+    is neither blank nor a comment, and ``max_rows`` counts data lines per file.  These two and ``file_metadata`` need line
     numbers, so they take one record per line; other scans use Spark's CSV source as is.
     """
     options = {"sep": delimiter, "quote": quote, "header": str(has_header).lower()}
@@ -83,20 +83,19 @@ def read_delimited(
     if not skip_starting_rows and max_rows is None and not file_metadata:
         reader = _reader(spark, file_filter, recursive).options(**options)
         return reader.csv(path, schema=schema) if schema is not None else reader.csv(path)
-    lines = numbered_lines(spark, path, file_filter=file_filter, recursive=recursive)
-    if comment_char is not None:
-        lines = lines.where(~F.col("value").startswith(comment_char))
-    lines = lines.where(F.col(LINE) > skip_starting_rows)
-    first_data = skip_starting_rows + (2 if has_header else 1)
+    counted = numbered_lines(spark, path, file_filter=file_filter, recursive=recursive).where(F.col(LINE) > skip_starting_rows)
+    blank = F.trim("value", F.lit(" \t\r")) == ""
+    lines = counted.where(~blank if comment_char is None else ~blank & ~F.col("value").startswith(comment_char))
+    # Blank and comment lines are out, so the rest is numbered anew, by its order in the file.
+    lines = _renumbered(lines)
+    first_data = 2 if has_header else 1
+    line_options = {k: v for k, v in options.items() if k not in ("header", "comment")}
     if schema is None:
-        head = lines.where(F.col(LINE) == skip_starting_rows + 1).select("value").first()["value"]
-        names = [n.strip().strip(quote) for n in head.split(delimiter)]
-        schema = T.StructType([T.StructField(n if has_header else f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+        schema = _header_schema(lines, line_options, has_header)
     rows = lines.where(F.col(LINE) >= first_data)
     if max_rows is not None:
         rows = rows.where(F.col(LINE) < first_data + max_rows)
     ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    line_options = {k: v for k, v in options.items() if k not in ("header", "comment")}
     parsed = rows.withColumn("_r", F.from_csv("value", ddl, line_options))
     extra = []
     if file_metadata:
@@ -104,6 +103,30 @@ def read_delimited(
     return parsed.select("_r.*", *extra)
 
 
+def _renumbered(lines: DataFrame) -> DataFrame:
+    """Number the lines that are left in each file from 1, by counts per split."""
+    splits = lines.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(FILE, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # A window covers one split of a file, which maxPartitionBytes bounds.
+    place = F.row_number().over(Window.partitionBy(FILE, BLOCK).orderBy(LINE))
+    return lines.join(offsets, [FILE, BLOCK]).withColumn(LINE, F.col("_before") + place).drop("_before")
+
+
+def _header_schema(lines: DataFrame, options: dict[str, str], has_header: bool) -> T.StructType:
+    """Text columns named by the first line, which is parsed as a record like any other."""
+    first = lines.where(F.col(LINE) == 1).select("value").first()
+    if first is None:
+        raise ValueError("no line to take the columns from; state a schema")
+    width = first["value"].count(options["sep"]) + 1
+    ddl = ", ".join(f"c{i} string" for i in range(width))
+    made = lines.sparkSession.createDataFrame([first], "value string").select(F.from_csv("value", ddl, options).alias("r")).first()["r"]
+    names = list(made)
+    while len(names) > 1 and names[-1] is None:
+        names.pop()
+    return T.StructType([T.StructField(n if has_header and n else f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+
+
 def union_by_header(spark: SparkSession, path, delimiter: str = ",", quote: str = '"', **select) -> DataFrame:
     """Delimited files with different headers as one table of text; absent columns are NULL.
 

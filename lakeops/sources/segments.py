@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions.common import col
+from lakeops.session import settle
 from lakeops.sources.files import BLOCK, FILE, raw_lines
 
 
@@ -37,12 +39,15 @@ EDIFACT = Dialect("edifact", "UNH", "UNT", ("UNA", "UNB", "UNG", "UNE", "UNZ"),
 TRADACOMS = Dialect("tradacoms", "MHD", "MTR", ("STX", "BAT", "EOB", "END"), release="?", tag_sep="=")
 HL7 = Dialect("hl7", "MSH", None, ("FHS", "BHS", "BTS", "FTS"))
 
-HL7_ESCAPES = (("\\F\\", "|"), ("\\S\\", "^"), ("\\T\\", "&"), ("\\R\\", "~"), ("\\X0D\\", "\r"), ("\\E\\", "\\"))
+# What stands between two escape signs, and what it means.
+HL7_ESCAPES = {"F": "|", "S": "^", "T": "&", "R": "~", "X0D": "\r", "E": "\\"}
 
 
 # Stand-ins for released (escaped) characters while a message is split; control
 # characters are not part of the EDIFACT and TRADACOMS character sets.
 STAND_INS = "\u0001\u0002\u0003\u0004"
+#: Column of the release sign and separators of a message, in the order of the stand-ins.
+SIGNS = "signs"
 
 
 def literal_pattern(sep: Column) -> Column:
@@ -54,9 +59,9 @@ def hide_released(text: Column, d: dict[str, Column], dialect: Dialect) -> Colum
     """Replace ?? and released separators, so that plain splitting is exact."""
     if dialect.release is None:
         return text
-    r = F.lit(dialect.release)
-    for sign, stand_in in zip((r, d["segment"], d["element"], d["component"]), STAND_INS):
-        text = F.replace(text, F.concat(r, sign), F.lit(stand_in))
+    for sign, stand_in in zip(d["signs"], STAND_INS):
+        pair = F.concat(d["release"], sign)
+        text = F.when(d["release"] == " ", text).otherwise(F.replace(text, pair, F.lit(stand_in)))
     return text
 
 
@@ -71,9 +76,9 @@ def delimiters(text: Column | str, dialect: Dialect) -> dict[str, Column]:
     if dialect.name == "edifact":
         stated = text.startswith("UNA")
         at = lambda n, default: F.when(stated, F.substring(text, n, 1)).otherwise(default)
-        return {"component": at(4, ":"), "element": at(5, "+"), "segment": at(9, "'")}
+        return {"component": at(4, ":"), "element": at(5, "+"), "release": at(7, dialect.release), "segment": at(9, "'")}
     if dialect.name == "tradacoms":
-        return {"element": F.lit("+"), "component": F.lit(":"), "segment": F.lit("'")}
+        return {"element": F.lit("+"), "component": F.lit(":"), "release": F.lit(dialect.release), "segment": F.lit("'")}
     return {"element": F.substring(text, 4, 1), "component": F.substring(text, 5, 1), "segment": F.lit(None)}
 
 
@@ -105,15 +110,18 @@ def parse_messages(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
     one = F.struct(clean.alias("_text"), *[v.alias(f"_d_{k}") for k, v in d.items()])
     with_d = df.select(*keep, F.inline(F.array(one)))
     seps = {k: F.col(f"_d_{k}") for k in d}
+    seps["signs"] = [seps[k] for k in ("release", "segment", "element", "component") if dialect.release]
     pattern = F.lit("[\\r\\n]+") if dialect.name == "hl7" else literal_pattern(seps["segment"])
     raw = F.transform(F.split(hide_released(F.col("_text"), seps, dialect), pattern), lambda s: F.trim(s, F.lit(" \t\r\n")))
     own = F.filter(raw, lambda s: (s != "") & ~s.startswith("UNA"))
     element = seps["element"]
     cut = F.transform(own, lambda s: _cut(s, element, dialect))
     parts = F.transform(cut, lambda p: _named(p, element, dialect))
-    parsed = with_d.select(
-        *keep, F.col("_d_component").alias("component"), F.inline(F.array(F.struct(parts.alias("_s"))))
-    )
+    stated = [F.col("_d_component").alias("component")]
+    if dialect.release:
+        stated.append(F.concat(*seps["signs"]).alias(SIGNS))
+    parsed = with_d.select(*keep, *stated, F.inline(F.array(F.struct(parts.alias("_s")))))
+    names = ["component", SIGNS][: len(stated)]
     at = F.array_compact(F.transform("_s", lambda x, i: F.when(x["segment"] == dialect.start, i)))
     outer = F.filter(
         F.transform("_s", lambda x, i: F.struct(i.alias("at"), x.alias("s"))), lambda e: e["s"]["segment"].isin(*dialect.envelope)
@@ -126,7 +134,7 @@ def parse_messages(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
         return F.struct((i + 1).alias("txn_no"), _header(start, dialect).alias("header"), _body(own, dialect).alias("segments"))
 
     # Each transaction carries its own slice only, so a long interchange stays linear.
-    return marked.select(*keep, "component", F.inline(F.transform("_starts", transaction)))
+    return marked.select(*keep, *names, F.inline(F.transform("_starts", transaction)))
 
 
 def _header(start: Column, dialect: Dialect) -> Column:
@@ -147,12 +155,24 @@ def _body(own: Column, dialect: Dialect) -> Column:
     return F.filter(own, lambda s: ~s["segment"].isin(*outside))
 
 
-def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, element: str, component: str, **select) -> DataFrame:
-    lines = raw_lines(spark, path, line_sep, **select)
+def file_signs(spark: SparkSession, path, dialect: Dialect, lines: int = 20, **select) -> DataFrame:
+    """(_file, element, component, segment): the separators that the first lines of each file state.
+
+    An envelope may be broken over lines; twenty hold more than its 106 characters.
+    """
+    first = Window.partitionBy(FILE).orderBy("_at")
+    head = raw_lines(spark, path, **select).where(F.col(BLOCK) == 0).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= lines)
+    text = head.groupBy(FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"], "\n").alias("_t"))
+    return text.select(FILE, *[v.alias(k) for k, v in delimiters("_t", dialect).items()])
+
+
+def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, signs: DataFrame, **select) -> DataFrame:
+    """Transactions of the files that ``signs`` lists, all with the same line separator."""
+    lines = raw_lines(spark, path, line_sep, **select).join(signs.select(FILE, "element", "component"), FILE)
     text = F.trim("value", F.lit(" \t\r\n\ufeff"))
     rows = lines.withColumn("_t", text).where("_t <> ''")
-    rows = rows.withColumn("_p", _cut(F.col("_t"), F.lit(element), dialect)).drop("value", "_t")
-    rows = rows.withColumn("_s", _named(F.col("_p"), F.lit(element), dialect)).drop("_p")
+    rows = rows.withColumn("_p", _cut(F.col("_t"), F.col("element"), dialect)).drop("value", "_t")
+    rows = rows.withColumn("_s", _named(F.col("_p"), F.col("element"), dialect)).drop("_p")
     tag = F.col("_s.segment")
     is_start = F.when(tag == dialect.start, 1).otherwise(0)
     carried = [dialect.start, *dialect.envelope]
@@ -178,11 +198,11 @@ def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, element:
     body = marked.withColumn("_header", F.when(tag == dialect.start, header)).where("txn_no > 0")
     ordered = F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "_s")))
     grouped = body.groupBy(FILE, "df_file_name", "txn_no").agg(
-        ordered.alias("_all"), F.any_value("_header", ignoreNulls=True).alias("header")
+        ordered.alias("_all"), F.any_value("_header", ignoreNulls=True).alias("header"), F.any_value("component").alias("component")
     )
     return grouped.select(
         "df_file_name",
-        F.lit(component).alias("component"),
+        "component",
         "txn_no",
         "header",
         _body(F.col("_all")["_s"], dialect).alias("segments"),
@@ -190,27 +210,44 @@ def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, element:
 
 
 def read_x12_files(spark: SparkSession, path, **select) -> DataFrame:
-    """Transactions of X12 files that share the delimiters stated in their envelope."""
-    # The first lines of one file state the delimiters; ISA may be broken over lines.
-    head = raw_lines(spark, path, **select).where(F.col(BLOCK) == 0).limit(5)
-    text = head.agg(F.array_join(F.array_sort(F.collect_list(F.struct(FILE, "_at", "value")))["value"], "\n").alias("t"))
-    d = text.select(*[v.alias(k) for k, v in delimiters("t", X12).items()]).first()
-    return _read_files(spark, path, X12, d["segment"], d["element"], d["component"], **select)
+    """Transactions of X12 files; each file has the separators stated in its own envelope.
+
+    Files with the same terminator are read together, so there is one scan for each of the
+    few signs that serve as terminators.
+    """
+    signs = settle(file_signs(spark, path, X12, **select), "x12-signs")
+    ends = [r["segment"] for r in signs.where("segment <> ''").select("segment").distinct().orderBy("segment").collect()]
+    each = [_read_files(spark, path, X12, end, signs.where(F.col("segment") == end), **select) for end in ends]
+    return reduce(lambda a, b: a.unionByName(b), each) if each else _read_files(spark, path, X12, "~", signs, **select)
 
 
 def read_hl7_files(spark: SparkSession, path, **select) -> DataFrame:
-    """Messages of HL7 v2 files (segments end with CR, LF or both)."""
-    return _read_files(spark, path, HL7, None, "|", "^", **select)
+    """Messages of HL7 v2 files (segments end with CR, LF or both), each with its own separators."""
+    signs = settle(file_signs(spark, path, HL7, lines=1, **select).drop("segment"), "hl7-signs")
+    return _read_files(spark, path, HL7, None, signs, **select)
+
+
+def unescaped(c: Column) -> Column:
+    """HL7 text with its escapes decoded in one pass: every second part between signs is a code."""
+    parts = F.split(c, r"\\")
+    last = F.size(parts) - 1
+
+    def decoded(part: Column, i: Column) -> Column:
+        known = F.lit(None).cast("string")
+        for code, char in HL7_ESCAPES.items():
+            known = F.when(part == code, F.lit(char)).otherwise(known)
+        other = F.concat(F.lit("\\"), part, F.when(i < last, F.lit("\\")).otherwise(F.lit("")))
+        return F.when(i % 2 == 0, part).when(i == last, other).otherwise(F.coalesce(known, other))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
 
 
 def clean_element(c: Column, dialect: Dialect) -> Column:
-    """Element text with escapes decoded."""
+    """Element text with escapes decoded, by the signs of its own message."""
     if dialect.name == "hl7":
-        for code, char in HL7_ESCAPES:
-            c = F.replace(c, F.lit(code), F.lit(char))
-        return c
+        return unescaped(c)
     if dialect.release:
-        return F.translate(c, STAND_INS, f"{dialect.release}'+:")
+        return F.call_function("translate", c, F.lit(STAND_INS), F.col(SIGNS))
     return c
 
 
@@ -240,7 +277,7 @@ def materialize(
     paths: Sequence[str],
     dialect: Dialect,
     mode: str = "first",
-    max_repeating: int = 10,
+    max_repeating: int | None = None,
     names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Columns for paths such as ``beg_3`` (segment, 1-based element).
@@ -257,6 +294,8 @@ def materialize(
         if mode == "first":
             out[name] = F.get(every, F.lit(0))
         elif mode == "indexed":
+            if max_repeating is None:
+                raise ValueError("indexed columns need max_repeating, the number of occurrences to show")
             for i in range(1, max_repeating + 1):
                 out[f"{tag.lower()}_{i}_{n}"] = F.get(every, F.lit(i - 1))
         elif mode == "concatenate":

@@ -97,3 +97,36 @@ def test_number_text(spark, text, want):
     from lakeops.operators.checks import number
 
     assert spark.createDataFrame([(text,)], "t string").select(number(F.col("t"))).first()[0] == want
+
+
+def test_quoted_header_blank_and_comment_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('# made by hand\n"a,1",b\n\n1,x\n# note\n2,y\n3,z\n4,w\n')
+    df = fs.read_delimited(spark, str(tmp_path), comment_char="#", max_rows=3, file_metadata=True)
+    rows = sorted((r["df_row_number"], r["a,1"], r["b"]) for r in df.collect())
+    assert df.columns[:2] == ["a,1", "b"] and rows == [(1, "1", "x"), (2, "2", "y"), (3, "3", "z")]
+
+
+def test_x12_files_with_different_signs(spark, tmp_path):
+    (tmp_path / "a.x12").write_text(X12_BODY)
+    (tmp_path / "b.x12").write_text(X12_BODY.replace("*", "|").replace("~", "!").replace("ME", "WE"))
+    rows = sg.read_x12_files(spark, str(tmp_path)).select(sg.header_column("ISA", 6).alias("isa"), sg.header_column("ST", 1).alias("st"))
+    assert sorted(map(tuple, rows.collect())) == [("ME", "810"), ("ME", "850"), ("WE", "810"), ("WE", "850")]
+
+
+def test_hl7_files_with_different_signs(spark, tmp_path):
+    (tmp_path / "a.hl7").write_text("MSH|^~\\&|A|B\rPID|1|x^y\r")
+    (tmp_path / "b.hl7").write_text("MSH#$~\\&#A#B\rPID#1#x$y\r")
+    rows = sg.materialize(sg.read_hl7_files(spark, str(tmp_path)), ["pid_2", "msh_1"], sg.HL7).select("component", "pid_2", "msh_1")
+    assert sorted(map(tuple, rows.collect())) == [("$", "x$y", "#"), ("^", "x^y", "|")]
+
+
+def test_hl7_escapes_in_one_pass(spark):
+    want = {"\\E\\F\\E\\": "\\F\\", "\\F\\E\\F\\": "|E|", "a\\b": "a\\b", "\\Q\\\\T\\": "\\Q\\&", "plain": "plain"}
+    rows = spark.createDataFrame([(k,) for k in want], "c string")
+    assert {r["c"]: r["d"] for r in rows.withColumn("d", sg.unescaped(F.col("c"))).collect()} == want
+
+
+def test_edifact_signs_of_the_message(spark):
+    body = "UNA:*.! ~UNB*UNOA:2*A*B~UNH*1*X~FTX*AAI***it!~s !* !!~UNT*3*1~UNZ*1*1~"
+    rows = sg.parse_messages(spark.createDataFrame([(body,)], "body string"), "body", sg.EDIFACT)
+    assert sg.materialize(rows, ["ftx_4"], sg.EDIFACT).first()["ftx_4"] == "it~s * !"
