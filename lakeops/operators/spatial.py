@@ -7,6 +7,8 @@ the exact test, so no join compares every point with every site.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -339,16 +341,28 @@ def within_radius(points: DataFrame, sites: DataFrame, metres: float, level: int
     return pairs.where(F.col("distance_m") <= metres).drop("_row", "_col")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, level: int) -> DataFrame:
+def site_level(sites: DataFrame) -> int:
+    """The level whose cells hold about one site each, from the sites' number and extent."""
+    lat, lng = F.col("s_lat"), F.col("s_lng")
+    e = sites.agg(F.count("*").alias("n"), (F.max(lat) - F.min(lat)).alias("h"), (F.max(lng) - F.min(lng)).alias("w")).first()
+    if not e["n"]:
+        return 0
+    share = max(e["h"] / 180.0, 1e-7) * max(e["w"] / 360.0, 1e-7)
+    return max(0, min(24, round(math.log2(e["n"] / share) / 2)))
+
+
+def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, level: int | None = None) -> DataFrame:
     """Nearest site per point (ties: smallest site id): point_id, site_id, distance_m.
 
-    Points look in their own and the eight cells around.  An answer is final if it is
+    The first ``level`` is that of about one site per cell unless stated, so that a point
+    has a few candidates whatever the number of sites.  Points look in their own and the eight cells around.  An answer is final if it is
     nearer than the border of that block can be; the other points go on with cells of
     four times the area, and at level 0 the block is the whole world, so all end exactly.
     """
     # Sites at one place can only be told apart by id, so the smallest stands for all.
     sites = settle(sites.groupBy("s_lat", "s_lng").agg(F.min(site_id).alias(site_id)), "sites")
     todo = settle(points.select(point_id, "lat", "lng"), "points")
+    level = site_level(sites) if level is None else level
     done = []
     while True:
         listed = sites.withColumn("_cell", F.explode(disk(cell("s_lat", "s_lng", level), 1)))

@@ -78,15 +78,27 @@ def _(t):
 @query(
     "mask_tokenize",
     "R05",
-    """WITH v AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events),
-            m AS (SELECT value, 'TOK_' || lpad(CAST(row_number() OVER (ORDER BY sha256('tok||' || value)) AS VARCHAR), 10, '0') AS token FROM v)
-       SELECT event_id, token AS user_id FROM events JOIN m ON m.value = CAST(user_id AS VARCHAR)""",
+    "SELECT event_id, 'TOK_' || substr(sha256('tok||' || CAST(user_id AS VARCHAR)), 1, 24) AS user_id FROM events",
 )
 def _(t):
     rules = [Rule("user_id", "tokenize", {"salt": "tok"})]
     return p.apply_rules(t.events.select("event_id", "user_id"), rules)
 
 
+@query(
+    "mask_tokens_across_loads",
+    "R05",
+    """SELECT 'TOK_' || substr(sha256('tok||' || CAST(user_id AS VARCHAR)), 1, 24) AS token, COUNT(*) FILTER (WHERE event_id % 2 = 0) AS first_load,
+       COUNT(*) FILTER (WHERE event_id % 2 = 1) AS second_load FROM events GROUP BY 1""",
+)
+def _(t):
+    # Two loads tokenised apart: equal values meet under equal tokens.
+    rules = [Rule("user_id", "tokenize", {"salt": "tok"})]
+    first, second = (p.apply_rules(t.events.where(F.col("event_id") % 2 == k).select("user_id"), rules).withColumn("load", F.lit(k)) for k in (0, 1))
+    both = first.unionByName(second).groupBy(F.col("user_id").alias("token"))
+    return both.agg(F.count_if(F.col("load") == 0).alias("first_load"), F.count_if(F.col("load") == 1).alias("second_load"))
+
+
 @query(
     "mask_encrypt_round_trip",
     "R06",

@@ -473,6 +473,21 @@ def _(t):
     )
 
 
+@query(
+    "agg_plain_average",
+    "A03",
+    """SELECT l_returnflag, l_linestatus, round(AVG(l_extendedprice), 4) AS mean_price, round(AVG(l_discount), 6) AS mean_discount,
+       round(AVG(l_extendedprice * (1 - l_discount)), 4) AS mean_net FROM lineitem GROUP BY 1, 2""",
+)
+def _(t):
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.avg(price), 4).alias("mean_price"),
+        F.round(F.avg(discount), 6).alias("mean_discount"),
+        F.round(F.avg(price * (1 - discount)), 4).alias("mean_net"),
+    )
+
+
 @query(
     "agg_pricing_summary",
     "A03",

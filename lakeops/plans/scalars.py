@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeops.functions.common import day, day_of_week, micros, microseconds_of_day, seconds_between
 from lakeops.functions.texts import json_type
 from lakeops.plans.registry import query
+from lakeops.session import scratch_path
 
 
 @query(
@@ -54,8 +57,7 @@ def _(t):
         F.round(F.pow(v, F.lit(2)), 4).alias("squared"),
         F.round(F.sqrt(v), 6).alias("root"),
         F.round(F.radians(v), 6).alias("rad"),
-        # Spark rounds the shortest decimal form (2.25 -> 2.3); same as rounding v * 10 here.
-        (F.floor(v * 10 + 0.5) / 10).alias("one_digit"),
+        F.round(v, 1).alias("one_digit"),
     )
 
 
@@ -183,3 +185,20 @@ def _(t):
         .groupBy("l_returnflag")
         .agg(F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"))
     )
+
+
+@query(
+    "functions_char_varchar",
+    "FN-type",
+    """SELECT c_custkey, rpad(c_mktsegment, 12, ' ') AS fixed, length(rpad(c_mktsegment, 12, ' '))::INTEGER AS fixed_length, c_mktsegment AS bounded,
+       length(c_mktsegment)::INTEGER AS bounded_length FROM customer""",
+)
+def _(t):
+    # CHAR(n) is padded, VARCHAR(n) is not; both refuse longer values on write.
+    name, path = f"typed_{uuid.uuid4().hex}", scratch_path(t.spark, "typed")
+    t.spark.sql(f"CREATE TABLE {name} (c_custkey BIGINT, fixed CHAR(12), bounded VARCHAR(12)) USING parquet LOCATION '{path}'")
+    rows = t.customer.select("c_custkey", F.col("c_mktsegment").alias("fixed"), F.col("c_mktsegment").alias("bounded"))
+    rows.write.insertInto(name)
+    return t.spark.table(name).select(
+        "c_custkey", "fixed", F.length("fixed").alias("fixed_length"), "bounded", F.length("bounded").alias("bounded_length")
+    )

@@ -1,5 +1,7 @@
-"""Spatial queries.  Customers are points, suppliers are sites and nations are zones, all
-placed in one city box by a low-discrepancy formula of their key."""
+"""Spatial queries.  Customers are points, suppliers are sites and nations are zones, placed in
+city boxes by a low-discrepancy formula of their key.  1,500 points and 100 sites make a city
+and the next ones a city beside it, so that density does not grow with the data; the zones
+lie in the first city."""
 
 from __future__ import annotations
 
@@ -10,16 +12,17 @@ from lakeops.plans.registry import query
 from lakeops.session import settle
 
 LEVEL = 16
-LAT, LNG = "37.7D + 0.12D * (({k} * {a}D) % 1.0D)", "-122.52D + 0.17D * (({k} * {b}D) % 1.0D)"
-POINT = ("0.618033988749895", "0.381966011250105")
-SITE = ("0.754877666246693", "0.569840290998053")
+LAT = "37.7D + 0.12D * (({k} * {a}D) % 1.0D) - 0.3D * (floor({k} / {n}D) % 100.0D)"
+LNG = "-122.52D + 0.17D * (({k} * {b}D) % 1.0D) + 0.4D * (floor({k} / {n}00.0D) % 700.0D)"
+POINT = ("0.618033988749895", "0.381966011250105", "1500")
+SITE = ("0.754877666246693", "0.569840290998053", "100")
 # A five-cornered, dented zone around each centre: (latitude, longitude) offsets.
 CORNERS = [(-0.012, -0.015), (-0.010, 0.014), (0.003, 0.006), (0.013, 0.012), (0.011, -0.013)]
 
 
 def place(key: str, ab, engine: str = "spark") -> tuple[str, str]:
     k = f"CAST({key} AS DOUBLE)"
-    lat, lng = LAT.format(k=k, a=ab[0]), LNG.format(k=k, b=ab[1])
+    lat, lng = LAT.format(k=k, a=ab[0], n=ab[2]), LNG.format(k=k, b=ab[1], n=ab[2])
     if engine == "duckdb":
         import re
 
@@ -285,7 +288,7 @@ def _(t):
         SELECT id, arg_min(site, (m, site)) AS site, round(MIN(m), 2) AS metres FROM d GROUP BY id""",
 )
 def _(t):
-    near = sp.nearest_site(points(t), sites(t), "id", "site", 13)
+    near = sp.nearest_site(points(t), sites(t), "id", "site")
     return near.select("id", "site", F.round("distance_m", 2).alias("metres"))
 
 
