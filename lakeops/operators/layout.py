@@ -47,15 +47,19 @@ def z_value(columns: Sequence[str], bits: int) -> Column:
     return out
 
 
-def z_order(df: DataFrame, columns: Sequence[str], files: int, bits: int = 4) -> DataFrame:
-    """Cluster rows along a z-curve over equal-frequency ranges of each column."""
+def z_order(df: DataFrame, columns: Sequence[str], bits: int = 4) -> DataFrame:
+    """Cluster rows along a z-curve over equal-frequency ranges of each column.
+
+    The number of files follows the bytes: AQE joins small neighbouring ranges up to
+    spark.sql.adaptive.advisoryPartitionSizeInBytes.
+    """
     out = df
     for i, c in enumerate(columns):
         out = with_slice(out, [], [c], slices=2**bits).withColumnRenamed(SLICE, f"_z{i}")
     ranks = [f"_z{i}" for i in range(len(columns))]
     out = out.withColumn("_z", z_value(ranks, bits)).drop(*ranks)
     # The other columns spread rows of one curve cell, so a full cell can still be split.
-    spread = out.repartitionByRange(files, "_z", *columns)
+    spread = out.repartitionByRange("_z", *columns)
     return spread.sortWithinPartitions("_z").drop("_z")
 
 
@@ -106,10 +110,11 @@ def partition_skew(df: DataFrame, by: Sequence[str], tiny_share: float, hot_shar
     return per.withColumns({"share": share}).withColumn("flag", flag)
 
 
-def bloom_options(columns: Sequence[str], distinct: int = 1_000_000) -> dict[str, str]:
-    """Parquet writer options that add bloom filters for point lookups."""
+def bloom_options(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Parquet writer options that add bloom filters for point lookups, sized by the columns' distinct values."""
+    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     pairs = [
-        (f"parquet.bloom.filter.{k}#{c}", v) for c in columns for k, v in (("enabled", "true"), ("expected.ndv", str(distinct)))
+        (f"parquet.bloom.filter.{k}#{c}", v) for c in columns for k, v in (("enabled", "true"), ("expected.ndv", str(max(1, distinct[c]))))
     ]
     return dict(pairs)
 

@@ -480,19 +480,19 @@ KEYS = ["user_id"]
 
 
 def change_log(t):
-    """Events as a change log: a key per user, a version per day; an error deletes the key."""
+    """Events as a change log: a key per user, a version per day since the first event; an error deletes the key."""
     return t.events.select(
         "user_id",
         "event_type",
         "value",
-        F.dayofmonth("ts").alias("version"),
+        (F.datediff(F.to_date("ts"), t.events.agg(F.min(F.to_date("ts"))).scalar()) + 1).alias("version"),
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
         F.col("ts").cast("timestamp").alias("commit_ts"),
     )
 
 
-LOG = """log AS (SELECT user_id, event_type, value, CAST(day(ts) AS INTEGER) AS version, event_id AS seq,
+LOG = """log AS (SELECT user_id, event_type, value, CAST(date_diff('day', (SELECT MIN(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) + 1 AS INTEGER) AS version, event_id AS seq,
   CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, ts FROM events)"""
 
 

@@ -165,7 +165,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "zorder")
-    lay.z_order(t.orders, ["o_totalprice", "o_custkey", "o_orderdate"], files=16).write.parquet(path)
+    lay.z_order(t.orders, ["o_totalprice", "o_custkey", "o_orderdate"]).write.parquet(path)
     hit = t.spark.read.parquet(path).where("o_totalprice > 400000 AND o_custkey < 100")
     return hit.groupBy("o_orderpriority").agg(F.count("*").alias("n"), total("o_totalprice").alias("value"))
 
@@ -188,7 +188,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "bloom")
-    t.orders.write.options(**lay.bloom_options(["o_custkey"])).parquet(path)
+    t.orders.write.options(**lay.bloom_options(t.orders, ["o_custkey"])).parquet(path)
     best = t.orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey").first()["o_custkey"]
     return t.spark.read.parquet(path).where(F.col("o_custkey") == best).select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -208,6 +208,21 @@ def _(t):
     ).agg(F.count("*").alias("n"))
 
 
+@query(
+    "layout_transformed_partitions",
+    "L05 S45",
+    """SELECT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, CAST(user_id % 8 AS INTEGER) AS bucket, COUNT(*) AS n, MIN(event_id) AS first_event
+       FROM events WHERE user_id % 8 IN (1, 5) GROUP BY ALL""",
+)
+def _(t):
+    path = scratch_path(t.spark, "transforms")
+    parts = {"month": day(F.date_trunc("month", "ts")), "bucket": F.pmod("user_id", F.lit(8)).cast("int")}
+    lay.write_partitioned(t.events.withColumns(parts), path, ["month", "bucket"])
+    # The filter names a partition column, so only the folders of two buckets are read.
+    hit = t.spark.read.parquet(path).where(F.col("bucket").isin(1, 5))
+    return hit.groupBy(F.col("month").cast("string").alias("month"), "bucket").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
 @query(
     "layout_partition_skew",
     "L07",

@@ -251,11 +251,10 @@ def _(t):
 )
 def _(t):
     # Nation by year: a window partition holds at most one row per nation, plus the subtotal.
-    per = (
-        star(t)
-        .rollup("n_name", F.year("o_orderdate").alias("order_year"))
-        .agg(F.sum(net("l_extendedprice", "l_discount")).cast("double").alias("revenue"), F.count("*").alias("lines"))
-    )
+    # Lines are summed by the finest keys first, so the rollup expands a few hundred rows; decimals keep it exact.
+    fine = star(t).groupBy("n_name", F.year("o_orderdate").alias("order_year"))
+    fine = fine.agg(F.sum(net("l_extendedprice", "l_discount")).alias("revenue"), F.count("*").alias("lines"))
+    per = fine.rollup("n_name", "order_year").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("lines").alias("lines"))
     place = F.rank().over(Window.partitionBy("order_year").orderBy(F.col("revenue").desc()))
     return per.withColumn("place", place.cast("long"))
 
@@ -590,6 +589,14 @@ def segment_orders(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
 
 
+def finest(df, *keys):
+    """Rows and exact value by the finest keys, so that sets of keys expand groups and not rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("value"))
+
+
+FROM_FINEST = (F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"))
+
+
 @query(
     "agg_grouping_sets",
     "A09",
@@ -598,11 +605,8 @@ def segment_orders(t):
 )
 def _(t):
     seg, status = F.col("c_mktsegment"), F.col("o_orderstatus")
-    return (
-        segment_orders(t)
-        .groupingSets([[seg, status], [seg], [status], []], seg, status)
-        .agg(F.count("*").alias("n"), total("o_totalprice").alias("value"))
-    )
+    fine = finest(segment_orders(t), "c_mktsegment", "o_orderstatus")
+    return fine.groupingSets([[seg, status], [seg], [status], []], seg, status).agg(*FROM_FINEST)
 
 
 @query(
@@ -612,9 +616,7 @@ def _(t):
        GROUP BY ROLLUP (c_mktsegment, o_orderpriority)""",
 )
 def _(t):
-    return segment_orders(t).rollup("c_mktsegment", "o_orderpriority").agg(
-        F.count("*").alias("n"), total("o_totalprice").alias("value")
-    )
+    return finest(segment_orders(t), "c_mktsegment", "o_orderpriority").rollup("c_mktsegment", "o_orderpriority").agg(*FROM_FINEST)
 
 
 @query(
@@ -623,7 +625,8 @@ def _(t):
     "SELECT l_returnflag, l_linestatus, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)",
 )
 def _(t):
-    return t.lineitem.cube("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
+    keys = ("l_returnflag", "l_linestatus", "l_linenumber")
+    return t.lineitem.groupBy(*keys).count().cube(*keys).agg(F.sum("count").alias("n"))
 
 
 @query(
@@ -636,9 +639,9 @@ def _(t):
 )
 def _(t):
     cubed = (
-        segment_orders(t)
+        finest(segment_orders(t), "c_mktsegment", "o_orderstatus")
         .cube("c_mktsegment", "o_orderstatus")
-        .agg(F.grouping("c_mktsegment").alias("gs"), F.grouping("o_orderstatus").alias("gt"), F.count("*").alias("n"))
+        .agg(F.grouping("c_mktsegment").alias("gs"), F.grouping("o_orderstatus").alias("gt"), F.sum("n").alias("n"))
     )
     return cubed.where("gs = 1 OR gt = 1").select(
         F.when(F.col("gs") == 1, "ALL").otherwise(F.col("c_mktsegment")).alias("segment"),

@@ -186,8 +186,9 @@ def order_documents(t):
         ).alias("order"),
         F.struct(F.lit("x").alias("secret")).alias("internal"),
     )
-    t.orders.select(F.to_json(doc).alias("value")).write.text(path)
-    return t.spark.read.json(path)
+    made = t.orders.select(doc.alias("doc"))
+    made.select(F.to_json("doc").alias("value")).write.text(path)
+    return t.spark.read.schema(made.select("doc.*").schema).json(path)
 
 
 TAGS = "split_part(o_orderpriority, '-', 1), split_part(o_orderpriority, '-', 2)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeops.functions.common import day, mean, micros, total
@@ -331,9 +333,10 @@ def _(t):
         SELECT c_mktsegment, COUNT(*) AS n, {dsum('o_totalprice')} / COUNT(*) AS mean_value FROM segment_value WHERE o_orderstatus = 'O' GROUP BY 1""",
 )
 def _(t):
-    segment_orders(t).select("c_mktsegment", "o_orderstatus", "o_totalprice").createOrReplaceTempView("segment_value")
+    view = f"segment_value_{uuid.uuid4().hex}"  # two runs in one session have a view each
+    segment_orders(t).select("c_mktsegment", "o_orderstatus", "o_totalprice").createTempView(view)
     return (
-        t.spark.table("segment_value")
+        t.spark.table(view)
         .where("o_orderstatus = 'O'")
         .groupBy("c_mktsegment")
         .agg(F.count("*").alias("n"), mean("o_totalprice").alias("mean_value"))
