@@ -165,3 +165,32 @@ def test_weighted_distances(spark):
                 dist[b] = dist[a] + w
     edges = spark.createDataFrame(rows, "src long, dst long, weight double")
     assert by_id(g.distances(edges, 0), "distance") == dist
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, tmp_path):
+    puts = []
+
+    class Counted(g.Rounds):
+        def put(self, df):
+            puts.append(self.name)
+            return super().put(df)
+
+    monkeypatch.setattr(g, "Rounds", Counted)
+    ids = list(range(4096))
+    random.Random(5).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long").coalesce(4)
+    labels = by_id(g.connected_components(spark.range(4097), edges), "component")
+    assert set(labels[i] for i in range(4096)) == {0} and labels[4096] == 4096
+    assert len(puts) <= 24
+
+
+def test_only_the_last_round_is_kept(spark):
+    import os
+
+    from lakeops.session import Rounds, shared_dir
+
+    rounds = Rounds(spark, "kept-test")
+    for i in range(3):
+        df = rounds.put(spark.range(i + 1))
+    folder = shared_dir(spark).removeprefix("file:")
+    assert df.count() == 3 and sum(n.startswith("kept-test-") for n in os.listdir(folder)) == 1
