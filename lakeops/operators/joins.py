@@ -1,4 +1,4 @@
-"""Joins that Spark has no direct form for: interval overlap, as-of, bounded product."""
+"""Joins that Spark has no direct form for: interval overlap and as-of."""
 
 from __future__ import annotations
 
@@ -10,23 +10,6 @@ from pyspark.sql import functions as F
 from lakeops.operators.ordered import SLICE, sort_columns, with_slice
 
 
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def pair_with_bounded(df: DataFrame, small: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Every row of ``df`` with every row of ``small``, whose size is checked first.
-
-    ``small`` becomes one array, sent once; each row is expanded in place, so nothing of
-    ``df`` moves.  A larger ``small`` is an error: a true product would be the result.
-    """
-    if not is_bounded(small, max_rows):
-        raise ValueError(f"the second side has more than {max_rows} rows")
-    packed = small.agg(F.collect_list(F.struct(*small.columns)).alias("rows")).scalar()
-    return df.withColumn("_rows", packed).withColumn("_row", F.explode("_rows")).select(*df.columns, "_row.*")
-
-
 def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, bucket: int) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose half-open intervals [start, end) overlap.
 

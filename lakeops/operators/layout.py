@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.operators.ordered import SLICE, running, with_slice
+from lakeops.operators.ordered import running
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite", fmt: str = "parquet") -> None:
@@ -47,15 +47,30 @@ def z_value(columns: Sequence[str], bits: int) -> Column:
     return out
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A column's value as a double of the same order; text by its first six bytes."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    if kind.startswith(("timestamp", "date")):
+        return c.cast("timestamp").cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
 def z_order(df: DataFrame, columns: Sequence[str], bits: int = 4) -> DataFrame:
     """Cluster rows along a z-curve over equal-frequency ranges of each column.
 
     The number of files follows the bytes: AQE joins small neighbouring ranges up to
     spark.sql.adaptive.advisoryPartitionSizeInBytes.
     """
+    cuts = [i / 2**bits for i in range(1, 2**bits)]
+    bounds = df.agg(*[F.percentile_approx(as_number(df, c), cuts).alias(f"b{i}") for i, c in enumerate(columns)]).first()
     out = df
     for i, c in enumerate(columns):
-        out = with_slice(out, [], [c], slices=2**bits).withColumnRenamed(SLICE, f"_z{i}")
+        # At most 2^bits cuts per column, whatever the size of the table.
+        below = [F.when(as_number(df, c) > F.lit(float(b)), 1).otherwise(0) for b in bounds[i] or []]
+        out = out.withColumn(f"_z{i}", reduce(lambda x, y: x + y, below, F.lit(0)))
     ranks = [f"_z{i}" for i in range(len(columns))]
     out = out.withColumn("_z", z_value(ranks, bits)).drop(*ranks)
     # The other columns spread rows of one curve cell, so a full cell can still be split.

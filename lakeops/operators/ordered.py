@@ -21,8 +21,6 @@ from lakeops.session import settle
 
 SLICE = "_slice"
 CARRY = "_carry"
-POINTS_PER_SLICE = 16
-TREE_POINTS = 40
 
 
 def parse_order(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -35,80 +33,19 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
 
 
 def default_slices(df: DataFrame) -> int:
-    """A few slices per core, so that uneven ones even out."""
-    return max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    """As many as a shuffle has partitions, and a few per core, so that uneven ones even out."""
+    spark = df.sparkSession
+    return max(8, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _split_points(df: DataFrame, cols: list[str], order: Sequence[str], slices: int) -> list:
-    """``slices - 1`` rows that cut the ordered table into similar ranges.
+def with_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Add ``_slice``: a number that rises with (keys, order); equal rows share a slice.
 
-    The points come from a hash-picked subset of bounded size, so the same table always
-    gives the same points.  They only place the cuts; every row stays in the result.
+    One range shuffle, whose cuts Spark samples and keeps on its own; the partition's number
+    is the slice.  The rows are written with it, so all later reads see the same cuts.
     """
-    keys = df.select(*cols)
-    wanted = slices * POINTS_PER_SLICE
-    total = keys.count()
-    picked = keys.withColumn("_pick", F.xxhash64(*cols))
-    if total > 4 * wanted:
-        # Hashes are uniform over 64 bits: keep a share of about 4 * wanted / total.
-        share = 4.0 * wanted / total
-        picked = picked.where(F.col("_pick") < F.lit(int(-(2**63) + share * 2.0**64)))
-    points = picked.orderBy("_pick").limit(wanted).drop("_pick").orderBy(*sort_columns(order)).collect()
-    step = max(1, len(points) // slices)
-    return points[step::step][: slices - 1]
-
-
-def with_slice(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None
-) -> DataFrame:
-    """Add ``_slice``: a number that rises with (keys, order)."""
-    n = slices or default_slices(df)
-    items = parse_order([*keys, *order])
-    cols = [c for c, _ in items]
-    points = _split_points(df, cols, [*keys, *order], n)
-    if not points:
-        return df.withColumn(SLICE, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def literal(point) -> list[Column]:
-        return [F.lit(point[c]).cast(types[c]) for c in cols]
-
-    def not_after(bound: Sequence[Column]) -> Column:
-        """bound <= this row, compared column by column (NULL lowest, as Spark sorts)."""
-        verdict = F.lit(True)
-        for b, (c, up) in reversed(list(zip(bound, items))):
-            r = F.col(c)
-            low, high = (b, r) if up else (r, b)
-            less = F.coalesce(low < high, low.isNull() & high.isNotNull())
-            verdict = less | (b.eqNullSafe(r) & verdict)
-        return verdict
-
-    if len(points) <= TREE_POINTS:
-        # Few cuts: a decision tree, which Spark compiles.
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(not_after(literal(points[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-        return df.withColumn(SLICE, tree(0, len(points)))
-    # Many cuts: a binary search in one constant array, as compiled code has a size limit.
-    names = [f"f{i}" for i in range(len(cols))]
-    bounds = F.array(*[F.struct(*[v.alias(n) for n, v in zip(names, literal(p))]) for p in points])
-
-    def halve(state: Column, _: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        at = F.get(bounds, mid)
-        right = (lo < hi) & not_after([at[n] for n in names])
-        return F.struct(
-            F.when(right, mid + 1).otherwise(lo).alias("lo"),
-            F.when((lo < hi) & ~right, mid).otherwise(hi).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
-    steps = F.array(*[F.lit(i) for i in range(len(points).bit_length())])
-    return df.withColumn(SLICE, F.aggregate(steps, start, halve, lambda s: s["lo"]))
+    ranged = df.repartitionByRange(slices or default_slices(df), *sort_columns([*keys, *order]))
+    return settle(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def running(
@@ -122,8 +59,9 @@ def running(
 ) -> DataFrame:
     """Running sums in ``order`` within ``keys``, plus whole-key ``totals`` of expressions.
 
-    The input is read for its split points, for slice totals and for the result.
-    ``settle_input`` writes a derived input down once, instead of computing it each time.
+    The input is read by the range shuffle, which samples it first; ``settle_input`` writes a
+    costly derived input down once for these two reads.  Slice totals and the result come
+    from the written slices.
 
     Each slice is summed on its own.  One carrier row per (key, slice) sorts first in the
     slice and brings the sum of all earlier slices, so no join back is needed.
@@ -135,7 +73,7 @@ def running(
         df = settle(df, "ordered")
     values = {f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}
     parts = {f"_t_{k}": v for k, v in totals.items()}
-    sliced = with_slice(df, keys, order, slices).withColumns({**values, **parts})
+    sliced = with_slice(df.withColumns({**values, **parts}), keys, order, slices)
     per_slice = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(c) for c in [*values, *parts]])
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -471,14 +471,13 @@ def _(t):
 @query(
     "load_missing_keys",
     "S38",
-    """SELECT c.c_nationkey, y.y FROM (SELECT DISTINCT c_nationkey FROM customer) c, (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) y
+    """SELECT c.c_nationkey, y.y FROM (SELECT DISTINCT c_nationkey FROM customer) c,
+       (SELECT CAST(unnest(range(MIN(year(o_orderdate)), MAX(year(o_orderdate)) + 1)) AS INTEGER) AS y FROM orders) y
        WHERE (c.c_nationkey, y.y) NOT IN (SELECT c_nationkey, CAST(year(o_orderdate) AS INTEGER) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 499000)""",
 )
 def _(t):
-    from lakeops.operators.joins import pair_with_bounded
-
-    years = t.orders.select(F.year("o_orderdate").alias("y")).distinct()
-    wanted = pair_with_bounded(t.customer.select("c_nationkey").distinct(), years, max_rows=1000)
+    ends = t.orders.agg(F.sequence(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate")))).scalar()
+    wanted = t.customer.select("c_nationkey").distinct().select("c_nationkey", F.explode(ends).alias("y"))
     loaded = (
         t.orders.where("o_totalprice > 499000")
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))

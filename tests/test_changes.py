@@ -82,8 +82,3 @@ def test_as_of_join_across_slices(spark):
         ok = [x for k, t, x in right if k == r["k"] and t <= r["at"]]
         assert r["rate"] == (max(ok) if r["k"] == "hot" and ok else (ok[0] if ok else None))
     assert len(out) == 200
-
-
-def test_bounded_product_is_checked(spark):
-    with pytest.raises(ValueError):
-        joins.pair_with_bounded(spark.range(3), spark.range(50).withColumnRenamed("id", "j"), max_rows=10)

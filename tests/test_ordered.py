@@ -82,7 +82,7 @@ def test_hot_key_is_spread_over_slices(df):
     assert len(per) >= 5 and max(r["count"] for r in per) < 200
 
 
-def test_many_cuts_use_the_array_search(df):
+def test_many_cuts(df):
     few, many = o.with_slice(df, ["k"], ["-o", "id"], 10), o.with_slice(df, ["k"], ["-o", "id"], 60)
     both = few.withColumnRenamed(o.SLICE, "few").join(many.select("id", o.SLICE), "id")
     # Both rise with the same order, so a finer slice never lies in two places of the coarse order.
