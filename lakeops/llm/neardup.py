@@ -9,12 +9,14 @@ than a shingle is one shingle.  Two documents are linked when their sets' Jaccar
    ``rows`` bins make a band key.  Pairs at the similarity bound share no band with a
    probability of (1 - s^rows)^(bins/rows): 3e-6 for the defaults.
 2. Documents with equal sets form a class, named by its smallest id; only classes go on.
-3. In each bucket of a band one class is the hub, the smallest id of the smallest component
-   present, and the candidates are a star around it: n classes give at most n - 1 pairs.  Every pair is confirmed on the full sets.
-4. Stars alone miss links between two members that are not like the hub.  So each bucket that
-   still holds different components is split by each of the later bands, and its parts form
-   stars anew, until no part holds two components or no band is left.  Documents that share a
-   passage meet in few bands and are parted soon; similar ones meet again and again.
+3. In each bucket of a band one class is the hub and the candidates are a star around it: n
+   classes give n - 1 pairs.  Every pair is measured on the full sets, which are made once,
+   for the classes that share a bucket with another one.
+4. The first stars are around the smallest class of each bucket.  Two members that are not like
+   that hub can still be linked, so the buckets that hold different components form stars
+   anew, around three hubs picked at random for each bucket, and pairs across components are
+   measured, round after round until two rounds find no link.  Linked documents meet in several
+   buckets and so under many hubs in each round.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, as are rows
 without an id (their component is null, and they are kept).  Rows with the same id count as one
@@ -27,12 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import map_batches, mixed, shingle_hashes, utf8, word_hashes
 from lakeops.operators.graph import component_stars
-from lakeops.session import Rounds, settle
+from lakeops.session import settle
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -96,35 +98,33 @@ def signatures(documents: DataFrame, width: int, bins: int, rows: int) -> DataFr
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``wanted`` (doc_id, hubs) with the document's full set as array."""
+    """(rep, n, items): the full sets of the documents whose id is in ``wanted`` (rep)."""
 
     def build():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, width).view(np.int64) for t in batch["text"].to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
-            return pa.RecordBatch.from_arrays([batch["doc_id"], batch["hubs"], found], names=["doc_id", "hubs", "items"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            return pa.RecordBatch.from_arrays([batch["rep"], sizes, found], names=["rep", "n", "items"])
 
         return run
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return map_batches(texts.join(wanted, "doc_id"), build, "doc_id long, hubs array<long>, items array<long>")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), utf8().alias("text"))
+    return map_batches(texts.join(wanted, "rep", "left_semi"), build, "rep long, n long, items array<long>")
 
 
-def similar(shared: Column, left: Column, right: Column, percent: int) -> Column:
-    return 100 * shared >= percent * (left + right - shared)
-
-
-def confirmed(documents: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar.  A document is in few stars: at most one per band."""
-    member = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"))
-    itself = pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"))
-    wanted = member.union(itself).groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
-    sets = settle(sets_of(documents, wanted, width), "neardup-sets")
-    hubs = sets.where(F.array_contains("hubs", F.col("doc_id"))).select(F.col("doc_id").alias("a"), F.col("items").alias("of_a"))
-    others = sets.select(F.explode("hubs").alias("a"), F.col("doc_id").alias("b"), F.col("items").alias("of_b")).where("a <> b")
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for the pairs (a, b), from their full sets; sizes alone settle many."""
+    sizes = sets.select("rep", "n").distinct()
+    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    of_a, of_b = (sets.select(F.col("rep").alias(k), F.col("items").alias(f"of_{k}")) for k in ("a", "b"))
+    both = sized.where(near).select("a", "b").distinct().join(of_b, "b").join(of_a, "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return others.join(hubs, "a").where(similar(shared, F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
+    similar = 100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)
+    # Rows of the same id can have several texts: one that is similar links them.
+    return both.select("a", "b", similar.alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
@@ -135,29 +135,21 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     classes = settle(whole.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "neardup-classes")
     # The class's row of its smallest id; what repeated rows add is made one by the aggregates below.
     reps = whole.join(classes.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys")
+    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    crowd = settle(keyed.join(shared, "key", "left_semi"), "neardup-buckets")
+    sets = settle(sets_of(documents, crowd.select("rep").distinct(), width), "neardup-sets")
     labels = spark.createDataFrame([], "id long, component long")
-    state = Rounds(spark, "neardup-buckets")
-    rows_in = reps.select("rep", "n", F.posexplode("keys").alias("band", "key")).withColumn("component", F.col("rep"))
-    while True:
-        parts = rows_in.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("rep").alias("rep"))
-        least = parts.groupBy("key").agg(F.min(F.struct("size", "rep"))["rep"].alias("hub"), F.count("*").alias("parts"))
-        crowd = state.put(rows_in.join(least.where("parts > 1").select("key", "hub"), "key"))
-        if crowd.isEmpty():
-            break
-        hubs = crowd.where("rep = hub").select("key", F.col("n").alias("hub_n"), F.col("component").alias("hub_component")).distinct()
-        near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-        stars = crowd.join(hubs, "key").where(near & (F.col("component") != F.col("hub_component")))
-        pairs = settle(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "neardup-pairs")
-        if not pairs.isEmpty():
-            labels = merged(labels, confirmed(documents, pairs, width, percent))
-        known = labels.withColumnRenamed("id", "rep")
-        left = crowd.where("rep <> hub").drop("component").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = left.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-        left = left.join(open_keys, "key", "left_semi").join(reps.select("rep", "keys").distinct(), "rep")
-        later = F.expr("slice(keys, band + 2, size(keys))")
-        left = left.select("rep", "n", "component", "key", "band", F.posexplode(later).alias("at", "more"))
-        rows_in = left.select("rep", "n", (F.col("band") + 1 + F.col("at")).alias("band"), F.xxhash64("key", "more").alias("key"), "component")
+    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    turn, quiet = 0, 0
+    while quiet < 2:
+        pairs = stars(crowd, labels, turn).join(tested, ["a", "b"], "left_anti")
+        new = settle(measured(pairs, sets, percent), "neardup-pairs")
+        tested = tested.unionByName(new)
+        links = new.where("linked").select("a", "b")
+        quiet = quiet + 1 if links.isEmpty() else 0
+        labels = merged(labels, links)
+        turn += 1
     named = marked.join(classes, "set_id", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = F.when(linked, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
@@ -166,9 +158,27 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     )
 
 
+def stars(crowd: DataFrame, labels: DataFrame, turn: int, hubs: int = 3) -> DataFrame:
+    """Distinct pairs (a < b) of different components, each bucket's around its hubs.
+
+    Turn 0 has one hub, the smallest id.  Later turns have ``hubs``: each is the id that is
+    smallest after an exclusive or with a hash of the bucket, which makes it a random member.
+    """
+    salts = [F.lit(0).cast("long")]
+    if turn:
+        salts = [F.xxhash64("key", F.lit(turn), F.lit(i)).bitwiseAND(F.lit(2**62 - 1)) for i in range(hubs)]
+    known = labels.withColumnRenamed("id", "rep")
+    rows = crowd.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    picks = [F.min(F.col("rep").bitwiseXOR(salt)).alias(f"pick{i}") for i, salt in enumerate(salts)]
+    picked = rows.groupBy("key").agg(*picks, F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    ids = F.array_distinct(F.array(*[F.col(f"pick{i}").bitwiseXOR(salt) for i, salt in enumerate(salts)]))
+    both = rows.join(picked.select("key", ids.alias("hubs")), "key").select("rep", "component", F.explode("hubs").alias("hub"))
+    both = both.distinct().join(labels.toDF("hub", "of_hub"), "hub", "left").where(F.col("component") != F.coalesce("of_hub", "hub"))
+    return both.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after adding links (a, b); only components that meet are labelled anew."""
-    links = settle(links, "neardup-links")
     if links.isEmpty():
         return labels
     of_a = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
