@@ -597,7 +597,9 @@ def finest(df, *keys):
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("value"))
 
 
-FROM_FINEST = (F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"))
+def from_finest():
+    """The same, of groups of finest keys."""
+    return F.sum("n").alias("n"), F.sum("value").cast("double").alias("value")
 
 
 @query(
@@ -609,7 +611,7 @@ FROM_FINEST = (F.sum("n").alias("n"), F.sum("value").cast("double").alias("value
 def _(t):
     seg, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     fine = finest(segment_orders(t), "c_mktsegment", "o_orderstatus")
-    return fine.groupingSets([[seg, status], [seg], [status], []], seg, status).agg(*FROM_FINEST)
+    return fine.groupingSets([[seg, status], [seg], [status], []], seg, status).agg(*from_finest())
 
 
 @query(
@@ -619,7 +621,7 @@ def _(t):
        GROUP BY ROLLUP (c_mktsegment, o_orderpriority)""",
 )
 def _(t):
-    return finest(segment_orders(t), "c_mktsegment", "o_orderpriority").rollup("c_mktsegment", "o_orderpriority").agg(*FROM_FINEST)
+    return finest(segment_orders(t), "c_mktsegment", "o_orderpriority").rollup("c_mktsegment", "o_orderpriority").agg(*from_finest())
 
 
 @query(
