@@ -14,9 +14,9 @@ than a shingle is one shingle.  Two documents are linked when their sets' Jaccar
    for the classes that share a bucket with another one.
 4. The first stars are around the smallest class of each bucket.  Two members that are not like
    that hub can still be linked, so the buckets that hold different components form stars
-   anew, around three hubs picked at random for each bucket, and pairs across components are
+   anew, around a hub picked at random for each bucket, and pairs across components are
    measured, round after round until two rounds find no link.  Linked documents meet in several
-   buckets and so under many hubs in each round.
+   buckets and so under several hubs in each round.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, as are rows
 without an id (their component is null, and they are kept).  Rows with the same id count as one
@@ -158,7 +158,7 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     )
 
 
-def stars(crowd: DataFrame, labels: DataFrame, turn: int, hubs: int = 3) -> DataFrame:
+def stars(crowd: DataFrame, labels: DataFrame, turn: int, hubs: int = 1) -> DataFrame:
     """Distinct pairs (a < b) of different components, each bucket's around its hubs.
 
     Turn 0 has one hub, the smallest id.  Later turns have ``hubs``: each is the id that is
