@@ -1,6 +1,7 @@
 """WARC archives of pages, and their capture index merged from sorted runs.
 
-``write`` puts one record per page into WARC 1.1 files of bounded size in a shared folder.  Of
+``write`` puts one record per page into gzipped WARC 1.1 files of bounded size in a shared folder
+(positions are those in the unpacked file).  Of
 pages with equal payloads of ``least`` bytes or more, the one of the largest id is a response and
 the others are revisits that refer to it; all smaller ones are responses.  ``read`` parses the
 archives back by the records' lengths, one archive per row, and gives each archive's index as a
@@ -16,6 +17,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -80,7 +82,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, archive_bytes: int = 1
     )
     record = F.concat(head, http, F.when(again, "").otherwise(F.col("html")))
     # Two line ends close a record, so they are the writer's line end.
-    dealt.select(record.alias("value")).write.option("lineSep", END * 2).text(path)
+    dealt.select(record.alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -142,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                yield batch_of(entries(name.as_py().rpartition("/")[2], content.as_py()))
+                yield batch_of(entries(name.as_py().rpartition("/")[2], gzip.decompress(content.as_py())))
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, FIELDS)
 
