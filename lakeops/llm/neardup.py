@@ -15,8 +15,12 @@ than a shingle is one shingle.  Two documents are linked when their sets' Jaccar
 4. The first stars are around the smallest class of each bucket.  Two members that are not like
    that hub can still be linked, so the buckets that hold different components form stars
    anew, around a hub picked at random for each bucket, and pairs across components are
-   measured, round after round until two rounds find no link.  Linked documents meet in several
-   buckets and so under several hubs in each round.
+   measured, round after round until one finds no link.  Stars only join what is joined easily.
+5. The classes of all buckets that still hold different components are then compared exactly, by
+   a prefix filter.  Shingles are put in one order, rare ones first; a set of n shingles can only
+   be linked with one of its size or more when they share a shingle among its first
+   n - ceil(2s / (1 + s) n) + 1 and the other's first n - ceil(s n) + 1, and when what follows
+   that shingle is enough.  Every such pair of different components is measured.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, as are rows
 without an id (their component is null, and they are kept).  Rows with the same id count as one
@@ -36,6 +40,9 @@ from lakeops.llm.common import map_batches, mixed, shingle_hashes, utf8, word_ha
 from lakeops.operators.graph import component_stars
 from lakeops.session import settle
 
+#: Slots in which shingles are counted to put rare ones first: 8 MB on every executor.
+SLOTS = 1 << 20
+
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
@@ -141,15 +148,17 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     sets = settle(sets_of(documents, crowd.select("rep").distinct(), width), "neardup-sets")
     labels = spark.createDataFrame([], "id long, component long")
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    turn, quiet = 0, 0
-    while quiet < 2:
+    turn, more = 0, True
+    while more:
         pairs = stars(crowd, labels, turn).join(tested, ["a", "b"], "left_anti")
         new = settle(measured(pairs, sets, percent), "neardup-pairs")
         tested = tested.unionByName(new)
         links = new.where("linked").select("a", "b")
-        quiet = quiet + 1 if links.isEmpty() else 0
+        more = not links.isEmpty()
         labels = merged(labels, links)
         turn += 1
+    pairs = settle(rest(crowd, labels, sets, percent).join(tested, ["a", "b"], "left_anti"), "neardup-rest")
+    labels = merged(labels, settle(measured(pairs, sets, percent).where("linked").select("a", "b"), "neardup-links"))
     named = marked.join(classes, "set_id", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = F.when(linked, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
@@ -177,6 +186,57 @@ def stars(crowd: DataFrame, labels: DataFrame, turn: int, hubs: int = 1) -> Data
     return both.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, near, first): the first shingles of each set in one order, as many as a link can need.
+
+    The first ``near`` of them are enough towards sets of the same size or more.  Rare shingles
+    come first, as counted in ``SLOTS`` hashed slots; any order gives the same links.
+    """
+    slot = F.col("item").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    found = sets.select(F.explode("items").alias("item")).groupBy(slot).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def build():
+        counts = shared.value
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, near, first = batch["n"].to_numpy(), [], []
+            items = batch["items"]
+            flat, ends = items.values.to_numpy(), items.offsets.to_numpy()
+            for n, at in zip(sizes.tolist(), ends):
+                own = flat[at : at + n]
+                order = np.lexsort((own, counts[own & (SLOTS - 1)]))
+                first.append(own[order[: n - -(-percent * n // 100) + 1]])
+                near.append(n - -(-2 * percent * n // (100 + percent)) + 1)
+            ends = np.cumsum([0, *map(len, first)])
+            packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
+            return pa.RecordBatch.from_arrays([batch["rep"], batch["n"], pa.array(near, pa.int64()), packed], names=["rep", "n", "near", "first"])
+
+        return run
+
+    return map_batches(sets.select("rep", "n", "items").where("n > 0"), build, "rep long, n long, near long, first array<long>")
+
+
+def rest(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components that can be linked, of all buckets that hold some."""
+    rows = crowd.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
+    left = settle(rows.join(mixed_keys, "key", "left_semi").select("rep", "component").distinct(), "neardup-open")
+    if left.isEmpty():
+        return left.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    marks = prefixes(sets, percent).join(left, "rep").select("rep", "component", "n", "near", F.posexplode("first").alias("at", "item"))
+    marks = settle(marks, "neardup-prefixes")
+    small = marks.where("at < near").select("item", *[F.col(c).alias(f"{c}_s") for c in ("rep", "component", "n", "at")])
+    large = marks.select("item", *[F.col(c).alias(f"{c}_l") for c in ("rep", "component", "n", "at")])
+    shared = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))  # this shingle and those behind it
+    can = (F.col("component_s") != F.col("component_l")) & (F.col("n_s") <= F.col("n_l")) & (F.col("n_s") * 100 >= F.col("n_l") * percent)
+    can &= shared * (100 + percent) >= (F.col("n_s") + F.col("n_l")) * percent
+    both = small.join(large, (small["item"] == large["item"]) & can)
+    return both.select(F.least("rep_s", "rep_l").alias("a"), F.greatest("rep_s", "rep_l").alias("b")).distinct()
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after adding links (a, b); only components that meet are labelled anew."""
     if links.isEmpty():

@@ -144,6 +144,21 @@ def test_large_group_of_copies(spark):
     assert all(got[d] == (0 if d < 2000 else d) for d, _ in rows)
 
 
+def test_links_within_a_loosely_similar_family(spark):
+    # 300 members are 0.72 alike, less than a link; every second one is 0.802 like the one before.
+    common, rows = [f"c{i}" for i in range(84)], []
+    for i in range(0, 300, 2):
+        twins = [f"t{i}_{j}" for j in range(5)]
+        for d in (i, i + 1):
+            rows.append((d, " ".join(common + twins + [f"o{d}_{j}" for j in range(11)])))
+    # And a chain in which each member is like the next one only.
+    chain = [f"k{i}" for i in range(160)]
+    rows += [(1000 + i, " ".join(chain[4 * i : 4 * i + 40])) for i in range(31)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.group(docs_of(spark, rows), 1).collect()}
+    assert got == brute_groups(rows, 1)
+    assert all(got[d][1] == d // 2 * 2 for d in range(300))
+
+
 # URL rules
 
 
