@@ -15,6 +15,7 @@ An empty table gives no rows.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,13 +34,24 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
+def stem(word: bytes) -> int:
+    """Where the word's trailing marks begin; its end if the tokenizer could join them with what is before."""
+    k = len(word.rstrip(MARKS))
+    if not 0 < k < len(word) or b"'" in word:
+        return len(word)
+    # The tokenizer composes and lower-cases first, which can put a combining sign last.
+    last = unicodedata.normalize("NFC", word[:k].decode()).lower()[-1]
+    return k if unicodedata.category(last)[0] in "LN" else len(word)
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, by way of a table of words.
 
     For a tokenizer that drops white space, ignores case and never joins characters over
-    white space or from a letter to a following mark, a text's ids are those of its words put
-    together, and a word's those of its stem and its trailing marks.  Texts that may hold a
-    special token are given to the tokenizer whole.  The table is emptied at ``most`` words.
+    white space or from a letter or digit to a following mark, a text's ids are those of its words
+    put together, and a word's those of its stem and its trailing marks, if the stem ends in a
+    letter or digit; other words, and texts that may hold a special token, are given to the
+    tokenizer whole.  The table is emptied at ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -68,8 +80,8 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         """Add words to the table; each new stem and each new run of marks is tokenised once."""
         known = self.known
-        cut = {w: len(w.rstrip(MARKS)) for w in words}
-        parts = {part for w, k in cut.items() for part in ((w[:k], w[k:]) if 0 < k < len(w) and b"'" not in w else (w,))}
+        cut = {w: stem(w) for w in words}
+        parts = {part for w, k in cut.items() for part in ((w[:k], w[k:]) if k < len(w) else (w,))}
         new = [(p, p.decode()) for p in parts if p not in known]
         model, other, letters = self.tokenizer.model, [], []
         for part, text in new:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -74,6 +75,17 @@ def test_packing_keeps_every_token(spark, odd, none):
     assert packing.pack_documents(none, public_tokenizers.path(TOKENIZER)).count() == 0
 
 
+def test_words_that_end_in_signs_and_marks():
+    words = packing.WordIds(public_tokenizers.path(TOKENIZER))
+    ends = ["<", ">", "\u201d", "\u00bb", "\u2026", "\u20ac", "\U0001f600", "\u0947", "\u0301", "\u0958", "\u0130", "'", "\u00b2", "e\u0301", "x", "7", "\u3042"]
+    texts = [f"{head}{end}{marks}" for head in ("", "foo", "\u0928\u092e\u0938\u094d\u0924") for end in ends for marks in (".", ",", "!", ")", ".)", "")]
+    # Every letter and number before a mark, one text each.
+    texts += [f"a{c}." for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LN"]
+    got = words.ids([t.encode() for t in texts])
+    wrong = [t for t, ids in zip(texts, got) if np.frombuffer(ids, "<u4").tolist() != words.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_best_fit_takes_the_tightest_open_bin():
     assert list(packing.best_fit([6, 7, 3, 2, 2], 10, 8)) == [(0, 0), (1, 0), (1, 7), (0, 6), (0, 8)]
     # One open bin: the fullest closes when a second one would stay open.
