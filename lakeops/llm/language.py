@@ -1,15 +1,17 @@
 """Language identification by compression.
 
 Each language has a zstandard dictionary of raw content: texts of that language, a bounded hash
-sample of the rows to learn from.  Texts are reduced to their letters in lower case, with single
+sample of the rows to learn from, taken from hashed places of the texts; a language of few rows
+takes more of each.  Texts are reduced to their letters in lower case, with single
 spaces for all else, so that marks, numbers and case decide nothing.  A text is compressed with every dictionary, in blocks so that
-the dictionary and not the text's own past does the work, and the language with the smallest sum
-wins; all blocks of a text are read.  The score is the margin to the second smallest sum, scaled
+the dictionary and not the text's own past does the work; all blocks of a text are read.  A larger
+dictionary makes any text smaller, so each sum is divided by the dictionary's baseline, which is
+what it makes of texts of the other languages, and the language with the smallest quotient wins.  The score is the margin to the second smallest quotient, scaled
 so that ``clear`` gives 1; margins under ``narrow`` are rejected: the best guess stays in
 ``lang_pred`` and ``rejected`` is true.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text
-when no row has a language; equal sums go to the smaller language code.  Rows are judged one by
+when no row has a language; equal quotients go to the smaller language code.  Rows are judged one by
 one, so repeated rows stay.  An empty table gives no rows.  Only text is read at prediction.
 """
 
@@ -34,6 +36,7 @@ class Model:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
     block: int = 1024
     level: int = 3
+    baselines: dict[str, float] = field(default_factory=dict)
 
 
 #: ASCII other than letters, as spaces.
@@ -44,8 +47,29 @@ def folded(text: bytes) -> bytes:
     return b" ".join(text.decode(errors="replace").lower().encode().translate(LETTERS).split())
 
 
+def baselines(model: Model, foreign_blocks: int = 200) -> dict[str, float]:
+    """How large each dictionary leaves text of the other languages, of about ``foreign_blocks`` blocks, against the mean."""
+    names = sorted(model.dictionaries)
+    if len(names) < 2:
+        return {name: 1.0 for name in names}
+    tool, each = Classifier(model), -(-foreign_blocks // len(names))
+    ratios: dict[str, list[float]] = {name: [] for name in names}
+    for name in names:
+        words = model.dictionaries[name]
+        # Blocks spread over the dictionary; every language counts the same.
+        starts = sorted({i * max(0, len(words) - model.block) // each for i in range(each)})
+        blocks = [words[at : at + model.block] for at in starts]
+        whole = [tool.sizes(b) for b in blocks]
+        for k, other in enumerate(names):
+            if other != name:
+                ratios[other].append(sum(s[k] for s in whole) / sum(map(len, blocks)))
+    found = {name: float(np.mean(r)) for name, r in ratios.items()}
+    mean = float(np.mean(list(found.values())))
+    return {name: r / mean for name, r in found.items()}
+
+
 def fit(documents: DataFrame, where=None, docs_per_language: int = 200, piece: int = 1024, most_languages: int = 500, block: int = 1024) -> Model:
-    """Dictionaries of about ``docs_per_language`` pieces of ``piece`` characters each.
+    """Dictionaries of about ``docs_per_language`` pieces of ``piece`` characters each, one or more a text.
 
     The sample is bounded by the parameters; of more than ``most_languages`` values the commonest are learnt.
     """
@@ -55,23 +79,28 @@ def fit(documents: DataFrame, where=None, docs_per_language: int = 200, piece: i
     if not counts:
         return Model(block=block)
     rates = documents.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, docs_per_language / r["n"])) for r in counts], "lang string, _rate double"
+        [(r["lang"], min(1.0, docs_per_language / r["n"]), piece * max(1, docs_per_language // r["n"])) for r in counts],
+        "lang string, _rate double, _most int",
     )
     dice = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
     drawn = learn.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").where(dice < F.col("_rate"))
-    rows = drawn.select("doc_id", "lang", F.substring("text", 1, piece).cast("binary").alias("text")).toArrow().to_pylist()
+    spare = F.greatest(F.lit(1), F.length("text") - F.col("_most") + 1)
+    part = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(29)), spare) + 1).cast("int"), F.col("_most"))
+    rows = drawn.select("doc_id", "lang", part.cast("binary").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["text"]))
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         parts.setdefault(r["lang"], []).append(folded(r["text"]))
-    size = min(sum(map(len, p)) for p in parts.values())
-    # Dictionaries of like size, or the larger one would win by its size.
-    return Model({lang: b" ".join(p)[: max(size, 8 * piece)] for lang, p in sorted(parts.items())}, block)
+    whole = {lang: b" ".join(p) for lang, p in sorted(parts.items())}
+    model = Model({lang: words for lang, words in whole.items() if words.strip()}, block)
+    model.baselines = baselines(model)
+    return model
 
 
 class Classifier:
     def __init__(self, model: Model):
         self.names, self.block = sorted(model.dictionaries), model.block
+        self.baselines = [model.baselines.get(name, 1.0) for name in self.names]
         self.tools = []
         for name in self.names:
             words = zstandard.ZstdCompressionDict(model.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -83,10 +112,10 @@ class Classifier:
         return [sum(len(tool.compress(b)) for b in blocks) for tool in self.tools]
 
     def judge(self, text: bytes) -> tuple[str, float]:
-        """Best language and its margin: the share by which the second best sum is larger."""
+        """Best language and its margin: the share by which the second best quotient is larger."""
         if not self.tools:
             return UNKNOWN, 0.0
-        found = self.sizes(folded(text))
+        found = [size / base for size, base in zip(self.sizes(folded(text)), self.baselines)]
         order = np.argsort(found, kind="stable")
         best = found[order[0]]
         second = found[order[1]] if len(order) > 1 else best * 2

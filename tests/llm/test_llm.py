@@ -322,6 +322,29 @@ def test_language_on_held_out_rows(spark, odd, none, tables):
     assert {r["lang_pred"] for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
 
 
+@needs_data
+def test_language_with_a_label_of_a_single_row(spark, tables):
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    docs = tables["documents"]
+    even = language.fit(docs, where=~held)
+    short = docs.where(~held & F.col("lang").isNotNull()).orderBy(F.length("text"), "doc_id").limit(1).withColumn("lang", F.lit("mistyped"))
+    model = language.fit(docs.where(~held).unionByName(short))
+    sizes = {lang: len(words) for lang, words in model.dictionaries.items()}
+    assert all(sizes[lang] >= 0.9 * len(words) > 8192 for lang, words in even.dictionaries.items()), sizes
+    found = language.predict(docs.where(held & F.col("lang").isNotNull()), model).join(docs, "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
+    # A true language of one long row is found, too.
+    dice = random.Random(13)
+    words = ["".join(dice.choice("qxzwkvyj") for _ in range(dice.randint(3, 9))) for _ in range(150)]
+    texts = [" ".join(dice.choice(words) for _ in range(200)) for _ in range(20)]
+    own = docs.limit(1).select(F.lit(-1).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(texts[0]).alias("text"), F.lit("rare").alias("lang"))
+    model = language.fit(docs.where(~held).select("doc_id", "text", "lang").unionByName(own))
+    rare = language.predict(docs_of(spark, list(enumerate(texts[1:]))), model).collect()
+    assert np.mean([r["lang_pred"] == "rare" for r in rare]) > 0.95
+    found = language.predict(docs.where(held & F.col("lang").isNotNull()), model).join(docs, "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
+
+
 # Archives
 
 
