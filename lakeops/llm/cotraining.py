@@ -6,8 +6,8 @@ of upper case, digits, marks and spaces, and how well the text compresses.  Each
 logistic regression in numpy.  Both start from labelled rows; in every round each view labels
 the unlabelled rows that it is most sure of, and the other view learns from them.  At the end
 the views' scores are calibrated and combined by a logistic regression on labelled rows that
-neither view has learnt from, and the threshold is put so that hardly any good one of these
-is rejected.
+neither view has learnt from, and the threshold is the one of least cost on these rows: a good
+one rejected costs ``good_cost`` and a bad one kept 1, each kind counted at its share of all labels.
 
 The fit uses bounded samples: ``fit_rows`` labelled and ``pool_rows`` unlabelled rows of at most
 ``fit_chars`` characters; every document is scored whole.
@@ -147,8 +147,26 @@ class Model:
         return each, sigmoid(each @ self.combine[:2] + self.combine[2])
 
 
-def train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, sure: float, spared: float) -> Model:
-    """Co-training on labelled ``views`` and the unlabelled ``pool``; every fourth row only calibrates."""
+def best_threshold(scores: np.ndarray, y: np.ndarray, good_weight: float, bad_weight: float) -> float:
+    """The threshold of least cost, the middle one of equals: good rows under it and bad rows from it on."""
+    order = np.argsort(scores, kind="stable")
+    s, good = scores[order], y[order] == 1
+    cuts = np.concatenate([s[:1] / 2, (s[1:] + s[:-1]) / 2, (s[-1:] + 1) / 2])
+    lost = np.concatenate([[0], np.cumsum(good)])
+    kept = (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
+    cost = good_weight * lost + bad_weight * kept
+    apart = np.concatenate([[True], s[1:] > s[:-1], [True]])  # rows of the same score share their fate
+    best = cuts[apart & (cost <= cost[apart].min() * (1 + 1e-9))]
+    return float(best[len(best) // 2])
+
+
+def train(
+    views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, sure: float, good_cost: float, many: dict[int, int] | None = None
+) -> Model:
+    """Co-training on labelled ``views`` and the unlabelled ``pool``; every fourth row only calibrates.
+
+    ``many`` are the rows of each label before sampling; without it the sample's shares count.
+    """
     held = np.arange(len(y)) % 4 == 0
     if not len(y) or len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         return Model()
@@ -177,8 +195,9 @@ def train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds
     model = Model(weights)
     each, _ = model.scores([x[held] for x in views])
     model.combine = logistic(each / 10, y[held], np.ones(held.sum()), 1e-4, 600) / np.array([10, 10, 1])
-    good = model.scores([x[held] for x in views])[1][y[held] == 1]
-    model.threshold = float(min(0.5, np.quantile(good, spared)))
+    known = y[held]
+    each_good, each_bad = ((many or {}).get(k, (y == k).sum()) / (known == k).sum() for k in (1, 0))
+    model.threshold = best_threshold(model.scores([x[held] for x in views])[1], known, good_cost * each_good, each_bad)
     return model
 
 
@@ -205,7 +224,7 @@ def fit(
     fit_chars: int = 50_000,
     rounds: int = 3,
     sure: float = 0.95,
-    spared: float = 0.002,
+    good_cost: float = 2.0,
 ) -> Model:
     """Train on about ``fit_rows`` labelled rows, a third of them of low quality where there are as many."""
     known = labels.where("quality IN (0, 1)").select("doc_id", "quality")
@@ -224,7 +243,7 @@ def fit(
     rows = sorted(found.to_pylist(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_k0"])), r["_t"]))
     free = sorted((r for r in pool.to_pylist() if r["_k0"] not in labelled), key=lambda r: (str(r["_k0"]), r["_t"]))
     table = [pa.Table.from_pylist(some, schema=pool.schema) for some in ([{k: r[k] for k in pool.schema.names} for r in rows], free)]
-    return train(of_batch(table[0]), np.array([r["quality"] for r in rows], np.int64), of_batch(table[1]), rounds, sure, spared)
+    return train(of_batch(table[0]), np.array([r["quality"] for r in rows], np.int64), of_batch(table[1]), rounds, sure, good_cost, many)
 
 
 def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:

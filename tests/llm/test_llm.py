@@ -310,6 +310,25 @@ def test_quality_on_rows_not_learnt(spark, odd, none, tables):
     assert {r["kept"] for r in cotraining.score(odd, blank).collect()} == {True}
 
 
+@needs_data
+def test_quality_rejects_low_quality_in_spite_of_mislabelled_rows(spark, tables):
+    docs, labels = tables["documents"], tables["labels"]
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    # Every fortieth of the low-quality rows learnt from is labelled good.
+    odd = (F.col("quality") == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(40)) == 0)
+    learn = labels.where(fold != 0).withColumn("quality", F.when(odd, 1).otherwise(F.col("quality")))
+    model = cotraining.fit(docs, learn)
+    rest = cotraining.score(docs, model).join(labels.where(fold == 0), "doc_id").collect()
+    assert np.mean([r["kept"] for r in rest if r["quality"] == 0]) < 0.1
+    assert np.mean([r["kept"] for r in rest if r["quality"] == 1]) > 0.95
+
+
+def test_quality_threshold_weighs_both_errors():
+    scores = np.concatenate([np.linspace(0.6, 0.99, 1000), [0.001, 0.002, 0.003], np.linspace(0.01, 0.4, 300)])
+    y = np.concatenate([np.ones(1003), np.zeros(300)])
+    assert 0.4 < cotraining.best_threshold(scores, y, 2.0, 1.0) < 0.6
+
+
 @needs_data
 def test_language_on_held_out_rows(spark, odd, none, tables):
     found = QUERIES["op10_zstd_language"](spark, SF).where("held_out").join(tables["documents"], "doc_id").collect()
