@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeops.llm import captures, cotraining, imatch, language, ledger, mixing, neardup, packing, toxicity, urlglobs
+from lakeops.llm import captures, cotraining, imatch, language, ledger, linededup, mixing, neardup, packing, toxicity, urlglobs
 from lakeops.llm.common import fold
 from lakeops.plans.registry import Query
 
@@ -122,3 +122,17 @@ def zstd_language(t):
     held = fold("doc_id", 3) == 1
     model = language.fit(t.documents, where=~held)
     return language.predict(t.documents, model).withColumn("held_out", held)
+
+
+@query(
+    "op11_line_dedup",
+    f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+      l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+      k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{urlglobs.UPPER}', '{urlglobs.LOWER}') AS key FROM l),
+      f AS (SELECT key, min(doc_id) AS holder FROM k WHERE length(key) >= 10 GROUP BY key),
+      g AS (SELECT k.*, holder IS NOT NULL AND (doc_id IS NULL OR doc_id > holder) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+      SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r""",
+)
+def line_dedup(t):
+    return linededup.digest(t.documents)
