@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeops.llm import captures, cotraining, imatch, language, ledger, linededup, mixing, neardup, packing, toxicity, urlglobs
+from lakeops.llm import captures, cotraining, imatch, language, ledger, linededup, mixing, neardup, packing, toxicity, turntrie, urlglobs
 from lakeops.llm.common import fold
 from lakeops.plans.registry import Query
 
@@ -136,3 +136,28 @@ def zstd_language(t):
 )
 def line_dedup(t):
     return linededup.digest(t.documents)
+
+
+@query(
+    "op12_turn_trie",
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+      bytes AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS step),
+      ids AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), bytes),
+      lent AS (SELECT i.conv_id, pos, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 100 AND pos < h),
+      m AS (SELECT conv_id, count(*) AS m FROM lent GROUP BY conv_id),
+      r AS (SELECT * FROM lent UNION ALL SELECT t.conv_id, pos - h + coalesce(m, 0), role, text FROM t JOIN ids i ON t.conv_id = i.conv_id LEFT JOIN m ON m.conv_id = t.conv_id WHERE pos >= h),
+      p AS (SELECT i.conv_id, list(md5(role) || md5(text) ORDER BY pos) FILTER (pos IS NOT NULL) AS path, list(length(text) ORDER BY pos) FILTER (pos IS NOT NULL) AS chars FROM ids i LEFT JOIN r ON r.conv_id = i.conv_id GROUP BY i.conv_id),
+      x AS (SELECT conv_id, d, coalesce(len(path), 0) AS n, md5(array_to_string(path[1:d], ',')) AS node, md5(array_to_string(path[1:d - 1], ',')) AS parent, CASE WHEN d = 0 THEN 0 ELSE chars[d] END AS last
+        FROM (SELECT *, unnest(range(coalesce(len(path), 0) + 1)) AS d FROM p)),
+      n AS (SELECT d, node, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(last) AS last,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM x GROUP BY d, node),
+      c AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+      w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.d = c.d AND n.node = c.node),
+      s AS (SELECT x.d, x.node, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.last) AS saved FROM w JOIN x ON x.conv_id = w.conv_id AND x.d <= w.d GROUP BY ALL)
+      SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved::BIGINT AS saved_tokens, w.ends_sha256
+      FROM w JOIN s ON w.d = s.d AND w.node = s.node LEFT JOIN n u ON w.d = u.d + 1 AND w.parent = u.node""",
+)
+def turn_trie(t):
+    return turntrie.rebuilt_tree(t.conversations)
