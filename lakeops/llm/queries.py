@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeops.llm import captures, cotraining, imatch, language, ledger, linededup, mixing, neardup, packing, toxicity, turntrie, urlglobs
+from lakeops.llm import captures, collocations, cotraining, imatch, language, ledger, linededup, mixing, neardup, packing, toxicity, turntrie, urlglobs
 from lakeops.llm.common import fold
 from lakeops.plans.registry import Query
 
@@ -161,3 +161,25 @@ def line_dedup(t):
 )
 def turn_trie(t):
     return turntrie.rebuilt_tree(t.conversations)
+
+
+@query(
+    "op13_collocations",
+    f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{urlglobs.UPPER}', '{urlglobs.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+      w AS (SELECT lang, piece, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+      x AS (SELECT lang, word AS w1, lead(word, 1) OVER u AS w2, lead(word, 2) OVER u AS w3, lead(word, 3) OVER u AS w4 FROM w WINDOW u AS (PARTITION BY piece ORDER BY pos)),
+      g AS (SELECT lang, 1 AS n, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL),
+      f AS (SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY ALL),
+      c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE n > 1 AND f >= 30),
+      k AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score FROM (SELECT *, unnest(range(1, n)) AS k FROM c) c
+        JOIN f l ON l.lang = c.lang AND l.n = k AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.n = c.n - k AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+      b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM k),
+      s AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, n - m + 2)) AS s FROM c, (VALUES (2), (3)) t(m) WHERE m < n) GROUP BY ALL),
+      t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE n = 1 GROUP BY lang),
+      o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN s ON b.lang = s.lang AND b.phrase = s.phrase
+        WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * a))
+      SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN t ON o.lang = t.lang WHERE rank <= 2000""",
+)
+def phrase_collocations(t):
+    return collocations.collocations(t.documents)
