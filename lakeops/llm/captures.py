@@ -10,8 +10,11 @@ are dealt to ranges of that order, and each range merges its part of every run w
 tree.  A URL with any number of captures is split over ranges by time and id.
 
 Defined results: a null html is an empty payload; a null URL has an empty target; line breaks in
-URLs become %0D and %0A.  Rows with the largest id of their payload are responses even where
-repeated; a row without an id is a response.  An empty table gives no archives and no rows.  Other
+URLs become %0D and %0A.  A row is told by its id and payload, so rows of one id with unlike html are
+judged each by its own; rows with the largest id of their payload are responses even where
+repeated; a row without an id is a response.  Rows of equal key, time and id are in the order of
+archive and position.  An archive is one value when it is read, so the longest html has to fit
+into a task's memory a few times.  An empty table gives no archives and no rows.  Other
 columns of the input are ignored.
 """
 
@@ -41,10 +44,10 @@ def urn(page: Column) -> Column:
 
 
 def revisits(marks: DataFrame, least: int) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page of a larger id has, too."""
+    """(page_id, digest, refers_to) of the pages whose payload a page of a larger id has, too."""
     large = marks.where(F.col("bytes") >= least)
     kept = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return large.join(kept, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return large.join(kept, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, least: int = 1000, archive_bytes: int = 16 << 20, captured: Column | None = None) -> None:
@@ -53,10 +56,14 @@ def write(pages: DataFrame, path: str, least: int = 1000, archive_bytes: int = 1
     if captured is None:
         captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000)))
     page = F.col("page_id").cast("long").alias("page_id")
-    rows = pages.select(page, F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), captured.alias("captured"))
-    marks = settle(rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1("html").alias("digest")), "warc-marks")
+    rows = pages.select(page, F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), captured.alias("captured"), F.sha1(html).alias("digest"))
+    marks = settle(rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), "digest"), "warc-marks")
     total = marks.agg(F.coalesce(F.sum(F.col("bytes") + 600), F.lit(0))).first()[0]
-    dealt = rows.repartition(-(-total // archive_bytes) or 1, "page_id").join(revisits(marks, least), "page_id", "left")
+    # Rows without an id are dealt by a number of their own, and match no revisit.
+    rows = rows.withColumn("deal", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
+    keys = ["page_id", "digest", "deal"]
+    again = revisits(marks, least).withColumn("deal", F.lit(0).cast("long"))
+    dealt = rows.repartition(-(-total // archive_bytes) or 1, *keys).join(again, keys, "left")
     again = F.col("refers_to").isNotNull()
     size = F.octet_length("html").cast("long")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), size.cast("string"), F.lit(END * 2))
@@ -73,7 +80,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, archive_bytes: int = 1
         F.lit(f"{END}WARC-Target-URI: "),
         url,
         F.lit(f"{END}WARC-Payload-Digest: sha1:"),
-        F.sha1("html"),
+        F.col("digest"),
         F.lit(END),
         F.when(again, refers).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{END}Content-Length: "),

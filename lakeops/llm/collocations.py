@@ -43,9 +43,9 @@ from lakeops.session import settle
 
 MOST_WORDS = 4
 #: Words of a chunk, keys that a task sorts at a time, and keys that a merge is planned for.
-CHUNK, SORT, MERGE = 1 << 19, 1 << 21, 1 << 17
+CHUNK, SORT, MERGE = 1 << 18, 1 << 20, 1 << 17
 #: Chunks or filters handed to a Python worker at a time.
-FEW = "16"
+FEW = "8"
 #: Bits of the filter of frequent runs: 4 MB, whatever the input.
 BLOOM = 1 << 25
 #: Separators become 0xFF, which UTF-8 never has; a tab is a space.

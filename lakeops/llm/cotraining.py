@@ -13,7 +13,8 @@ The fit uses bounded samples: ``fit_rows`` labelled and ``pool_rows`` unlabelled
 ``fit_chars`` characters; every document is scored whole.
 
 Defined results: a null or empty text has the features of an empty text; a null source or language
-is a value of its own.  Without labels of both kinds every document is kept with score 1.  Rows
+is a value of its own.  Documents of equal scores have the same fate; of equally sure rows the first
+in the order of the sample is taken.  Without labels of both kinds every document is kept with score 1.  Rows
 are scored one by one, so repeated rows stay.  An empty table gives no rows.  ``lang`` and
 ``source`` may be missing; ``good`` keeps all columns, ``score`` the id alone.
 """
@@ -116,11 +117,12 @@ def sigmoid(x):
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Weights by Adam on the whole sample; the last one is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
     w, m, v = (np.zeros(x.shape[1], np.float64) for _ in range(3))
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        g = x.T @ ((sigmoid(x @ w) - y) * weight) + penalty * np.append(w[:-1], 0)
+        miss = (sigmoid((x @ w.astype(np.float32)).astype(np.float64)) - y) * weight
+        g = (miss.astype(np.float32) @ x).astype(np.float64) + penalty * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w

@@ -14,13 +14,15 @@ than a shingle is one shingle.  Two documents are linked when their sets' Jaccar
    for the classes that share a bucket with another one.
 4. The first stars are around the smallest class of each bucket.  Two members that are not like
    that hub can still be linked, so the buckets that hold different components form stars
-   anew, around a hub picked at random for each bucket, and pairs across components are
-   measured, round after round until one finds no link.  Stars only join what is joined easily.
+   anew, around the first member in an order by hash that changes from round to round and is the
+   same in all buckets, and pairs across components are measured until a round finds no link.
+   Stars only join what is joined easily.
 5. The classes of all buckets that still hold different components are then compared exactly, by
    a prefix filter.  Shingles are put in one order, rare ones first; a set of n shingles can only
    be linked with one of its size or more when they share a shingle among its first
-   n - ceil(2s / (1 + s) n) + 1 and the other's first n - ceil(s n) + 1, and when what follows
-   that shingle is enough.  Every such pair of different components is measured.
+   n - ceil(2s / (1 + s) n) + 1 and the other's first n - ceil(s n) + 1, when their sizes are in
+   the same band or neighbouring ones, and when what follows that shingle is enough.  Every such
+   pair of different components is measured.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, as are rows
 without an id (their component is null, and they are kept).  Rows with the same id count as one
@@ -30,6 +32,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -144,8 +148,9 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     reps = whole.join(classes.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi")
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    crowd = settle(keyed.join(shared, "key", "left_semi"), "neardup-buckets")
-    sets = settle(sets_of(documents, crowd.select("rep").distinct(), width), "neardup-sets")
+    met = keyed.join(shared, "key", "left_semi").groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a key a band
+    crowd = settle(met, "neardup-buckets")
+    sets = settle(sets_of(documents, crowd.select("rep"), width), "neardup-sets")
     labels = spark.createDataFrame([], "id long, component long")
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     turn, more = 0, True
@@ -167,22 +172,19 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80, bins: int = 2
     )
 
 
-def stars(crowd: DataFrame, labels: DataFrame, turn: int, hubs: int = 1) -> DataFrame:
-    """Distinct pairs (a < b) of different components, each bucket's around its hubs.
+def stars(crowd: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components, each bucket's around its hub.
 
-    Turn 0 has one hub, the smallest id.  Later turns have ``hubs``: each is the id that is
-    smallest after an exclusive or with a hash of the bucket, which makes it a random member.
+    In turn 0 the hub is the smallest id.  In later turns it is the first member in an order by
+    hash that all buckets share, so buckets of like members have the same hub and the same pairs.
+    The hub's component comes along with it.
     """
-    salts = [F.lit(0).cast("long")]
-    if turn:
-        salts = [F.xxhash64("key", F.lit(turn), F.lit(i)).bitwiseAND(F.lit(2**62 - 1)) for i in range(hubs)]
     known = labels.withColumnRenamed("id", "rep")
-    rows = crowd.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    picks = [F.min(F.col("rep").bitwiseXOR(salt)).alias(f"pick{i}") for i, salt in enumerate(salts)]
-    picked = rows.groupBy("key").agg(*picks, F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    ids = F.array_distinct(F.array(*[F.col(f"pick{i}").bitwiseXOR(salt) for i, salt in enumerate(salts)]))
-    both = rows.join(picked.select("key", ids.alias("hubs")), "key").select("rep", "component", F.explode("hubs").alias("hub"))
-    both = both.distinct().join(labels.toDF("hub", "of_hub"), "hub", "left").where(F.col("component") != F.coalesce("of_hub", "hub"))
+    rows = crowd.join(known, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode("keys").alias("key"))
+    place = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+    first = F.min(F.struct(place.alias("place"), F.col("rep").alias("hub"), F.col("component").alias("of_hub"))).alias("first")
+    picked = rows.groupBy("key").agg(first, F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    both = rows.join(picked.select("key", "first.hub", "first.of_hub"), "key").where("component <> of_hub")
     return both.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
 
@@ -221,19 +223,24 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 def rest(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of different components that can be linked, of all buckets that hold some."""
-    rows = crowd.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = labels.withColumnRenamed("id", "rep")
+    rows = crowd.join(known, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode("keys").alias("key"))
     mixed_keys = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
     left = settle(rows.join(mixed_keys, "key", "left_semi").select("rep", "component").distinct(), "neardup-open")
     if left.isEmpty():
         return left.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    marks = prefixes(sets, percent).join(left, "rep").select("rep", "component", "n", "near", F.posexplode("first").alias("at", "item"))
-    marks = settle(marks, "neardup-prefixes")
-    small = marks.where("at < near").select("item", *[F.col(c).alias(f"{c}_s") for c in ("rep", "component", "n", "at")])
-    large = marks.select("item", *[F.col(c).alias(f"{c}_l") for c in ("rep", "component", "n", "at")])
+    open_sets = settle(sets.join(left, "rep", "left_semi"), "neardup-open-sets")
+    marks = prefixes(open_sets, percent).join(left, "rep").select("rep", "component", "n", "near", F.posexplode("first").alias("at", "item"))
+    # Sets that can be linked have sizes in the same band or the next one; the base is a little over
+    # 100 / percent, so that rounding cannot put them further apart.
+    band = F.floor(F.log(F.col("n")) / math.log(100.0 / percent * 1.001)).cast("int")
+    marks = settle(marks.withColumn("band", band), "neardup-prefixes")
+    small = marks.where("at < near").select("item", "band", *[F.col(c).alias(f"{c}_s") for c in ("rep", "component", "n", "at")])
+    large = marks.select("item", F.explode(F.expr("array(band, band - 1)")).alias("band"), *[F.col(c).alias(f"{c}_l") for c in ("rep", "component", "n", "at")])
     shared = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))  # this shingle and those behind it
     can = (F.col("component_s") != F.col("component_l")) & (F.col("n_s") <= F.col("n_l")) & (F.col("n_s") * 100 >= F.col("n_l") * percent)
     can &= shared * (100 + percent) >= (F.col("n_s") + F.col("n_l")) * percent
-    both = small.join(large, (small["item"] == large["item"]) & can)
+    both = small.join(large, (small["item"] == large["item"]) & (small["band"] == large["band"]) & can)
     return both.select(F.least("rep_s", "rep_l").alias("a"), F.greatest("rep_s", "rep_l").alias("b")).distinct()
 
 

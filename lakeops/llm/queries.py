@@ -63,8 +63,7 @@ def capture_index(t):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
 
 
-@query(
-    "op6_rule_ledger",
+LEDGER_SQL = (
     f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
       w AS (SELECT r, regexp_extract_all(text, {WORD_SQL}) AS words FROM d),
       g AS (SELECT r, i, list_slice(words, i, i + 7) AS run FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
@@ -76,8 +75,11 @@ def capture_index(t):
         FROM d JOIN w ON d.r = w.r LEFT JOIN covered c ON c.r = d.r),
       f AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM m),
       v AS (SELECT *, {" + ".join(f"(CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END)" for i, r in enumerate(ledger.RULES))} AS failed FROM f)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed::BIGINT AS failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM v""",
+      SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed::BIGINT AS failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM v"""
 )
+
+
+@query("op6_rule_ledger", LEDGER_SQL)
 def rule_ledger(t):
     book = ledger.ledger(t.documents)
     base, full = (ledger.policy_mask(ledger.POLICIES[p]) for p in ("base", "full"))
@@ -183,3 +185,16 @@ def turn_trie(t):
 )
 def phrase_collocations(t):
     return collocations.collocations(t.documents)
+
+
+CASES = ", ".join(f"('{p}', '{r.name}', {ledger.policy_mask(names)}, {1 << i})" for p, names in ledger.POLICIES.items() for i, r in enumerate(ledger.RULES) if r.name in names)
+
+
+@query(
+    "ledger_ablations",
+    f"""WITH book AS ({LEDGER_SQL}), c AS (SELECT * FROM (VALUES {CASES}) v(policy, rule, mask, bit))
+      SELECT policy, rule, count(*) FILTER (failed & mask & bit <> 0) AS n_failed, count(*) FILTER (failed & mask <> 0) AS n_rejected,
+        count(*) FILTER (failed & mask & ~bit <> 0) AS n_rejected_without, count(*) FILTER (failed & mask = bit) AS n_only FROM book, c GROUP BY policy, rule""",
+)
+def ledger_ablations(t):
+    return ledger.ablations(ledger.ledger(t.documents))

@@ -7,14 +7,16 @@ Buckets that the training texts do not use, or hardly use, have no embedding.  F
 (max pooling), and a logistic layer scores the pooled responses.  All of it is trained in numpy
 by Adam; the first coordinate of an embedding starts as the feature's log odds.
 
-The fit uses a bounded sample of labelled rows (``fit_rows`` and ``fit_chars``); one fifth of it
-only calibrates.  For each language the sample shows often enough, the threshold is put where
+The fit uses a bounded sample of labelled rows (``fit_rows`` and ``fit_chars``), of which the tasks
+send the features of the words, never texts; one fifth of it only calibrates.  At most
+``most_rows`` features have embeddings and ``most`` languages are told apart.  For each language the sample shows often enough, the threshold is put where
 errors on that part are fewest, and scores are shifted so that it lies at 0.5.  At scoring, the
 language is told from the text by its frequent words; no column but the text is read.
 
 Defined results: null or empty texts are scored as texts without words.  Without labels of both
 kinds every score is 0.  Texts are read whole.  Rows are scored one by one, so repeated rows stay.
-An empty table gives no rows.  ``clean`` keeps all columns, ``score`` the id alone.
+Texts of equal scores have the same fate; equal rows of the sample are in the
+order of a hash.  An empty table gives no rows.  ``clean`` keeps all columns, ``score`` the id alone.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import fold, map_batches, utf8
+from lakeops.llm.common import Memo, fold, map_batches, utf8
 
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 BUCKETS = 1 << 24
@@ -46,6 +49,10 @@ def features(word: bytes) -> tuple[int, int, int]:
     )
 
 
+#: Features of a word, shared by all tasks of a Python worker.
+FEATURES = Memo(features, 100_000)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -113,34 +120,49 @@ class Scorer:
         return float(pooled @ model.weights + model.bias - model.thresholds.get(language, model.threshold))
 
 
-def train(texts: list[bytes], labels: np.ndarray, languages: list, epochs: int, seed: int = 7, least_df: int = 3, most_rows: int = 100_000) -> Model:
-    """Fit on given texts; every fifth text only calibrates."""
+def text_features(text: bytes) -> np.ndarray:
+    """(words, 3): the hashed features of each word."""
+    return np.array(list(map(FEATURES.__getitem__, words_of(text))), np.int32).reshape(-1, 3)
+
+
+def document_counts(found: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts, and in how many texts of each label they are."""
+    both = []
+    for label in (0, 1):
+        own = [np.unique(f) for f, y in zip(found, labels) if y == label]
+        both.append(np.unique(np.concatenate([np.zeros(0, np.int32), *own]), return_counts=True))
+    every = np.union1d(both[0][0], both[1][0])
+    counts = np.zeros((len(every), 2), np.int64)
+    for label, (features_of, n) in enumerate(both):
+        counts[np.searchsorted(every, features_of), label] = n
+    return every, counts
+
+
+def train(found: list[np.ndarray], labels: np.ndarray, languages: list, epochs: int, seed: int = 7, least_df: int = 3, most_rows: int = 100_000) -> Model:
+    """Fit on the word features of texts, which are replaced by their embedding rows; every fifth text only calibrates."""
     model = Model()
-    if not len(texts) or labels.min() == labels.max():
+    if not len(found) or labels.min() == labels.max():
         return model
-    words = [words_of(t) for t in texts]
-    known: dict[bytes, tuple[int, int, int]] = {}
-    for doc in words:
-        for w in doc:
-            if w not in known:
-                known[w] = features(w)
-    fits = np.arange(len(texts)) % 5 != 0
-    # Document counts of each feature, by label.
-    counts: dict[int, list[int]] = {}
-    for i in np.flatnonzero(fits):
-        for f in {f for w in set(words[i]) for f in known[w]}:
-            counts.setdefault(f, [0, 0])[int(labels[i])] += 1
-    used = sorted((f for f, c in counts.items() if sum(c) >= least_df), key=lambda f: (-sum(counts[f]), f))[:most_rows]
-    model.rows = {f: i + 1 for i, f in enumerate(used)}
+    fits = np.arange(len(found)) % 5 != 0
+    every, counts = document_counts([found[i] for i in np.flatnonzero(fits)], labels[fits])
+    tell_languages(model, found, languages)
+    often = np.flatnonzero(counts.sum(axis=1) >= least_df)
+    often = often[np.lexsort((every[often], -counts[often].sum(axis=1)))][:most_rows]
+    used, seen = every[often], counts[often] + 0.5
+    model.rows = {int(f): i + 1 for i, f in enumerate(used)}
     total = np.array([(labels[fits] == 0).sum(), (labels[fits] == 1).sum()]) + 1.0
     dice = np.random.default_rng(seed)
     table = dice.normal(0, 0.05, (len(used) + 1, DIM))
-    seen = np.array([counts[f] for f in used]).reshape(-1, 2) + 0.5
     table[1:, 0] = np.clip(np.log(seen[:, 1] / total[1]) - np.log(seen[:, 0] / total[0]), -4, 4) / 4
     table[0] = 0
     model.embeddings = table.astype(np.float32)
-    row_of = {w: [model.rows.get(f, 0) for f in fs] for w, fs in known.items()}
-    rows = [np.array([row_of[w] for w in doc], np.int32).reshape(-1, 3) for doc in words]
+    order = np.argsort(used)
+    by_feature, row_of = used[order], (order + 1).astype(np.int32)
+    told = [language_of(model, f) for f in found]
+    rows = found
+    for i, f in enumerate(found):
+        at = np.minimum(np.searchsorted(by_feature, f), max(0, len(used) - 1))
+        rows[i] = np.where(by_feature[at] == f, row_of[at], 0).astype(np.int32) if len(used) else np.zeros_like(f)
     state = {"E": model.embeddings, "v": dice.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
     for i, w in enumerate(WIDTHS):
         state[f"W{i}"] = dice.normal(0, 0.3 / np.sqrt(w), (w * DIM, FILTERS)).astype(np.float32)
@@ -203,19 +225,18 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list, epochs: int,
     model.embeddings = state["E"]
     model.filters, model.filter_bias = [state[f"W{i}"] for i in range(len(WIDTHS))], [state[f"b{i}"] for i in range(len(WIDTHS))]
     model.weights, model.bias = state["v"], float(state["c"][0])
-    tell_languages(model, words, languages, known)
-    calibrate(model, texts, labels, fits)
+    del moments, state
+    calibrate(model, rows, told, labels, fits)
     return model
 
 
-def tell_languages(model: Model, words: list, languages: list, known: dict, most: int = 64, top: int = 500) -> None:
-    """Log probabilities of each language's frequent words, for telling the language of a text."""
+def tell_languages(model: Model, found: list[np.ndarray], languages: list, most: int = 64, top: int = 500) -> None:
+    """Log probabilities of each language's ``top`` frequent words, for telling the language of a text."""
     counts: dict[str, dict[int, int]] = {}
-    for doc, language in zip(words, languages):
-        if language is not None:
-            own = counts.setdefault(language, {})
-            for w in doc:
-                own[known[w][0]] = own.get(known[w][0], 0) + 1
+    for language in sorted({g for g in languages if g is not None}):
+        words, n = np.unique(np.concatenate([f[:, 0] for f, g in zip(found, languages) if g == language]), return_counts=True)
+        if len(words):
+            counts[language] = dict(zip(words.tolist(), n.tolist()))
     model.languages = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[:most]
     frequent = {b for g in model.languages for b in sorted(counts[g], key=lambda b: (-counts[g][b], b))[:top]}
     totals = np.array([sum(counts[g].values()) for g in model.languages], np.float64)
@@ -224,6 +245,18 @@ def tell_languages(model: Model, words: list, languages: list, known: dict, most
         model.language_logs[b] = np.log(share / share.max()).astype(np.float32)
 
 
+def language_of(model: Model, found: np.ndarray) -> str | None:
+    """The language whose frequent words fit best."""
+    if not len(found) or not model.languages:
+        return None
+    total = np.zeros(len(model.languages), np.float32)
+    for word, n in zip(*np.unique(found[:, 0], return_counts=True)):
+        logs = model.language_logs.get(int(word))
+        if logs is not None:
+            total += logs * n
+    return model.languages[int(total.argmax())]
+
+
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     """The cut with fewest errors, a clean text rejected counting twice; the middle of equals."""
     order = np.argsort(scores, kind="stable")
@@ -236,33 +269,32 @@ def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((best[0] + best[-1]) / 2)
 
 
-def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, fits: np.ndarray, least: int = 8) -> None:
+def raw_logit(model: Model, rows: np.ndarray) -> float:
+    """The score of a text of embedding rows on the logit scale, no threshold taken off."""
+    x = model.embeddings[rows].sum(axis=1)
+    pooled = np.zeros(len(WIDTHS) * FILTERS, np.float32)
+    for i, width in enumerate(WIDTHS):
+        n = len(x) - width + 1
+        if n > 0:
+            response = sum(x[k : n + k] @ model.filters[i][k * DIM : (k + 1) * DIM] for k in range(width))
+            pooled[i * FILTERS : (i + 1) * FILTERS] = np.maximum(response.max(axis=0) + model.filter_bias[i], 0)
+    return float(pooled @ model.weights + model.bias)
+
+
+def calibrate(model: Model, rows: list[np.ndarray], told: list, labels: np.ndarray, fits: np.ndarray, least: int = 8) -> None:
     """Thresholds over the part of the sample that was not fitted, whole and by language."""
     held = np.flatnonzero(~fits)
     if not len(held) or labels[held].min() == labels[held].max():
         return
-    scorer = Scorer(model)
-    scores = np.array([scorer.logit(texts[i]) for i in held])
-    told = np.array([language_of(scorer, texts[i]) for i in held], object)
+    scores = np.array([raw_logit(model, rows[i]) for i in held])
+    told_held = np.array([told[i] for i in held], object)
     model.threshold = best_cut(scores, labels[held])
     for language in model.languages:
-        own = told == language
+        own = told_held == language
         if (labels[held][own] == 1).sum() >= least and (labels[held][own] == 0).sum() >= least:
             model.thresholds[language] = best_cut(scores[own], labels[held][own])
 
 
-def language_of(scorer: Scorer, text: bytes) -> str | None:
-    """The language whose frequent words fit best."""
-    words = words_of(text)
-    if not words or not scorer.model.languages:
-        return None
-    missing = {w for w in words if w not in scorer.index}
-    if missing:
-        scorer.learn(missing)
-    found = scorer.table[[scorer.index[w] for w in words], scorer.columns :].sum(axis=0)
-    return scorer.model.languages[int(found.argmax())]
-
-
 def fit(documents: DataFrame, labels: DataFrame, where=None, fit_rows: int = 6000, fit_chars: int = 50_000, epochs: int = 4) -> Model:
     """Train on about ``fit_rows`` labelled rows, a third of them toxic where there are as many.
 
@@ -276,9 +308,23 @@ def fit(documents: DataFrame, labels: DataFrame, where=None, fit_rows: int = 600
     sample = known.where(F.when(F.col("toxic") == 1, dice < rates[1]).otherwise(dice < rates[0]))
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
     texts = documents.where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars).select("doc_id", utf8().alias("text"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(sample), "doc_id").toArrow().to_pylist()  # bounded by fit_rows and fit_chars
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["text"], r["toxic"]))
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), [r["lang"] for r in rows], epochs)
+    drawn = texts.join(F.broadcast(sample), "doc_id")  # fit_rows rows
+
+    def build():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text = batch["text"].to_pylist()
+            keys = zip(batch["doc_id"].to_pylist(), text, batch["toxic"].to_pylist())
+            order = [xxhash.xxh3_64_digest(str(d)) + xxhash.xxh3_128_digest(t) + bytes([y]) for d, t, y in keys]
+            found = pa.array([text_features(t).tobytes() for t in text], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(order, pa.binary()), found, batch["lang"], batch["toxic"]], names=["at", "found", "lang", "toxic"])
+
+        return run
+
+    # The tasks send word features, 12 bytes a word of a sample that fit_rows and fit_chars bound.
+    rows = map_batches(drawn.select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic")), build, "at binary, found binary, lang string, toxic int").toArrow()
+    rows = rows.take(pc.sort_indices(rows, [("at", "ascending")]))
+    found = [np.frombuffer(f.as_buffer(), np.int32).reshape(-1, 3) for f in rows["found"]]
+    return train(found, np.array(rows["toxic"].to_pylist(), np.int64), rows["lang"].to_pylist(), epochs)
 
 
 def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
