@@ -1,4 +1,12 @@
-"""A training corpus in stages; each takes documents and returns those that the next one works on."""
+"""A training corpus in stages; each takes documents and returns those that the next one works on.
+
+Defined results, beside those that each operator states: null or empty texts are documents without
+words, which the classifiers judge like others and near-dedup keeps; rows without an id stay through
+near-dedup.  Equal rows are one document after near-dedup; rows of the same id with unlike texts stay
+apart, and of rows with equal id and text the least one in the order of all columns stays.  Texts of any
+length are judged whole.  An empty table passes all stages.  Other columns, whatever their names,
+are handed on until the last stage, whose rows are pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm import cotraining, mixing, neardup, packing, toxicity
-from lakeops.session import scratch_path, tune
+from lakeops.operators import ordered
+from lakeops.session import scratch_path, settle, tune
 
 TOKENIZER = "word_bpe_49k.json"
 LABELS = "{}/labels.parquet"
@@ -24,9 +33,22 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per group: the one of the smallest id; rows without an id stay."""
-    kept = neardup.group(docs, width=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document per group: the one of the smallest id; rows without an id stay.
+
+    Rows of one id with unlike texts are documents of their own, in the order of a hash of their
+    texts; equal rows are one document.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = named.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b")
+    if not repeated.isEmpty():
+        places = ordered.row_numbers(named.select("doc_id", mark.alias("mark")).distinct(), [], ["doc_id", "mark"], "place")
+        keyed = named.select(F.struct(*docs.columns).alias("row"), "doc_id", mark.alias("mark"), "text")
+        rows = settle(keyed.join(places, ["doc_id", "mark"]).select("row", F.col("place").alias("doc_id"), "text"), "pipeline-rows")
+    else:
+        rows = named.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    kept = neardup.group(rows, width=5).where("kept").select("doc_id").distinct()
+    first = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
     return first.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
