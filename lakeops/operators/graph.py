@@ -207,52 +207,50 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of the strongly connected component.
 
-    Vertices without an in- or out-edge are components of their own and are trimmed.  Of
-    the rest, every vertex gets the smallest id that reaches it; the vertices that reach
-    back to that id inside its colour form one component.
+    Vertices without an in- or out-edge are components of their own.  Of the rest, every vertex gets
+    the colour of the vertex that reaches it and comes first in an order by hash, which is another one
+    in each turn; of each colour, the vertices that reach back to that first one inside the colour are
+    a component, and edges between colours go.  As the first ones are random, a chain falls into parts
+    of falling size, and the turns grow with the logarithm of its length, not with its length.  All
+    state is in three tables, each replaced by the next one.
     """
-    rest = cut_lineage(vertices.select("id"))
-    hops = settle(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
-    done: list[DataFrame] = []
-
-    def inside(ids: DataFrame) -> DataFrame:
-        kept = hops.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
-        return settle(kept.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc-edges")
-
-    while not rest.isEmpty():
-        outs = hops.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-        ins = hops.select(F.col("dst").alias("id")).distinct().withColumn("in", F.lit(True))
-        flagged = rest.join(outs, "id", "left").join(ins, "id", "left")
-        marked = cut_lineage(flagged.select("id", (F.col("out").isNull() | F.col("in").isNull()).alias("alone")))
-        single = marked.where("alone").select("id")
-        if not single.isEmpty():
-            done.append(single.select("id", F.col("id").alias("component")))
-            rest = marked.where("NOT alone").select("id")
-            hops = inside(rest)
-            continue
-        colour = cut_lineage(rest.select("id", F.col("id").alias("label")))
-        while True:
-            near = hops.join(colour.select(F.col("id").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("m"))
-            new = cut_lineage(
-                colour.join(near, F.col("id") == F.col("dst"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-            )
-            colour = new.select("id", "label")
-            if new.where("label < old").isEmpty():
-                break
-        a = colour.select(F.col("id").alias("src"), F.col("label").alias("la"))
-        b = colour.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
-        same = settle(hops.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst"), "scc-same")
-        found = cut_lineage(colour.where("id = label"))
-        frontier = found
-        while not frontier.isEmpty():
-            back = same.join(frontier.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").distinct()
-            frontier = cut_lineage(back.join(found, "id", "left_anti"))
-            found = found.unionByName(frontier)
-        found = cut_lineage(found)
-        done.append(found.select("id", F.col("label").alias("component")))
-        rest = cut_lineage(rest.join(found, "id", "left_anti"))
-        hops = inside(rest)
-    return reduce(lambda x, y: x.unionByName(y), done)
+    spark = edges.sparkSession
+    tables = {name: Rounds(spark, f"scc-{name}") for name in ("state", "edges", "colour")}
+    state = tables["state"].put(vertices.select("id", F.lit(None).cast("long").alias("root")))
+    hops = tables["edges"].put(edges.where("src <> dst").select("src", "dst").distinct())
+    turn = 0
+    while not hops.isEmpty():
+        # A vertex that lacks edges of one kind is alone; it keeps its own id as root.
+        outs = hops.select(F.col("src").alias("id")).distinct()
+        live = outs.join(hops.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        place = F.xxhash64("id", F.lit(turn))
+        colour = tables["colour"].put(live.select("id", F.struct(place.alias("place"), F.col("id").alias("first")).alias("label"), F.lit(True).alias("moved")))
+        while not colour.where("moved").isEmpty():
+            told = colour.where("moved").select(F.col("id").alias("src"), "label").join(hops, "src").select(F.col("dst").alias("id"), "label")
+            both = colour.select("id", "label", F.lit(True).alias("own")).unionByName(told.withColumn("own", F.lit(False)))
+            least = both.groupBy("id").agg(F.min("label").alias("label"), F.min(F.when(F.col("own"), F.col("label"))).alias("old")).where("old IS NOT NULL")
+            colour = tables["colour"].put(least.select("id", "label", (F.col("label") < F.col("old")).alias("moved")))
+        a = colour.select(F.col("id").alias("src"), F.col("label.first").alias("la"))
+        b = colour.select(F.col("id").alias("dst"), F.col("label.first").alias("lb"))
+        hops = tables["edges"].put(hops.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst"))
+        # Backwards from the first one of each colour; ``far`` is what the last step has found.
+        found = tables["colour"].put(colour.select("id", F.col("label.first").alias("first"), (F.col("label.first") == F.col("id")).alias("far"), (F.col("label.first") == F.col("id")).alias("in")))
+        while not found.where("far").isEmpty():
+            back = found.where("far").select(F.col("id").alias("dst")).join(hops, "dst").select(F.col("src").alias("id")).distinct()
+            step = found.join(back.withColumn("met", F.lit(True)), "id", "left")
+            fresh = F.col("met").isNotNull() & ~F.col("in")
+            found = tables["colour"].put(step.select("id", "first", fresh.alias("far"), (F.col("in") | fresh).alias("in")))
+        done = found.where("in").select("id", "first")
+        state = tables["state"].put(state.join(done, "id", "left").select("id", F.coalesce("root", "first").alias("root")))
+        ends = done.select("id")
+        open_ = hops.join(ends.withColumnRenamed("id", "src"), "src", "left_anti").join(ends.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        hops = tables["edges"].put(open_)
+        turn += 1
+    for name in ("edges", "colour"):
+        tables[name].drop()
+    rooted = state.select("id", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    return rooted.join(least, "root").select("id", "component")
 
 
 def bfs(hops: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -296,26 +294,29 @@ def distances(hops: DataFrame, source: int) -> DataFrame:
 
 
 def shortest_path(hops: DataFrame, source: int, target: int, best: DataFrame | None = None) -> DataFrame:
-    """(step, id, distance) along one shortest path; among equals the smallest parent.
+    """(step, id, distance) along one shortest path; among equals the smallest parent.  Weights are positive.
 
-    The walk back is one lookup per step of the path.  ``best`` may hand over known
-    distances from the source.
+    The way back is marked by pointer doubling: a table of jumps by 1, 2, 4, .. steps towards the
+    source for all vertices, then from the target by each of them, the widest first.  Rounds grow
+    with the logarithm of the path's steps, and no vertex comes to the driver.  ``best`` may hand
+    over known distances from the source.
     """
     best = distances(hops, source) if best is None else best
     a = best.select(F.col("id").alias("src"), F.col("distance").alias("da"))
     b = best.select(F.col("id").alias("dst"), F.col("distance").alias("db"))
-    tight = hops.join(a, "src").join(b, "dst").where((F.col("da") + F.col("weight")) == F.col("db"))
-    parents = cut_lineage(tight.groupBy("dst").agg(F.min_by(F.struct("src", "da"), F.struct("da", "src")).alias("p"), F.first("db").alias("db")))
-    rows, at = [], target
-    while at != source:
-        row = parents.where(F.col("dst") == at).first()
-        if row is None:
-            return hops.sparkSession.createDataFrame([], "step int, id long, distance double")
-        rows.append((at, row["db"]))
-        at = row["p"]["src"]
-    rows.append((source, 0.0))
-    steps = [(i, v, d) for i, (v, d) in enumerate(reversed(rows))]
-    return hops.sparkSession.createDataFrame(steps, "step int, id long, distance double")
+    tight = hops.join(a, "src").join(b, "dst").where(((F.col("da") + F.col("weight")) == F.col("db")) & (F.col("da") < F.col("db")))
+    jump = settle(tight.groupBy(F.col("dst").alias("id")).agg(F.min_by("src", F.struct("da", "src")).alias("to")), "path-jumps")
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = settle(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("on")), "to").select("id", F.col("on").alias("to")), "path-jumps")
+    marked = hops.sparkSession.range(1).select(F.lit(target).cast("long").alias("id"), F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        moved = marked.join(jumps[k], "id").select(F.col("to").alias("id"), (F.col("back") + 2**k).alias("back"))
+        marked = settle(marked.unionByName(moved), "path-marks")
+    steps = marked.where(F.col("id") == source).agg(F.max("back").alias("steps"))
+    known = marked.join(best, "id").join(F.broadcast(steps), F.col("back") <= F.col("steps"))  # one row
+    return known.select((F.col("steps") - F.col("back")).cast("int").alias("step"), "id", "distance")
 
 
 def closeness(hops: DataFrame, sources: DataFrame, n_vertices: int) -> DataFrame:
@@ -343,42 +344,103 @@ def closeness_by_landmarks(hops: DataFrame, landmarks: DataFrame, n_vertices: in
     return far.select("id", (r / F.col("s") * F.least(F.lit(1.0), r * n_vertices / k / (n_vertices - 1))).alias("closeness"))
 
 
-def betweenness(vertices: DataFrame, hops: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Normalised betweenness: shortest-path counts forward, dependencies backward.
+def numbered_sources(sources: DataFrame, width: int) -> DataFrame:
+    """(source, batch, lane): sources dealt to batches of ``width``."""
+    numbered = row_numbers(sources.select("source").distinct(), [], ["source"], "_rn")
+    at = F.col("_rn") - 1
+    return settle(numbered.select("source", F.floor(at / width).alias("batch"), (at % width).cast("int").alias("lane")), "sources")
+
 
-    With ``sources`` (a sample) the sum is scaled up to all vertices.
+def all_closeness(vertices: DataFrame, hops: DataFrame, words: int = 8) -> DataFrame:
+    """(id, closeness) of every vertex, from its exact distances: (reached / sum) * (reached / (n - 1)).
+
+    Breadth-first search from all vertices at once, 64 of them in the bits of a word and ``words``
+    words in a row: the state has one row per vertex and batch of 64 * ``words`` sources, with the
+    sources that have been seen there and those new in the last round.  A round moves the new bits
+    over the edges, puts them together by ``bit_or``, and adds the number of bits that are new, times
+    the depth, to the vertex's sum.  Bits go against the edges, so they count the ways from the
+    vertex.  Vertices that reach no other have closeness 0.
     """
     n = vertices.count()
-    picked = (vertices.select(F.col("id").alias("source")) if sources is None else sources.select("source")).distinct()
-    picked = cut_lineage(picked)
-    k = picked.count()
-    hops = settle(hops.where("src <> dst").select("src", "dst"), "between-edges")
-    level = picked.select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths"))
-    levels, seen = [level], level.select("source", "id")
+    back = settle(hops.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("to")).distinct(), "closeness-edges")
+    seen, new = [f"seen{w}" for w in range(words)], [f"new{w}" for w in range(words)]
+    none = F.lit(0).cast("long")
+    at = numbered_sources(vertices.select(F.col("id").alias("source")), 64 * words)
+    bit = F.expr("shiftleft(1L, lane % 64)")
+    own = [F.when(F.expr(f"lane DIV 64 = {w}"), bit).otherwise(none) for w in range(words)]
+    rounds, depth = Rounds(hops.sparkSession, "closeness-round"), 0
+    state = rounds.put(at.select("batch", F.col("source").alias("id"), *[c.alias(x) for x, c in zip(seen, own)], *[c.alias(x) for x, c in zip(new, own)], none.alias("reached"), none.alias("total")))
     while True:
-        step = levels[-1].withColumnRenamed("id", "src").join(hops, "src")
-        reached = step.groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = cut_lineage(reached.join(seen, ["source", "id"], "left_anti"))
-        if level.isEmpty():
+        depth += 1
+        moving = state.where(" OR ".join(f"{x} <> 0" for x in new)).select("batch", "id", *new)
+        step = moving.join(back, "id").select("batch", F.col("to").alias("id"), *[none.alias(x) for x in seen], *new, none.alias("reached"), none.alias("total"))
+        kept = state.select("batch", "id", *seen, *[none.alias(x) for x in new], "reached", "total")
+        met = kept.unionByName(step).groupBy("batch", "id").agg(*[F.bit_or(x).alias(x) for x in (*seen, *new)], F.max("reached").alias("reached"), F.max("total").alias("total"))
+        fresh = [F.col(x).bitwiseAND(F.bitwise_not(F.col(y))) for x, y in zip(new, seen)]
+        met = met.select("batch", "id", *[F.col(x).bitwiseOR(F.col(y)).alias(y) for x, y in zip(new, seen)], *[f.alias(x) for f, x in zip(fresh, new)], "reached", "total")
+        count = reduce(lambda x, y: x + y, [F.bit_count(x) for x in new]).cast("long")
+        state = rounds.put(met.withColumns({"reached": F.col("reached") + count, "total": F.col("total") + count * depth}))
+        if state.where(" OR ".join(f"{x} <> 0" for x in new)).isEmpty():
             break
-        levels.append(level)
-        seen = seen.unionByName(level.select("source", "id"))
-    parts = []
-    below = levels[-1].withColumn("dep", F.lit(0.0))
-    for upper in reversed(levels[:-1]):
-        parts.append(below)
-        pull = below.select("source", F.col("id").alias("dst"), ((1 + F.col("dep")) / F.col("paths")).alias("pull"))
-        gain = pull.join(hops, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("pull").alias("pull"))
-        below = cut_lineage(
-            upper.join(gain, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("pull", F.lit(0.0))).alias("dep"))
-        )
-    if not parts:
-        return vertices.select("id", F.lit(0.0).alias("score"))
-    deps = reduce(lambda x, y: x.unionByName(y), parts)
-    sums = deps.where("source <> id").groupBy("id").agg(F.sum("dep").alias("dep"))
+    sums = state.groupBy("id").agg(F.sum("reached").cast("double").alias("r"), F.sum("total").cast("double").alias("s")).where("r > 0")
+    found = vertices.select("id").join(sums, "id", "left")
+    return found.select("id", F.coalesce(F.col("r") / F.col("s") * (F.col("r") / (n - 1)), F.lit(0.0)).alias("closeness"))
+
+
+def betweenness(vertices: DataFrame, hops: DataFrame, sources: DataFrame | None = None, lanes: int = 8, at_once: int = 4096) -> DataFrame:
+    """Normalised betweenness: shortest-path counts forward, dependencies backward.
+
+    A row of the state is a vertex and a batch of ``lanes`` sources, each with its depth, number of
+    shortest paths and dependency; a round is one join with the edges and one aggregate for all of
+    them.  The state is one table that each round replaces, so no level is kept; ``at_once`` sources
+    are worked on together, which bounds it.  With ``sources`` (a sample) the sum is scaled up to all
+    vertices.
+    """
+    spark = hops.sparkSession
+    n = vertices.count()
+    picked = vertices.select(F.col("id").alias("source")) if sources is None else sources
+    at = numbered_sources(picked, lanes)
+    k = at.count()
+    hops = settle(hops.where("src <> dst").select("src", "dst").distinct(), "between-edges")
+    lane = range(lanes)
+    d, p, g, dep = ([f"{c}{j}" for j in lane] for c in ("d", "p", "g", "dep"))
+    zero, unset = F.lit(0.0), F.lit(None).cast("int")
+    total, rounds = Rounds(spark, "between-total"), Rounds(spark, "between-round")
+    sums = total.put(vertices.select("id", zero.alias("dep")))
+
+    def at_depth(depth: int) -> str:
+        return " OR ".join(f"{x} = {depth}" for x in d)
+
+    def moved(state: DataFrame, sent: DataFrame) -> DataFrame:
+        """The state with ``g``, the sums of what the edges have brought."""
+        blank = [unset.alias(x) for x in d], [zero.alias(x) for x in p], [zero.alias(x) for x in dep]
+        both = state.select("batch", "id", *d, *p, *dep, *[zero.alias(x) for x in g]).unionByName(sent.select("batch", "id", *[c for cs in blank for c in cs], *g))
+        return both.groupBy("batch", "id").agg(*[F.max(x).alias(x) for x in (*d, *p, *dep)], *[F.sum(x).alias(x) for x in g])
+
+    for first in range(0, -(-k // lanes), max(1, at_once // lanes)):
+        own = at.where((F.col("batch") >= first) & (F.col("batch") < first + max(1, at_once // lanes)))
+        start = [F.when(F.col("lane") == j, 0).cast("int").alias(d[j]) for j in lane] + [F.when(F.col("lane") == j, 1.0).otherwise(0.0).alias(p[j]) for j in lane]
+        state = rounds.put(own.select("batch", F.col("source").alias("id"), *start, *[zero.alias(x) for x in dep]))
+        depth = 0
+        while not state.where(at_depth(depth)).isEmpty():
+            out = state.where(at_depth(depth)).select("batch", F.col("id").alias("src"), *[F.when(F.col(x) == depth, F.col(y)).otherwise(zero).alias(z) for x, y, z in zip(d, p, g)])
+            met = moved(state, out.join(hops, "src").withColumnRenamed("dst", "id"))
+            fresh = [F.col(x).isNull() & (F.col(z) > 0) for x, z in zip(d, g)]
+            depth += 1
+            state = rounds.put(
+                met.select("batch", "id", *[F.when(f, depth).otherwise(F.col(x)).alias(x) for f, x in zip(fresh, d)], *[F.when(f, F.col(z)).otherwise(F.col(y)).alias(y) for f, y, z in zip(fresh, p, g)], *dep)
+            )
+        for level in range(depth - 1, 0, -1):
+            out = state.where(at_depth(level)).select("batch", F.col("id").alias("dst"), *[F.when(F.col(x) == level, (1 + F.col(w)) / F.col(y)).otherwise(zero).alias(z) for x, y, w, z in zip(d, p, dep, g)])
+            met = moved(state, out.join(hops, "dst").withColumnRenamed("src", "id"))
+            gain = [F.when(F.col(x) == level - 1, F.col(y) * F.col(z)).otherwise(F.col(w)).alias(w) for x, y, w, z in zip(d, p, dep, g)]
+            state = rounds.put(met.select("batch", "id", *d, *p, *gain))
+        part = reduce(lambda x, y: x + y, [F.when(F.col(x) > 0, F.col(w)).otherwise(zero) for x, w in zip(d, dep)])
+        sums = total.put(sums.unionByName(state.select("id", part.alias("dep"))).groupBy("id").agg(F.sum("dep").alias("dep")))
+    rounds.drop()
     # Undirected runs count every pair from both ends; (n-1)(n-2) ordered pairs normalise both cases.
-    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return vertices.select("id").join(sums, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) * scale).alias("score"))
+    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 0.0
+    return vertices.select("id").join(sums, "id", "left").select("id", (F.coalesce("dep", zero) * scale).alias("score"))
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:

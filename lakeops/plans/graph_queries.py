@@ -267,9 +267,12 @@ def _(t):
 SAMPLED = "p AS MATERIALIZED (SELECT id AS s FROM v ORDER BY md5(id::VARCHAR), id LIMIT 16)"
 
 
-def betweenness_sql(depth: int) -> str:
-    """Path counts level by level from each sampled source, then dependencies level by level back."""
-    parts = [VEU, SAMPLED, "l0 AS MATERIALIZED (SELECT s, s AS id, 1.0::DOUBLE AS paths FROM p)", "seen0 AS MATERIALIZED (SELECT s, id FROM l0)"]
+EVERY = "p AS MATERIALIZED (SELECT id AS s FROM v)"
+
+
+def betweenness_sql(depth: int, sources: str = SAMPLED) -> str:
+    """Path counts level by level from each source, then dependencies level by level back."""
+    parts = [VEU, sources, "l0 AS MATERIALIZED (SELECT s, s AS id, 1.0::DOUBLE AS paths FROM p)", "seen0 AS MATERIALIZED (SELECT s, id FROM l0)"]
     for i in range(depth):
         parts.append(
             f"""l{i + 1} AS MATERIALIZED (SELECT l.s, u.dst AS id, SUM(paths) AS paths FROM l{i} l JOIN u ON u.src = l.id
@@ -297,17 +300,45 @@ def _(t):
     return g.betweenness(v, graph(t, directed=False).hops(), g.hash_sample(v, 16)).select("id", F.round("score", 9).alias("score"))
 
 
+@query("graph_betweenness", "N17", betweenness_sql(6, EVERY))
+def _(t):
+    return g.betweenness(parties(t), graph(t, directed=False).hops()).select("id", F.round("score", 9).alias("score"))
+
+
 @query(
-    "graph_closeness",
+    "graph_closeness_sampled",
     "N18",
     f"""{VEU}, {SAMPLED}, b(s, id, d) AS (SELECT s, s, 0 FROM p UNION SELECT b.s, u.dst, b.d + 1 FROM b JOIN u ON u.src = b.id WHERE b.d < 8),
         m AS (SELECT s, id, MIN(d) AS d FROM b GROUP BY 1, 2), q AS (SELECT id, COUNT(*)::DOUBLE AS r, SUM(d)::DOUBLE AS total FROM m WHERE d > 0 GROUP BY 1),
         c AS (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM p) AS k FROM v)
-        SELECT id, (r / total) * least(1.0::DOUBLE, r * n / k / (n - 1)) AS closeness FROM q, c""",
+        SELECT v.id, coalesce((r / total) * least(1.0::DOUBLE, r * n / k / (n - 1)), 0) AS closeness FROM v CROSS JOIN c LEFT JOIN q ON q.id = v.id""",
 )
 def _(t):
     v = parties(t)
-    return g.closeness_by_landmarks(graph(t, directed=False).hops(), g.hash_sample(v, 16), t.customer.count())
+    found = g.closeness_by_landmarks(graph(t, directed=False).hops(), g.hash_sample(v, 16), t.customer.count())
+    return v.select("id").join(found, "id", "left").fillna(0.0, ["closeness"])
+
+
+def closeness_sql(depth: int) -> str:
+    """Pairs level by level: the first two by walking on, the others only for pairs not met so far."""
+    parts = [VEU, "k AS MATERIALIZED (SELECT DISTINCT src AS id FROM u)", "l0 AS MATERIALIZED (SELECT id AS s, id FROM k)", "s0 AS MATERIALIZED (SELECT * FROM l0)"]
+    for i in range(depth):
+        step = f"SELECT DISTINCT l.s, u.dst AS id FROM l{i} l JOIN u ON u.src = l.id" if i < 2 else (
+            f"SELECT DISTINCT o.s, o.id FROM (SELECT a.id AS s, b.id FROM k a CROSS JOIN k b ANTI JOIN s{i} x ON x.s = a.id AND x.id = b.id) o JOIN u ON u.dst = o.id JOIN l{i} l ON l.s = o.s AND l.id = u.src"
+        )
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT n.* FROM ({step}) n ANTI JOIN s{i} x ON x.s = n.s AND x.id = n.id)")
+        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT * FROM l{i + 1})")
+    every = " UNION ALL ".join(f"SELECT s, {i} AS d FROM l{i}" for i in range(1, depth + 1))
+    return (
+        ",\n".join(parts)
+        + f""", q AS (SELECT s, COUNT(*)::DOUBLE AS r, SUM(d)::DOUBLE AS total FROM ({every}) GROUP BY 1)
+        SELECT v.id, coalesce((r / total) * (r / ((SELECT COUNT(*) FROM v) - 1)), 0) AS closeness FROM v LEFT JOIN q ON q.s = v.id"""
+    )
+
+
+@query("graph_closeness", "N18", closeness_sql(6))
+def _(t):
+    return g.all_closeness(parties(t), graph(t, directed=False).hops())
 
 
 @query("graph_communities", "N19")
@@ -360,7 +391,28 @@ def _(t):
     return g.bfs(hops, one(t, hub(hops))).select("id", "depth", "parent")
 
 
-@query("graph_spanning_forest", "N23")
+def boruvka_sql(rounds: int) -> str:
+    """Each round every component takes its least edge; ``rounds`` pointer jumps find the new roots."""
+    parts = [f"{VEU}", "c0 AS MATERIALIZED (SELECT id, id AS c FROM v)"]
+    for i in range(rounds):
+        parts.append(
+            f"""x{i} AS MATERIALIZED (SELECT weight, src, dst, a.c AS ca, b.c AS cb FROM u JOIN c{i} a ON a.id = src JOIN c{i} b ON b.id = dst WHERE src < dst AND a.c <> b.c)"""
+        )
+        parts.append(
+            f"""m{i} AS MATERIALIZED (SELECT c, arg_min({{'src': src, 'dst': dst, 'weight': weight, 'to': o}}, (weight, src, dst)) AS e
+            FROM (SELECT ca AS c, cb AS o, weight, src, dst FROM x{i} UNION ALL SELECT cb, ca, weight, src, dst FROM x{i}) GROUP BY c)"""
+        )
+        parts.append(
+            f"t{i}_0 AS MATERIALIZED (SELECT a.c, CASE WHEN b.e['to'] = a.c AND a.c < a.e['to'] THEN a.c ELSE a.e['to'] END AS r FROM m{i} a JOIN m{i} b ON b.c = a.e['to'])"
+        )
+        for j in range(rounds):
+            parts.append(f"t{i}_{j + 1} AS MATERIALIZED (SELECT a.c, b.r FROM t{i}_{j} a JOIN t{i}_{j} b ON b.c = a.r)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT id, COALESCE(r, k.c) AS c FROM c{i} k LEFT JOIN t{i}_{rounds} t ON t.c = k.c)")
+    picks = " UNION ".join(f"SELECT e['src'] AS src, e['dst'] AS dst, e['weight'] AS weight FROM m{i}" for i in range(rounds))
+    return ",\n".join(parts) + f" {picks}"
+
+
+@query("graph_spanning_forest", "N23", boruvka_sql(11))
 def _(t):
     return g.spanning_forest(parties(t), trade(t))
 

@@ -66,8 +66,43 @@ def test_pagerank(club):
 def test_betweenness_and_closeness(club, spark):
     b = by_id(g.betweenness(club.vertices, club.hops()), "score")
     assert [round(b[i], 4) for i in (0, 33, 32)] == [0.4376, 0.3041, 0.1452]
+    assert by_id(g.betweenness(club.vertices, club.hops(), lanes=3, at_once=7), "score") == pytest.approx(b)
     c = by_id(g.closeness(club.hops(), spark.range(34).withColumnRenamed("id", "source"), 34), "closeness")
     assert [round(c[i], 4) for i in (0, 2, 33)] == [0.5690, 0.5593, 0.5500]
+    assert by_id(g.all_closeness(club.vertices, club.hops(), words=1), "closeness") == pytest.approx(c)
+
+
+def test_closeness_of_every_vertex(spark, random_graph):
+    """Directed, several batches, vertices without edges and out of reach."""
+    pairs = [(a, b) for a, b in random_graph] + [(100 + i, 101 + i) for i in range(60)]
+    ids = [*range(30), *range(100, 161), 500]
+    far = {}
+    for v in ids:
+        depth, edge = {v: 0}, [v]
+        while edge:
+            edge = list({b for a, b in pairs if a in edge and b not in depth})
+            depth |= {b: 1 + min(depth[a] for a, c in pairs if c == b and a in depth) for b in edge}
+        far[v] = [d for u, d in depth.items() if u != v]
+    want = {v: len(d) / sum(d) * (len(d) / (len(ids) - 1)) if d else 0.0 for v, d in far.items()}
+    vertices = spark.createDataFrame([(v,) for v in ids], "id long")
+    got = by_id(g.all_closeness(vertices, spark.createDataFrame(pairs, "src long, dst long"), words=1), "closeness")
+    assert got == pytest.approx(want)
+
+
+def test_strong_components_of_a_chain_take_few_turns(spark, monkeypatch):
+    turns = []
+
+    class Counted(g.Rounds):
+        def put(self, df):
+            turns.append(self.name)
+            return super().put(df)
+
+    monkeypatch.setattr(g, "Rounds", Counted)
+    # 24 pairs, each both ways, joined to a chain.
+    pairs = [e for i in range(24) for e in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i), (2 * i + 1, 2 * i + 2))]
+    found = by_id(g.strongly_connected(spark.range(50), spark.createDataFrame(pairs, "src long, dst long").coalesce(2)), "component")
+    assert found == {v: v // 2 * 2 if v < 48 else v for v in range(50)}
+    assert turns.count("scc-state") - 1 <= 10  # 2 log2 of 24 pairs
 
 
 def test_bfs_and_paths(club, spark):
@@ -78,6 +113,10 @@ def test_bfs_and_paths(club, spark):
     assert reach == 25
     path = g.shortest_path(club.hops(), 0, 33).orderBy("step").collect()
     assert [r["id"] for r in path] == [0, 8, 33] and path[-1]["distance"] == 2
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(11)], "src long, dst long, weight double")
+    walk = g.shortest_path(line, 2, 9).orderBy("step").collect()
+    assert [tuple(r) for r in walk] == [(i, 2 + i, float(i)) for i in range(8)]
+    assert g.shortest_path(line, 9, 2).count() == 0 and [tuple(r) for r in g.shortest_path(line, 4, 4).collect()] == [(0, 4, 0.0)]
 
 
 def test_triangles_and_similarity(club, spark):
