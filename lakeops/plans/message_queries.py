@@ -135,14 +135,11 @@ def edifact_text(t):
     return t.orders.select(body.alias("body"))
 
 
-@query(
-    "messages_edifact",
-    "S25 S51",
-    """SELECT 'BUYER' || o_custkey AS unb_2, 'ORDERS' AS kind, CAST(o_orderkey AS VARCHAR) AS bgm_2, 'it''s +' || o_orderpriority || '?' AS ftx_4, o_totalprice AS amount FROM orders
-       UNION ALL SELECT 'BUYER' || o_custkey, 'INVOIC', CAST(o_orderkey AS VARCHAR), NULL, NULL FROM orders""",
-)
-def _(t):
-    rows = sg.parse_messages(edifact_text(t), "body", sg.EDIFACT)
+EDIFACT_SQL = """SELECT 'BUYER' || o_custkey AS unb_2, 'ORDERS' AS kind, CAST(o_orderkey AS VARCHAR) AS bgm_2, 'it''s +' || o_orderpriority || '?' AS ftx_4, o_totalprice AS amount FROM orders
+       UNION ALL SELECT 'BUYER' || o_custkey, 'INVOIC', CAST(o_orderkey AS VARCHAR), NULL, NULL FROM orders"""
+
+
+def edifact_columns(rows):
     out = sg.materialize(rows, ["bgm_2", "ftx_4", "moa_1"], sg.EDIFACT)
     return out.select(
         sg.header_column("UNB", 2).alias("unb_2"),
@@ -153,6 +150,18 @@ def _(t):
     )
 
 
+@query("messages_edifact", "S25 S51", EDIFACT_SQL)
+def _(t):
+    return edifact_columns(sg.parse_messages(edifact_text(t), "body", sg.EDIFACT))
+
+
+@query("messages_edifact_files", "S25 S51", EDIFACT_SQL)
+def _(t):
+    path = scratch_path(t.spark, "edifact")
+    edifact_text(t).write.text(path)
+    return edifact_columns(sg.read_edifact_files(t.spark, path))
+
+
 def tradacoms_text(t):
     """Two messages: an invoice with net, tax and gross amounts in pence, and a trailer."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
@@ -165,14 +174,11 @@ def tradacoms_text(t):
     return t.orders.select(body.alias("body"))
 
 
-@query(
-    "messages_tradacoms",
-    "S26 S51",
-    """SELECT 'Buyer ' || o_custkey AS sender, 'INVFIL' AS kind, '5010:' || o_orderkey AS sdt_1, 'A+B''s' AS sdt_2 FROM orders
-       UNION ALL SELECT 'Buyer ' || o_custkey, 'INVTLR', NULL, NULL FROM orders""",
-)
-def _(t):
-    rows = sg.parse_messages(tradacoms_text(t), "body", sg.TRADACOMS)
+TRADACOMS_SQL = """SELECT 'Buyer ' || o_custkey AS sender, 'INVFIL' AS kind, '5010:' || o_orderkey AS sdt_1, 'A+B''s' AS sdt_2 FROM orders
+       UNION ALL SELECT 'Buyer ' || o_custkey, 'INVTLR', NULL, NULL FROM orders"""
+
+
+def tradacoms_columns(rows):
     out = sg.materialize(rows, ["sdt_1", "sdt_2"], sg.TRADACOMS)
     return out.select(
         F.get(sg.components(sg.header_column("STX", 2)), F.lit(1)).alias("sender"),
@@ -182,6 +188,18 @@ def _(t):
     )
 
 
+@query("messages_tradacoms", "S26 S51", TRADACOMS_SQL)
+def _(t):
+    return tradacoms_columns(sg.parse_messages(tradacoms_text(t), "body", sg.TRADACOMS))
+
+
+@query("messages_tradacoms_files", "S26 S51", TRADACOMS_SQL)
+def _(t):
+    path = scratch_path(t.spark, "tradacoms")
+    tradacoms_text(t).write.text(path)
+    return tradacoms_columns(sg.read_tradacoms_files(t.spark, path))
+
+
 def hl7_text(t):
     """A lab result per order: two observations; the name needs escapes."""
     seg = [

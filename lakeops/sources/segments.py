@@ -1,9 +1,9 @@
 """Segment messages: X12, EDIFACT, TRADACOMS and HL7 v2.
 
 ``parse_messages`` takes message text in a column.  Splitting works inside the row, so no
-shuffle is needed.  ``read_x12_files`` and ``read_hl7_files`` scan files of any size: the
-file is split at segment ends, and only per-split counts cross tasks before segments are
-grouped into their transaction.
+shuffle is needed.  ``read_x12_files``, ``read_edifact_files``, ``read_tradacoms_files`` and
+``read_hl7_files`` scan files of any size: the file is split at segment ends, and only per-split
+counts cross tasks before segments are grouped into their transaction.
 
 Result: one row per transaction with ``header`` (a struct: envelope tag -> elements), ``segments``
 (body only; each has ``segment`` and ``elements``) and ``txn_no`` in the message.
@@ -155,24 +155,78 @@ def _body(own: Column, dialect: Dialect) -> Column:
     return F.filter(own, lambda s: ~s["segment"].isin(*outside))
 
 
-def file_signs(spark: SparkSession, path, dialect: Dialect, lines: int = 20, **select) -> DataFrame:
-    """(_file, element, component, segment): the separators that the first lines of each file state.
+#: For each standard a letter of its envelope tags, and how many parts between such letters hold
+#: the signs: 106 characters of ISA, the first of MSH, 9 of UNA.
+MARKS = {"x12": ("S", 108), "hl7": ("S", 2), "edifact": ("N", 10)}
 
-    An envelope may be broken over lines; twenty hold more than its 106 characters.
+
+def file_signs(spark: SparkSession, path, dialect: Dialect, **select) -> DataFrame:
+    """(_file, element, component, segment, release): the separators that each file states at its start.
+
+    The file is cut at a letter of the envelope's tags, so its first parts are short whether it has line
+    ends or not, and blank lines before the envelope are in the first part.  The signs are looked for in
+    the first split of a file; one without an envelope there ends the scan in an error that names it.
     """
+    mark, parts = MARKS[dialect.name]
     first = Window.partitionBy(FILE).orderBy("_at")
-    head = raw_lines(spark, path, **select).where(F.col(BLOCK) == 0).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= lines)
-    text = head.groupBy(FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"], "\n").alias("_t"))
-    return text.select(FILE, *[v.alias(k) for k, v in delimiters("_t", dialect).items()])
+    cut = raw_lines(spark, path, mark, **select).where(F.col(BLOCK) == 0)
+    head = cut.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= parts)
+    text = head.groupBy(FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"], mark).alias("_t"))
+    clean = F.ltrim(F.regexp_replace("_t", "^\\x{FEFF}", ""), F.lit(" \t\r\n"))
+    tags = {"x12": "ISA", "hl7": "^(MSH|FHS|BHS)", "edifact": "^UN[AB]"}
+    message = F.concat(F.lit(f"no {dialect.name} envelope in "), F.col(FILE))
+    known = F.when(clean.rlike(tags[dialect.name]), clean).when(clean == "", F.lit(None)).otherwise(F.raise_error(message))
+    found = text.select(FILE, known.alias("_t")).where("_t IS NOT NULL")
+    signs = delimiters("_t", dialect)
+    signs.setdefault("release", F.lit(None).cast("string"))
+    return found.select(FILE, *[signs[k].alias(k) for k in ("element", "component", "segment", "release")])
+
+
+def _stitched(lines: DataFrame, end: str) -> DataFrame:
+    """``lines`` (cut at every ``end``) with those joined again whose ``end`` was released.
+
+    A part is open when it ends in an odd number of release signs.  Whether the part before is open
+    is known within a split; of the split before, only its last part's state crosses tasks.  Only the
+    pieces of open segments are grouped.
+    """
+    signs = F.when(F.col("release") == " ", 0).otherwise(F.length("value") - F.length(F.rtrim("value", F.col("release"))))
+    rows = lines.withColumn("_open", signs % 2 == 1)
+    place = F.struct(F.col(BLOCK).alias("b"), F.col("_at").alias("a"))
+    inside = Window.partitionBy(FILE, BLOCK).orderBy("_at")
+    last = rows.groupBy(FILE, BLOCK).agg(F.max_by("_open", "_at").alias("_o"))
+    before = last.select(FILE, BLOCK, F.coalesce(F.lag("_o").over(Window.partitionBy(FILE).orderBy(BLOCK)), F.lit(False)).alias("_came"))
+    rows = rows.join(before, [FILE, BLOCK]).withColumn("_first", ~F.coalesce(F.lag("_open").over(inside), F.col("_came")))
+    rows = rows.withColumn("_own", F.last(F.when(F.col("_first"), place), ignorenulls=True).over(inside))
+    heads = rows.groupBy(FILE, BLOCK).agg(F.max("_own").alias("_h"))
+    carry = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(FILE, BLOCK, F.last("_h", ignorenulls=True).over(carry).alias("_earlier"))
+    rows = rows.join(heads, [FILE, BLOCK]).withColumn("_own", F.coalesce("_own", "_earlier"))
+    whole = rows.where("_first AND NOT _open")
+    columns = [c for c in lines.columns if c not in (BLOCK, "_at", "value")]
+    pieces = rows.where("NOT _first OR _open").groupBy(FILE, "_own").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "value")))["value"], end).alias("value"),
+        *[F.first(c).alias(c) for c in columns if c != FILE],
+    )
+    joined = pieces.select(*columns, F.col("_own.b").alias(BLOCK), F.col("_own.a").alias("_at"), "value")
+    return whole.select(*joined.columns).unionByName(joined)
 
 
 def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, signs: DataFrame, **select) -> DataFrame:
     """Transactions of the files that ``signs`` lists, all with the same line separator."""
-    lines = raw_lines(spark, path, line_sep, **select).join(signs.select(FILE, "element", "component"), FILE)
+    lines = raw_lines(spark, path, line_sep, **select).drop("df_file_modified").join(signs.select(FILE, "element", "component", "release"), FILE)
+    if dialect.release:
+        lines = _stitched(lines, line_sep).withColumn("segment", F.lit(line_sep))
     text = F.trim("value", F.lit(" \t\r\n\ufeff"))
     rows = lines.withColumn("_t", text).where("_t <> ''")
+    own_signs = []
+    if dialect.release:
+        seps = {k: F.col(k) for k in ("release", "segment", "element", "component")}
+        rows = rows.where(~F.col("_t").startswith("UNA")).withColumn("_t", hide_released(F.col("_t"), seps | {"signs": list(seps.values())}, dialect))
+        own_signs = [F.concat(*seps.values()).alias(SIGNS)]
     rows = rows.withColumn("_p", _cut(F.col("_t"), F.col("element"), dialect)).drop("value", "_t")
     rows = rows.withColumn("_s", _named(F.col("_p"), F.col("element"), dialect)).drop("_p")
+    rows = rows.select(FILE, BLOCK, "_at", "df_file_name", "component", "_s", *own_signs)
+    kept = ["component", *([SIGNS] if own_signs else [])]
     tag = F.col("_s.segment")
     is_start = F.when(tag == dialect.start, 1).otherwise(0)
     carried = [dialect.start, *dialect.envelope]
@@ -198,32 +252,44 @@ def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, signs: Da
     body = marked.withColumn("_header", F.when(tag == dialect.start, header)).where("txn_no > 0")
     ordered = F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "_s")))
     grouped = body.groupBy(FILE, "df_file_name", "txn_no").agg(
-        ordered.alias("_all"), F.any_value("_header", ignoreNulls=True).alias("header"), F.any_value("component").alias("component")
+        ordered.alias("_all"), F.any_value("_header", ignoreNulls=True).alias("header"), *[F.any_value(c).alias(c) for c in kept]
     )
     return grouped.select(
         "df_file_name",
-        "component",
+        *kept,
         "txn_no",
         "header",
         _body(F.col("_all")["_s"], dialect).alias("segments"),
     )
 
 
+def _by_terminator(spark: SparkSession, path, dialect: Dialect, signs: DataFrame, default: str, **select) -> DataFrame:
+    """Files with the same terminator are read together: one scan for each of the few signs that serve as one."""
+    ends = [r["segment"] for r in signs.where("segment <> ''").select("segment").distinct().orderBy("segment").collect()]
+    each = [_read_files(spark, path, dialect, end, signs.where(F.col("segment") == end), **select) for end in ends]
+    return reduce(lambda a, b: a.unionByName(b), each) if each else _read_files(spark, path, dialect, default, signs, **select)
+
+
 def read_x12_files(spark: SparkSession, path, **select) -> DataFrame:
-    """Transactions of X12 files; each file has the separators stated in its own envelope.
+    """Transactions of X12 files; each file has the separators stated in its own envelope."""
+    return _by_terminator(spark, path, X12, settle(file_signs(spark, path, X12, **select), "x12-signs"), "~", **select)
 
-    Files with the same terminator are read together, so there is one scan for each of the
-    few signs that serve as terminators.
-    """
-    signs = settle(file_signs(spark, path, X12, **select), "x12-signs")
-    ends = [r["segment"] for r in signs.where("segment <> ''").select("segment").distinct().orderBy("segment").collect()]
-    each = [_read_files(spark, path, X12, end, signs.where(F.col("segment") == end), **select) for end in ends]
-    return reduce(lambda a, b: a.unionByName(b), each) if each else _read_files(spark, path, X12, "~", signs, **select)
+
+def read_edifact_files(spark: SparkSession, path, **select) -> DataFrame:
+    """Messages of EDIFACT files of any size, with or without line ends; each file has the signs of its UNA."""
+    return _by_terminator(spark, path, EDIFACT, settle(file_signs(spark, path, EDIFACT, **select), "edifact-signs"), "'", **select)
+
+
+def read_tradacoms_files(spark: SparkSession, path, **select) -> DataFrame:
+    """Messages of TRADACOMS files of any size; the signs are fixed."""
+    files = raw_lines(spark, path, "'", **select).select(FILE).distinct()
+    signs = files.select(FILE, *[v.alias(k) for k, v in delimiters(F.lit(""), TRADACOMS).items()])
+    return _read_files(spark, path, TRADACOMS, "'", signs, **select)
 
 
 def read_hl7_files(spark: SparkSession, path, **select) -> DataFrame:
     """Messages of HL7 v2 files (segments end with CR, LF or both), each with its own separators."""
-    signs = settle(file_signs(spark, path, HL7, lines=1, **select).drop("segment"), "hl7-signs")
+    signs = settle(file_signs(spark, path, HL7, **select), "hl7-signs")
     return _read_files(spark, path, HL7, None, signs, **select)
 
 

@@ -130,3 +130,54 @@ def test_edifact_signs_of_the_message(spark):
     body = "UNA:*.! ~UNB*UNOA:2*A*B~UNH*1*X~FTX*AAI***it!~s !* !!~UNT*3*1~UNZ*1*1~"
     rows = sg.parse_messages(spark.createDataFrame([(body,)], "body string"), "body", sg.EDIFACT)
     assert sg.materialize(rows, ["ftx_4"], sg.EDIFACT).first()["ftx_4"] == "it~s * !"
+
+
+def small_splits(spark, size, read):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        return read()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("size", [23, 100_000])
+def test_edifact_files_in_ranges_like_whole_texts(spark, tmp_path, size):
+    plain = "UNB+UNOA:2+O?'NEIL ??+B'" + "".join(f"UNH+{i}+ORDERS:D'FTX+a?+{i}??+c?'d?''BGM+220+{i}??'UNT+3+{i}'" for i in range(9)) + "UNZ+9+1'"
+    other = "UNA:*.! ~\nUNB*UNOA:2*A!~A*B~\nUNH*1*X:D~FTX*it!~s !* !!*'~UNT*3*1~UNZ*1*1~\n"
+    texts = {"a.edi": plain, "b.edi": "\n" * 8 + other, "c.edi": "UNA:+.? '" + plain, "empty.edi": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    columns = ["df_file_name", "txn_no", sg.header_column("UNB", 2).alias("unb_2"), "ftx_1", "ftx_2", "bgm_2"]
+
+    def shown(rows):
+        out = sg.materialize(rows, ["ftx_1", "ftx_2", "bgm_2"], sg.EDIFACT).select(*columns)
+        return sorted(map(tuple, out.collect()), key=str)
+
+    whole = spark.createDataFrame([(n, t.lstrip()) for n, t in texts.items() if t], "df_file_name string, body string")
+    want = shown(sg.parse_messages(whole, "body", sg.EDIFACT))
+    assert len(want) == 19 and any(r[3:] == ("it~s * !", "'", None) for r in want)
+    assert small_splits(spark, size, lambda: shown(sg.read_edifact_files(spark, str(tmp_path)))) == want
+
+
+def test_tradacoms_files_in_ranges(spark, tmp_path):
+    text = "STX=ANA:1+5000:B?'s+S'" + "".join(f"MHD={i}+INV:9'TYP=07+A?+B?'{i}'MTR=3'" for i in range(6)) + "END=6'"
+    (tmp_path / "t.edi").write_text(text)
+    rows = small_splits(spark, 19, lambda: sg.materialize(sg.read_tradacoms_files(spark, str(tmp_path)), ["typ_2"], sg.TRADACOMS).select("txn_no", "typ_2").collect())
+    assert sorted(map(tuple, rows)) == [(i + 1, f"A+B'{i}") for i in range(6)]
+
+
+def test_x12_after_blank_lines_and_without_line_ends(spark, tmp_path):
+    (tmp_path / "a.x12").write_text("\n" * 25 + X12_BODY)
+    (tmp_path / "b.x12").write_text(X12_BODY.replace("\n", "").replace("\t", ""))
+    rows = sg.read_x12_files(spark, str(tmp_path)).select("df_file_name", sg.header_column("ST", 1).alias("st"))
+    assert sorted(map(tuple, rows.collect())) == [("a.x12", "810"), ("a.x12", "850"), ("b.x12", "810"), ("b.x12", "850")]
+    (tmp_path / "c.x12").write_text("no envelope here")
+    with pytest.raises(Exception, match="no x12 envelope"):
+        sg.read_x12_files(spark, str(tmp_path)).count()
+
+
+def test_hl7_after_blank_lines(spark, tmp_path):
+    (tmp_path / "a.hl7").write_text("\n\r\nMSH|^~\\&|A|B\rPID|1|x^y\r")
+    rows = sg.materialize(sg.read_hl7_files(spark, str(tmp_path)), ["pid_2"], sg.HL7).select("component", "pid_2")
+    assert [tuple(r) for r in rows.collect()] == [("^", "x^y")]
