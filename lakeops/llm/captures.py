@@ -62,7 +62,8 @@ def write(pages: DataFrame, path: str, least: int = 1000, archive_bytes: int = 1
     # Rows without an id are dealt by a number of their own, and match no revisit.
     rows = rows.withColumn("deal", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
     keys = ["page_id", "digest", "deal"]
-    again = revisits(marks, least).withColumn("deal", F.lit(0).cast("long"))
+    # Always 0, but no literal: one would be taken out of the join's keys, and the rows dealt twice.
+    again = revisits(marks, least).withColumn("deal", F.col("page_id") % F.lit(1).cast("long"))
     dealt = rows.repartition(-(-total // archive_bytes) or 1, *keys).join(again, keys, "left")
     again = F.col("refers_to").isNotNull()
     size = F.octet_length("html").cast("long")
