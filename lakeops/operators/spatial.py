@@ -101,17 +101,27 @@ def point_y(wkt) -> Column:
     return F.regexp_extract(col(wkt), r"\(\s*(\S+)\s+(\S+?)\s*\)", 2).cast("double")
 
 
-def ring(wkt) -> Column:
-    """Outer ring of a WKT polygon as an array of (lng, lat) structs, closed as given."""
-    inner = F.regexp_extract(col(wkt), r"\(\(([^)]*)\)", 1)
+def _points(text: Column) -> Column:
+    """``lng lat, lng lat, ...`` as an array of (lng, lat) structs."""
     return F.transform(
-        F.split(inner, r"\s*,\s*"),
+        F.split(text, r"\s*,\s*"),
         lambda p: F.struct(
             F.split(F.trim(p), r"\s+")[0].cast("double").alias("lng"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("lat")
         ),
     )
 
 
+def ring(wkt) -> Column:
+    """Outer ring of a WKT polygon as an array of (lng, lat) structs, closed as given."""
+    return _points(F.regexp_extract(col(wkt), r"\(\(([^)]*)\)", 1))
+
+
+def parts(wkt) -> Column:
+    """All polygons of a WKT POLYGON or MULTIPOLYGON, each the array of its rings, the outer one first."""
+    texts = F.split(col(wkt), r"\)\s*\)\s*,\s*\(\s*\(")
+    return F.transform(texts, lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"([^()]*\d[^()]*)")), _points))
+
+
 def edges_of(points: Column) -> Column:
     """Consecutive point pairs of a closed ring."""
     return F.zip_with(
@@ -119,8 +129,42 @@ def edges_of(points: Column) -> Column:
     )
 
 
-def contains(points: Column, lat: Column, lng: Column) -> Column:
-    """Ray cast: true if an odd number of ring edges lie east of the point."""
+def _turn(e: Column) -> Column:
+    """Turns of the world that an edge makes where it crosses the date line: -1, 0 or 1."""
+    d = e["b"]["lng"] - e["a"]["lng"]
+    return F.when(d > 180, -1).when(d < -180, 1).otherwise(0)
+
+
+def _shifted(points: Column, turns) -> Column:
+    return F.transform(points, lambda p: F.struct((p["lng"] + 360.0 * turns).alias("lng"), p["lat"].alias("lat")))
+
+
+def _on_map(points: Column) -> Column:
+    """A ring as the rings it makes on the map: one that crosses the date line is drawn whole on both sides."""
+    crossings = F.filter(F.transform(edges_of(points), lambda e, i: F.struct(i.alias("at"), _turn(e).alias("turn"))), lambda c: c["turn"] != 0)
+
+    def moved(p, i):
+        turns = F.aggregate(crossings, F.lit(0), lambda n, c: n + F.when(c["at"] < i, c["turn"]).otherwise(0))
+        return F.struct((p["lng"] + 360.0 * turns).alias("lng"), p["lat"].alias("lat"))
+
+    whole = F.transform(points, moved)
+    lngs = whole["lng"]
+    beside = F.when(F.array_max(lngs) > 180, F.array(whole, _shifted(whole, -1))).when(F.array_min(lngs) < -180, F.array(whole, _shifted(whole, 1)))
+    return F.when(F.size(crossings) == 0, F.array(points)).otherwise(F.coalesce(beside, F.array(whole)))
+
+
+def outline(wkt) -> Column:
+    """Edges of all rings of a WKT polygon or multipolygon, ready for ``inside`` and ``cover``.
+
+    A point in a hole crosses an even number of them.  Rings may cross the date line, but not hold a
+    pole.  A null or empty text has no edges.
+    """
+    rings = F.flatten(F.transform(F.flatten(parts(wkt)), _on_map))
+    return F.coalesce(F.flatten(F.transform(rings, edges_of)), F.array().cast("array<struct<a:struct<lng:double,lat:double>,b:struct<lng:double,lat:double>>>"))
+
+
+def inside(edges: Column, lat: Column, lng: Column) -> Column:
+    """Ray cast: true if an odd number of edges lie east of the point."""
 
     def crosses(e):
         straddles = (e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)
@@ -128,20 +172,35 @@ def contains(points: Column, lat: Column, lng: Column) -> Column:
         # Level edges never straddle; CASE keeps them from being divided.
         return F.when(straddles, F.when(lng < x, 1).otherwise(0)).otherwise(0)
 
-    hits = F.aggregate(edges_of(points), F.lit(0), lambda n, e: n + crosses(e))
-    return hits % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
+
+
+def contains(points: Column, lat: Column, lng: Column) -> Column:
+    """Ray cast against one ring."""
+    return inside(edges_of(points), lat, lng)
 
 
 def area(points: Column) -> Column:
     """Area of a ring on the sphere, square metres."""
 
     def part(s, e):
-        dl = F.radians(e["b"]["lng"] - e["a"]["lng"])
+        dl = F.radians(e["b"]["lng"] - e["a"]["lng"] + 360.0 * _turn(e))
         return s + dl * (2 + F.sin(F.radians(e["a"]["lat"])) + F.sin(F.radians(e["b"]["lat"])))
 
     return F.abs(F.aggregate(edges_of(points), F.lit(0.0), part)) * F.lit(EARTH_M * EARTH_M / 2)
 
 
+def polygon_area(wkt) -> Column:
+    """Square metres of a WKT polygon or multipolygon without its holes."""
+
+    def whole(rings):
+        holes = F.aggregate(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda s, r: s + area(r))
+        return area(F.get(rings, F.lit(0))) - holes
+
+    # An empty polygon has no rings.
+    return F.aggregate(parts(wkt), F.lit(0.0), lambda s, rings: s + F.coalesce(whole(rings), F.lit(0.0)))
+
+
 # --- cells --------------------------------------------------------------------------
 
 
@@ -293,33 +352,109 @@ def grid_path(a, b) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n), at)
 
 
-def bbox_cells(points: Column, level: int) -> Column:
-    """Array of the cells that the bounding box of a ring touches."""
-    lats, lngs = points["lat"], points["lng"]
-    rows = F.sequence(lat_row(F.array_min(lats), level), lat_row(F.array_max(lats), level))
-    columns = F.sequence(lng_column(F.array_min(lngs), level), lng_column(F.array_max(lngs), level))
-    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda k: pack(level, r, wrap(k, level)))))
+#: Degrees by which a cell is taken as larger, so that rounding cannot put a point beside its cell.
+SLACK = 1e-9
 
 
-def polyfill(df: DataFrame, points: str, level: int) -> DataFrame:
-    """One row per cell whose centre lies in the polygon: the columns of ``df`` plus ``cell``."""
-    spread = df.withColumn("cell", F.explode(bbox_cells(F.col(points), level)))
-    return spread.where(contains(F.col(points), cell_lat("cell"), cell_lng("cell")))
+def _touches(e: Column, box: dict[str, Column]) -> Column:
+    """True if an edge meets a box: their extents do, and the corners are not all on one side of its line."""
+    ax, ay, bx, by = e["a"]["lng"], e["a"]["lat"], e["b"]["lng"], e["b"]["lat"]
+    near = (F.least(ax, bx) <= box["east"]) & (F.greatest(ax, bx) >= box["west"])
+    near = near & (F.least(ay, by) <= box["north"]) & (F.greatest(ay, by) >= box["south"])
+    sides = [(bx - ax) * (box[y] - ay) - (by - ay) * (box[x] - ax) for x in ("west", "east") for y in ("south", "north")]
+    return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def cover(df: DataFrame, edges: str, steps: int = 5, level: int = MAX_LEVEL) -> DataFrame:
+    """Cells of mixed levels that cover each polygon: the columns of ``df``, ``cell`` and ``inner``.
+
+    A polygon starts with the at most four cells of its own size, down to ``level``.  A cell that an
+    edge meets is cut in four, ``steps`` times; one that none meets is wholly inside (``inner``) or
+    left out.  So a country and a city block take about as many cells each.  ``edges`` becomes the
+    part of the outline that a point in that cell can have to its east; inner cells need none.
+    """
+    lats, lngs = F.col(edges)["a"]["lat"], F.col(edges)["a"]["lng"]
+    share = F.greatest((F.array_max(lats) - F.array_min(lats)) / 180.0, (F.array_max(lngs) - F.array_min(lngs)) / 360.0, F.lit(2.0**-level))
+    start = F.greatest(F.lit(0), F.least(F.lit(level), F.floor(-F.log2(share)))).cast("int")
+    last = _side(F.col("_start")).cast("long") - 1
+
+    def span(low, high):
+        return F.explode(F.sequence(F.greatest(low, F.lit(0).cast("long")), F.least(high, last)))
+
+    rows = df.where(F.size(edges) > 0).withColumn("_start", start)
+    rows = rows.withColumn("_row", span(lat_row(F.array_min(lats), F.col("_start")), lat_row(F.array_max(lats), F.col("_start"))))
+    rows = rows.withColumn("_col", span(lng_column(F.array_min(lngs), F.col("_start")), lng_column(F.array_max(lngs), F.col("_start"))))
+    first = _judged(F.array(pack(F.col("_start"), F.col("_row"), F.col("_col"))), F.col(edges))
+    rows = rows.withColumn("_found", F.explode(first)).drop("_start", "_row", "_col")
+    for step in range(steps + 1):
+        rows = rows.withColumns({"cell": F.col("_found.cell"), "inner": F.col("_found.inner"), edges: F.col("_found.edges")}).drop("_found")
+        if step < steps:
+            here, row, column = cell_level("cell"), cell_row("cell") * 2, cell_column("cell") * 2
+            quarters = F.array(*[pack(here + 1, row + i, column + j) for i in (0, 1) for j in (0, 1)])
+            same = F.array(F.struct("cell", "inner", F.col(edges).alias("edges")))
+            cut = F.when(F.col("inner") | (here >= level), same).otherwise(_judged(quarters, F.col(edges)))
+            rows = rows.withColumn("_found", F.explode(cut))
+    return rows
+
+
+def _judged(cells: Column, edges: Column) -> Column:
+    """(cell, inner, edges) of those cells of an array that are not wholly outside.
+
+    Each transform names what the next one uses more than once.
+    """
+
+    def box_of(c):
+        b = cell_bounds(c)
+        return F.struct(c.alias("cell"), *[(b[k] + F.lit(SLACK if k in ("north", "east") else -SLACK)).alias(k) for k in b])
+
+    def to_east(e, b):
+        lat1, lat2, lng1, lng2 = e["a"]["lat"], e["b"]["lat"], e["a"]["lng"], e["b"]["lng"]
+        return (F.least(lat1, lat2) <= b["north"]) & (F.greatest(lat1, lat2) >= b["south"]) & (F.greatest(lng1, lng2) >= b["west"])
+
+    def side(b):
+        box = {k: b["box"][k] for k in ("south", "north", "west", "east")}
+        whole = inside(b["edges"], cell_lat(b["box"]["cell"]), cell_lng(b["box"]["cell"]))
+        return F.when(F.exists(b["edges"], lambda e: _touches(e, box)), "border").when(whole, "inner")
+
+    trimmed = F.transform(F.transform(cells, box_of), lambda b: F.struct(b.alias("box"), F.filter(edges, lambda e: to_east(e, b)).alias("edges")))
+    told = F.transform(trimmed, lambda b: F.struct(b["box"]["cell"].alias("cell"), side(b).alias("side"), b["edges"].alias("edges")))
+
+    def result(b):
+        inner = b["side"] == "inner"
+        # What is known to be inside needs no outline.
+        return F.struct(b["cell"].alias("cell"), inner.alias("inner"), F.when(inner, F.slice(b["edges"], 1, 0)).otherwise(b["edges"]).alias("edges"))
+
+    return F.transform(F.filter(told, lambda b: b["side"].isNotNull()), result)
+
+
+def polyfill(df: DataFrame, edges: str, level: int, steps: int = 5) -> DataFrame:
+    """One row per cell of a level whose centre lies in the polygon: the columns of ``df`` plus ``cell``.
+
+    The cover's cells are cut down to the level row by row, so no list of a polygon's cells is made.
+    """
+    rows = cover(df, edges, steps, level).withColumn("_n", F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(level) - cell_level("cell")))
+    for name, at in (("_row", cell_row("cell")), ("_col", cell_column("cell"))):
+        rows = rows.withColumn(name, F.explode(F.sequence(at * F.col("_n"), at * F.col("_n") + F.col("_n") - 1)))
+    rows = rows.withColumn("cell", pack(level, F.col("_row"), F.col("_col")))
+    return rows.where(F.col("inner") | inside(F.col(edges), cell_lat("cell"), cell_lng("cell"))).drop("inner", "_n", "_row", "_col")
 
 
 # --- joins --------------------------------------------------------------------------
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, ring_col: str, level: int, how: str = "inner") -> DataFrame:
-    """Points (lat, lng) with the polygons that contain them.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, edges: str, steps: int = 5) -> DataFrame:
+    """Points (lat, lng in [-180, 180)) with the polygons that contain them, without ``edges``.
 
-    Polygons are listed under each cell their bounding box touches; points look under
-    their own cell only, then the ray cast decides.
+    Polygons are listed under the cells of their cover; a point looks under its cell at each of the
+    cover's levels.  A polygon's cells do not overlap, so a pair comes out once; in inner cells it
+    needs no test, in others the ray cast against that cell's edges decides.
     """
-    listed = polygons.withColumn("_cell", F.explode(bbox_cells(F.col(ring_col), level)))
-    placed = points.withColumn("_cell", cell("lat", "lng", level))
-    hit = (placed["_cell"] == listed["_cell"]) & contains(listed[ring_col], placed["lat"], placed["lng"])
-    return placed.join(listed, hit, how).drop("_cell")
+    listed = settle(cover(polygons, edges, steps).withColumnsRenamed({"cell": "_cell", "inner": "_inner", edges: "_edges"}), "cover")
+    # At most MAX_LEVEL + 1 numbers.
+    levels = [r[0] for r in listed.select(cell_level("_cell")).distinct().collect()] or [0]
+    placed = points.withColumn("_cell", F.explode(F.array(*[cell("lat", "lng", n) for n in sorted(levels)])))
+    hit = F.col("_inner") | inside(F.col("_edges"), F.col("lat"), F.col("lng"))
+    return placed.join(listed, "_cell").where(hit).drop("_cell", "_inner", "_edges")
 
 
 def within_radius(points: DataFrame, sites: DataFrame, metres: float, level: int) -> DataFrame:

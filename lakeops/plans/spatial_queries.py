@@ -41,12 +41,12 @@ def sites(t):
 
 
 def zones(t):
-    """Zones with their centre, WKT outline and ring."""
+    """Zones with their centre, WKT outline and its edges."""
     lat, lng = place("n_nationkey + 1", POINT)
     base = t.nation.select("n_nationkey", F.col("n_name").alias("zone"), F.expr(lat).alias("z_lat"), F.expr(lng).alias("z_lng"))
     corners = [F.concat((F.col("z_lng") + b).cast("string"), F.lit(" "), (F.col("z_lat") + a).cast("string")) for a, b in [*CORNERS, CORNERS[0]]]
     wkt = F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *corners), F.lit("))"))
-    return base.withColumn("wkt", wkt).withColumn("ring", sp.ring("wkt"))
+    return base.withColumn("wkt", wkt).withColumn("edges", sp.outline("wkt"))
 
 
 _p, _s, _z = place("c_custkey", POINT, "duckdb"), place("s_suppkey", SITE, "duckdb"), place("n_nationkey + 1", POINT, "duckdb")
@@ -78,7 +78,7 @@ ENDS = ("lat", "lng", "z_lat", "z_lng")
 
 def to_zone(t):
     """Each point with the centre of its own nation's zone."""
-    return points(t).join(zones(t).drop("ring", "wkt"), F.col("nation") == F.col("n_nationkey"))
+    return points(t).join(zones(t).drop("edges", "wkt"), F.col("nation") == F.col("n_nationkey"))
 
 
 TO_ZONE = "p JOIN z ON nation = n_nationkey"
@@ -119,7 +119,7 @@ def _(t):
 
 @query("spatial_points_in_zones", "J15 G05", ZG + " SELECT id, zone FROM i")
 def _(t):
-    return sp.points_in_polygons(points(t), zones(t), "ring", 12).select("id", "zone")
+    return sp.points_in_polygons(points(t), zones(t), "edges").select("id", "zone")
 
 
 @query(
@@ -139,7 +139,7 @@ def _(t):
         FROM g GROUP BY 1""",
 )
 def _(t):
-    return zones(t).select("zone", F.round(sp.area(F.col("ring")) / 1_000_000, 4).alias("km2"))
+    return zones(t).select("zone", F.round(sp.polygon_area("wkt") / 1_000_000, 4).alias("km2"))
 
 
 SIDE = 2**LEVEL
@@ -186,7 +186,7 @@ FILL = f"WITH {P}, {Z}, {EDGES}, {POLYFILL}"
 
 @query("spatial_polygon_cover", "G09", f"{FILL} SELECT zone, {pack_sql('r', 'k')} AS cell FROM f")
 def _(t):
-    return sp.polyfill(zones(t).select("zone", "ring"), "ring", LEVEL).select("zone", "cell")
+    return sp.polyfill(zones(t).select("zone", "edges"), "edges", LEVEL).select("zone", "cell")
 
 
 @query(
@@ -195,7 +195,7 @@ def _(t):
     f"{FILL} SELECT id, zone FROM p JOIN f ON f.r = {ROW} AND f.k = {COL}",
 )
 def _(t):
-    cover = sp.polyfill(zones(t).select("zone", "ring"), "ring", LEVEL).select("zone", "cell")
+    cover = sp.polyfill(zones(t).select("zone", "edges"), "edges", LEVEL).select("zone", "cell")
     return points(t).withColumn("cell", sp.cell("lat", "lng", LEVEL)).join(cover, "cell").select("id", "zone")
 
 
@@ -270,7 +270,7 @@ def _(t):
          (SELECT COUNT(*) FROM i) AS pairs FROM p""",
 )
 def _(t):
-    inside = settle(sp.points_in_polygons(points(t), zones(t), "ring", 12).select("id", "zone"))
+    inside = settle(sp.points_in_polygons(points(t), zones(t), "edges").select("id", "zone"))
     hit = inside.groupBy("id").agg(F.count("*").alias("k"))
     rows = points(t).join(hit, "id", "left")
     return rows.agg(

@@ -70,3 +70,86 @@ def test_containment_and_area(spark):
     box = spark.createDataFrame([("POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))",)], "w string").select(sp.area(sp.ring("w"))).first()[0]
     exact = 6371000.0**2 * math.radians(1) * math.sin(math.radians(1))
     assert abs(box - exact) / exact < 1e-4
+
+
+def in_rings(rings, lat, lng):
+    odd = False
+    for r in rings:
+        for (ax, ay), (bx, by) in zip(r, r[1:]):
+            odd ^= (ay > lat) != (by > lat) and lng < (bx - ax) * (lat - ay) / (by - ay) + ax
+    return odd
+
+
+def circle(lng, lat, size, n):
+    at = [(lng + size * math.cos(2 * math.pi * i / n), lat + size * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return [*at, at[0]]
+
+
+def text(rings):
+    return ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")" for r in rings)
+
+
+COUNTRY = [circle(10.0, 45.0, 9.0, 300), circle(12.0, 46.0, 2.0, 40)]
+BLOCK = [[(12.0, 46.0), (12.002, 46.0), (12.002, 46.001), (12.0, 46.001), (12.0, 46.0)]]
+ISLANDS = [circle(-30.0, -10.0, 3.0, 7), circle(-31.0, -10.5, 0.5, 9), circle(-20.0, -12.0, 1.0, 5)]
+SHAPES = {
+    "country": (f"POLYGON ({text(COUNTRY)})", COUNTRY),
+    "block": (f"POLYGON({text(BLOCK)})", BLOCK),
+    "islands": (f"MULTIPOLYGON((({text(ISLANDS[:2])[1:-1]})), (({text(ISLANDS[2:])[1:-1]})))", ISLANDS),
+    # The same box on both sides of the date line, as the map has it.
+    "strait": (
+        "POLYGON((178 -20, -177 -20, -177 -16, 178 -16, 178 -20), (179.5 -19, -179.5 -19, -179.5 -18, 179.5 -18, 179.5 -19))",
+        [
+            [(178 + d, -20), (183 + d, -20), (183 + d, -16), (178 + d, -16), (178 + d, -20)] for d in (0, -360)
+        ] + [[(179.5 + d, -19), (180.5 + d, -19), (180.5 + d, -18), (179.5 + d, -18), (179.5 + d, -19)] for d in (0, -360)],
+    ),
+}
+
+
+def shapes(spark):
+    rows = [(k, v[0]) for k, v in SHAPES.items()] + [("none", "POLYGON EMPTY"), ("null", None)]
+    return spark.createDataFrame(rows, "name string, wkt string").withColumn("edges", sp.outline("wkt"))
+
+
+def test_points_in_polygons_with_holes_parts_and_date_line(spark):
+    rnd = random.Random(9)
+    spots = [(rnd.uniform(-22, 56), rnd.uniform(-180, 179.99)) for _ in range(300)]
+    spots += [(rnd.uniform(-21, -15), rnd.choice([-1, 1]) * rnd.uniform(176, 179.999)) for _ in range(200)]
+    spots += [(rnd.uniform(45.999, 46.002), rnd.uniform(11.999, 12.003)) for _ in range(200)]
+    spots += [(rnd.uniform(35, 55), rnd.uniform(0, 20)) for _ in range(300)]
+    spots += [(rnd.uniform(-14, -6), rnd.uniform(-34, -18)) for _ in range(300)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, lat double, lng double")
+    got = [(r["id"], r["name"]) for r in sp.points_in_polygons(points, shapes(spark), "edges").collect()]
+    want = {(i, k) for i, p in enumerate(spots) for k, (_, rings) in SHAPES.items() if in_rings(rings, *p)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {k for _, k in want} == set(SHAPES)
+    assert sp.points_in_polygons(points, shapes(spark).limit(0), "edges").count() == 0
+
+
+def test_cover_takes_few_cells_of_mixed_levels(spark):
+    rows = sp.cover(shapes(spark), "edges", 5).select("name", "cell", "inner", F.size("edges").alias("n"), sp.cell_level("cell").alias("level")).collect()
+    per = {k: [r for r in rows if r["name"] == k] for k in SHAPES}
+    assert max(r["level"] for r in per["country"]) < min(r["level"] for r in per["block"])
+    for cells in per.values():
+        assert len(cells) < 1500 and len({r["cell"] for r in cells}) == len(cells)
+        assert all(r["n"] == 0 for r in cells if r["inner"])
+    # A border cell has a small part of the outline, and the country has cells inside.
+    assert max(r["n"] for r in per["country"]) < 100 and any(r["inner"] for r in per["country"])
+
+
+def test_polyfill_is_the_cells_whose_centres_lie_inside(spark):
+    got = {(r["name"], r["cell"]) for r in sp.polyfill(shapes(spark).where("name IN ('islands', 'strait')"), "edges", 9).select("name", "cell").collect()}
+    side, want = 2**9, set()
+    for name in ("islands", "strait"):
+        for row in range(side):
+            for column in range(side):
+                if in_rings(SHAPES[name][1], (row + 0.5) / side * 180.0 - 90.0, (column + 0.5) / side * 360.0 - 180.0):
+                    want.add((name, (9 << 56) + (row << 28) + column))
+    assert got == want and len({n for n, _ in got}) == 2
+
+
+def test_area_subtracts_holes(spark):
+    got = {r["name"]: r["m"] for r in shapes(spark).select("name", sp.polygon_area("wkt").alias("m")).collect()}
+    ring = {k: sp.EARTH_M**2 * math.radians(w) * (math.sin(math.radians(n)) - math.sin(math.radians(s))) for k, w, s, n in [("out", 5, -20, -16), ("hole", 1, -19, -18)]}
+    assert abs(got["strait"] / (ring["out"] - ring["hole"]) - 1) < 2e-3
+    assert got["none"] == 0.0 and got["null"] is None and 0 < got["block"] < got["islands"] < got["country"]
