@@ -384,17 +384,18 @@ def cover(df: DataFrame, edges: str, steps: int = 5, level: int = MAX_LEVEL) ->
     rows = df.where(F.size(edges) > 0).withColumn("_start", start)
     rows = rows.withColumn("_row", span(lat_row(F.array_min(lats), F.col("_start")), lat_row(F.array_max(lats), F.col("_start"))))
     rows = rows.withColumn("_col", span(lng_column(F.array_min(lngs), F.col("_start")), lng_column(F.array_max(lngs), F.col("_start"))))
-    first = _judged(F.array(pack(F.col("_start"), F.col("_row"), F.col("_col"))), F.col(edges))
-    rows = rows.withColumn("_found", F.explode(first)).drop("_start", "_row", "_col")
-    for step in range(steps + 1):
-        rows = rows.withColumns({"cell": F.col("_found.cell"), "inner": F.col("_found.inner"), edges: F.col("_found.edges")}).drop("_found")
-        if step < steps:
-            here, row, column = cell_level("cell"), cell_row("cell") * 2, cell_column("cell") * 2
-            quarters = F.array(*[pack(here + 1, row + i, column + j) for i in (0, 1) for j in (0, 1)])
-            same = F.array(F.struct("cell", "inner", F.col(edges).alias("edges")))
-            cut = F.when(F.col("inner") | (here >= level), same).otherwise(_judged(quarters, F.col(edges)))
-            rows = rows.withColumn("_found", F.explode(cut))
-    return rows
+    rows = rows.withColumn("_cells", F.array(pack(F.col("_start"), F.col("_row"), F.col("_col")))).drop("_start", "_row", "_col")
+    # The same columns serve all steps, as they refer to the row by name.
+    judged = _judged(F.col("_cells"), F.col(edges))
+    found = {"cell": F.col("_found.cell"), "inner": F.col("_found.inner"), edges: F.col("_found.edges")}
+    rows = rows.withColumn("_found", F.explode(judged)).withColumns(found)
+    here, row, column = cell_level("cell"), cell_row("cell") * 2, cell_column("cell") * 2
+    quarters = F.array(*[pack(here + 1, row + i, column + j) for i in (0, 1) for j in (0, 1)])
+    same = F.array(F.struct("cell", "inner", F.col(edges).alias("edges")))
+    cut = F.explode(F.when(F.col("inner") | (here >= level), same).otherwise(judged))
+    for _ in range(steps):
+        rows = rows.withColumn("_cells", quarters).withColumn("_found", cut).withColumns(found)
+    return rows.drop("_found", "_cells")
 
 
 def _judged(cells: Column, edges: Column) -> Column:
