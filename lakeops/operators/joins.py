@@ -10,31 +10,35 @@ from pyspark.sql import functions as F
 from lakeops.operators.ordered import SLICE, sort_columns, with_slice
 
 
-def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, bucket: int) -> DataFrame:
-    """Pairs of rows with equal ``keys`` whose half-open intervals [start, end) overlap.
+def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str) -> DataFrame:
+    """Pairs of rows with equal ``keys`` whose half-open intervals [start, end) of whole numbers overlap.
 
-    Output: ``first_id < second_id`` plus the keys.  Each interval is placed in the
-    buckets it touches and pairs are looked for inside a bucket only.  A pair is kept in
-    the bucket where the later of the two starts, so it comes out once and needs no
-    distinct.  Empty intervals overlap what strictly surrounds them.
+    Output: ``first_id < second_id`` plus the keys.  Of two that overlap, the later start lies in the
+    other interval.  An interval is placed in the cells it touches of a width that follows its own
+    length, at most six, and each start is looked up in its one cell of every width that occurs.  So
+    minutes and years meet without a common bucket: a start is paired with few intervals that do not
+    hold it, and a pair comes out once.  Empty intervals overlap what strictly surrounds them.
     """
-    last = F.greatest(F.col(end) - 1, F.col(start))
-    spread = df.select(
-        *keys,
-        row_id,
-        start,
-        end,
-        F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(last / bucket))).alias("_b"),
-    )
-    a = spread.select(*keys, "_b", F.col(row_id).alias("first_id"), F.col(start).alias("s1"), F.col(end).alias("e1"))
-    b = spread.select(*keys, "_b", F.col(row_id).alias("second_id"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    hit = (
-        (F.col("first_id") < F.col("second_id"))
-        & (F.col("s1") < F.col("e2"))
-        & (F.col("s2") < F.col("e1"))
-        & (F.floor(F.greatest("s1", "s2") / bucket) == F.col("_b"))
-    )
-    return a.join(b, [*keys, "_b"]).where(hit).select(*keys, "first_id", "second_id")
+    # The width is the power of two above a quarter of the length, given by its exponent.
+    length = F.col(end) - F.col(start)
+    power = F.greatest(F.length(F.bin(length)).cast("int") - 2, F.lit(0))
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    holders = rows.where(length > 0).withColumn("_p", power)
+    # At most 62 numbers.
+    powers = sorted(r[0] for r in holders.select("_p").distinct().collect())
+
+    def cell(at, p):
+        return F.call_function("shiftright", at, p)
+
+    holders = holders.withColumn("_c", F.explode(F.sequence(cell(F.col(start), F.col("_p")), cell(F.col(end) - 1, F.col("_p")))))
+    holders = holders.select(*keys, "_p", "_c", F.col(row_id).alias("_a"), F.col(start).alias("_s1"), F.col(end).alias("_e1"))
+    starts = rows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in powers]).cast("array<int>")))
+    starts = starts.select(*keys, "_p", cell(F.col(start), F.col("_p")).alias("_c"), F.col(row_id).alias("_b"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
+    # Of equal starts, the smaller id counts as the earlier one.
+    earlier = (F.col("_s1") < F.col("_s2")) | ((F.col("_s1") == F.col("_s2")) & (F.col("_a") < F.col("_b")))
+    hit = earlier & (F.col("_s2") < F.col("_e1")) & (F.col("_s1") < F.col("_e2")) & (F.col("_a") != F.col("_b"))
+    pairs = holders.join(starts, [*keys, "_p", "_c"]).where(hit)
+    return pairs.select(*keys, F.least("_a", "_b").alias("first_id"), F.greatest("_a", "_b").alias("second_id"))
 
 
 def as_of_join(

@@ -86,7 +86,7 @@ def _(t):
     f"SELECT user_id, COUNT(*) AS conflicts, COUNT(DISTINCT first_id) AS meetings FROM ({OVERLAP_SQL}) GROUP BY 1",
 )
 def _(t):
-    pairs = overlap_join(bookings(t), ["user_id", "event_type"], "event_id", "s", "e", 6 * 3600 * 1_000_000)
+    pairs = overlap_join(bookings(t), ["user_id", "event_type"], "event_id", "s", "e")
     return pairs.groupBy("user_id").agg(F.count("*").alias("conflicts"), F.countDistinct("first_id").alias("meetings"))
 
 

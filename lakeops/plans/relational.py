@@ -328,8 +328,8 @@ def bookings(t):
 
 @query("join_interval_overlap", "J05", OVERLAP_SQL)
 def _(t):
-    # Half-open intervals: equal ends do not overlap.  Six-hour buckets.
-    pairs = overlap_join(bookings(t), ["user_id", "event_type"], "event_id", "s", "e", 6 * 3600 * 1_000_000)
+    # Half-open intervals: equal ends do not overlap.
+    pairs = overlap_join(bookings(t), ["user_id", "event_type"], "event_id", "s", "e")
     return pairs.select("first_id", "second_id", "user_id")
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lakeops.operators.joins import overlap_join
 from lakeops.operators import ordered as o
 
 
@@ -90,3 +91,15 @@ def test_many_cuts(df):
     assert len(spread) == 10 and all(a["hi"] <= b["lo"] for a, b in zip(spread, spread[1:]))
     out = o.row_numbers(df, ["k"], ["-o", "id"], slices=60)
     assert got(out, "rn") == got(o.row_numbers(df, ["k"], ["-o", "id"], slices=3), "rn")
+
+
+def test_overlaps_of_minutes_and_years(spark):
+    rnd = random.Random(3)
+    rows = [(i, i % 2, s, s + rnd.choice([0, 1, 5, 60, 5_000, 400_000])) for i, s in enumerate(rnd.choices([*range(0, 500), *range(0, 500_000, 700)], k=160))]
+    rows += [(1000, 0, -90, 600_000), (1001, 1, -(2**40), 2**40), (1002, 0, None, 5), (1003, 1, 5, None)]
+    df = spark.createDataFrame(rows, "id long, k int, s long, e long")
+    got = [(r["k"], r["first_id"], r["second_id"]) for r in overlap_join(df, ["k"], "id", "s", "e").collect()]
+    whole = [r for r in rows if None not in r]
+    want = {(a[1], a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert overlap_join(df.limit(0), ["k"], "id", "s", "e").count() == 0
