@@ -84,10 +84,7 @@ def read_delimited(
         reader = _reader(spark, file_filter, recursive).options(**options)
         return reader.csv(path, schema=schema) if schema is not None else reader.csv(path)
     counted = numbered_lines(spark, path, file_filter=file_filter, recursive=recursive).where(F.col(LINE) > skip_starting_rows)
-    blank = F.trim("value", F.lit(" \t\r")) == ""
-    lines = counted.where(~blank if comment_char is None else ~blank & ~F.col("value").startswith(comment_char))
-    # Blank and comment lines are out, so the rest is numbered anew, by its order in the file.
-    lines = _renumbered(lines)
+    lines = _records(counted, comment_char)
     first_data = 2 if has_header else 1
     line_options = {k: v for k, v in options.items() if k not in ("header", "comment")}
     if schema is None:
@@ -103,6 +100,12 @@ def read_delimited(
     return parsed.select("_r.*", *extra)
 
 
+def _records(lines: DataFrame, comment_char: str | None) -> DataFrame:
+    """The lines that are neither blank nor comments, numbered anew by their order in the file."""
+    kept = F.trim("value", F.lit(" \t\r")) != ""
+    return _renumbered(lines.where(kept if comment_char is None else kept & ~F.col("value").startswith(comment_char)))
+
+
 def _renumbered(lines: DataFrame) -> DataFrame:
     """Number the lines that are left in each file from 1, by counts per split."""
     splits = lines.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
@@ -118,34 +121,57 @@ def _header_schema(lines: DataFrame, options: dict[str, str], has_header: bool)
     first = lines.where(F.col(LINE) == 1).select("value").first()
     if first is None:
         raise ValueError("no line to take the columns from; state a schema")
-    width = first["value"].count(options["sep"]) + 1
-    ddl = ", ".join(f"c{i} string" for i in range(width))
-    made = lines.sparkSession.createDataFrame([first], "value string").select(F.from_csv("value", ddl, options).alias("r")).first()["r"]
-    names = list(made)
-    while len(names) > 1 and names[-1] is None:
-        names.pop()
+    names = _cells(lines.sparkSession, [first["value"]], options)[0]
     return T.StructType([T.StructField(n if has_header and n else f"_c{i}", T.StringType()) for i, n in enumerate(names)])
 
 
-def union_by_header(spark: SparkSession, path, delimiter: str = ",", quote: str = '"', **select) -> DataFrame:
+def _positions(headers: Sequence[str], sep: str) -> str:
+    """Text columns c0, c1, ... for the widest of some lines."""
+    return ", ".join(f"c{i} string" for i in range(max(h.count(sep) for h in headers) + 1))
+
+
+def _cells(spark: SparkSession, headers: Sequence[str], options: dict[str, str]) -> list[list[str | None]]:
+    """Header lines parsed as records, without empty cells at the end."""
+    df = spark.createDataFrame(list(enumerate(headers)), "at int, value string")
+    rows = df.select("at", F.from_csv("value", _positions(headers, options["sep"]), options).alias("r")).collect()
+    out = []
+    for row in sorted(rows, key=lambda r: r["at"]):
+        names = list(row["r"])
+        while len(names) > 1 and names[-1] is None:
+            names.pop()
+        out.append(names)
+    return out
+
+
+def union_by_header(
+    spark: SparkSession, path, delimiter: str = ",", quote: str = '"', comment_char: str | None = None, **select
+) -> DataFrame:
     """Delimited files with different headers as one table of text; absent columns are NULL.
 
-    One scan: each line is parsed by the header of its own file.  Only the distinct
-    headers (one per schema version) come to the driver.  One record per line.
+    One scan: a record is parsed once, by position, and its cells are named by the header of its own
+    file, the first line that is neither blank nor a comment.  Headers are records too, so their
+    names may be quoted; a column without a name is ``_c`` and its position, and of equal names in a
+    file the first counts.  Only the distinct headers (one per schema version) come to the driver.
+    One record per line.
     """
-    lines = numbered_lines(spark, path, **select).select(FILE, LINE, "value")
+    lines = _records(numbered_lines(spark, path, **select), comment_char).select(FILE, LINE, "value")
     heads = lines.where(F.col(LINE) == 1).select(FILE, F.col("value").alias("_head"))
     versions = [r["_head"] for r in heads.select("_head").distinct().orderBy("_head").collect()]
-    names = {h: [n.strip().strip(quote) for n in h.split(delimiter)] for h in versions}
-    every = list(dict.fromkeys(n for h in versions for n in names[h]))
+    if not versions:
+        raise ValueError("no header to take the columns from")
     options = {"sep": delimiter, "quote": quote}
-    parsed = []
-    for h in versions:
-        row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names[h]), options)
-        cells = [row[n] if n in names[h] else F.lit(None).cast("string") for n in every]
-        parsed.append(F.when(F.col("_head") == h, F.struct(*[c.alias(n) for c, n in zip(cells, every)])))
+    places: dict[str, list[tuple[str, int]]] = {}
+    for head, cells in zip(versions, _cells(spark, versions, options)):
+        names = [(n or f"_c{i}").strip() for i, n in enumerate(cells)]
+        for n in dict.fromkeys(names):
+            places.setdefault(n, []).append((head, names.index(n)))
     body = lines.where(F.col(LINE) > 1).join(heads, FILE)
-    return body.select(F.coalesce(*parsed).alias("_r")).select("_r.*")
+    body = body.withColumn("_r", F.from_csv("value", _positions(versions, delimiter), options))
+
+    def value(found: list[tuple[str, int]]):
+        return F.coalesce(*[F.when(F.col("_head") == head, F.col(f"_r.c{i}")) for head, i in found])
+
+    return body.select(*[value(found).alias(n) for n, found in places.items()])
 
 
 def with_lineage(df: DataFrame, dataset: str) -> DataFrame:

@@ -17,6 +17,7 @@ class Flatten:
     ``exclude_paths`` name subtrees.  ``text_paths`` keep a subtree as one JSON column.
     ``explode_paths`` give one row per array element, parents repeated.  ``arrays`` says
     what other arrays become: to_json, count or join_comma.  ``column_mappings`` renames.
+    Structs below ``max_depth`` stay one JSON column; by default there is no such limit.
     """
 
     root_path: str = ""
@@ -27,7 +28,7 @@ class Flatten:
     column_mappings: dict[str, str] = field(default_factory=dict)
     arrays: str = "to_json"
     separator: str = "_"
-    max_depth: int = 10
+    max_depth: int | None = None
     infer_types: bool = True
 
 
@@ -57,7 +58,7 @@ def _leaves(schema: T.StructType, cfg: Flatten, prefix: str = "", depth: int = 1
         if not wanted and not _leads_to(path, cfg.include_paths):
             continue
         c = F.col("_row." + ".".join(f"`{p}`" for p in path.split(".")))
-        if isinstance(f.dataType, T.StructType) and path not in cfg.text_paths and depth < cfg.max_depth:
+        if isinstance(f.dataType, T.StructType) and path not in cfg.text_paths and (cfg.max_depth is None or depth < cfg.max_depth):
             yield from _leaves(f.dataType, cfg, path, depth + 1)
         elif wanted:
             yield path, c, f.dataType

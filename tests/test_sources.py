@@ -37,6 +37,24 @@ def test_union_by_header(spark, tmp_path):
     assert rows == {"1": ("x", None), "2": (None, "y")}
 
 
+def test_union_by_quoted_headers_behind_blank_and_comment_lines(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('\n# old\n"a,1",b\n"x, y",2\n\n# end\n')
+    (tmp_path / "2.csv").write_text("b,c\n3,z\n4\n")
+    (tmp_path / "3.csv").write_text("\n")
+    df = fs.union_by_header(spark, str(tmp_path), comment_char="#")
+    assert sorted(df.columns) == ["a,1", "b", "c"]
+    assert sorted((r["b"], r["a,1"], r["c"]) for r in df.collect()) == [("2", "x, y", None), ("3", None, "z"), ("4", None, None)]
+
+
+def test_flatten_has_no_depth_limit_unless_asked(spark):
+    value = "1"
+    for i in range(14):
+        value = f"named_struct('k', {value})"
+    df = spark.sql(f"SELECT {value} AS r")
+    assert flatten(df, Flatten(root_path="r")).columns == ["_".join("k" * 14)]
+    assert flatten(df, Flatten(root_path="r", max_depth=3)).columns == ["k_k_k"]
+
+
 def test_flatten_nested(spark):
     df = spark.sql("SELECT named_struct('a', 1, 'b', named_struct('c', array(1, 2), 'd', 'x')) AS r, 'f' AS df_file_name")
     out = flatten(df, Flatten(root_path="r", explode_paths=("b.c",), column_mappings={"b.d": "dee"}), keep=("df_file_name",))
