@@ -92,8 +92,44 @@ def _facts(one_row: DataFrame, columns: Sequence[str], facts: Sequence[str], by:
     return one_row.select(*by, F.explode(per_column).alias("r")).select(*by, "r.*")
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """Per column: rows, nulls, distinct values, min and max as text."""
+#: Sketches of 2^14 slots; the standard error of a count of distinct values is about 0.8 %.
+SKETCH_BITS = 14
+
+
+def _sketch(c: str, bits: int) -> Column:
+    # Sketches take whole numbers and text; a type's text tells its values apart.
+    return F.hll_sketch_agg(F.col(c).cast("string"), F.lit(bits))
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per ``by`` (a file, a day) with a sketch of each column's distinct values.
+
+    Sketches are of fixed size, take one pass for any number of columns, and can be kept and merged
+    later, so that new files need no second look at the old ones.
+    """
+    return df.groupBy(*by).agg(*[_sketch(c, bits).alias(c) for c in columns])
+
+
+def distinct_of_sketches(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, distinct_values) that the merged sketches of all rows estimate; NULL is no value."""
+    merged = sketches.agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns])
+    return merged.unpivot([], list(columns), "column_name", "distinct_values")
+
+
+def distinct_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, distinct_values), counted exactly: one aggregate per column, so no row is multiplied."""
+    one = [df.agg(F.lit(c).alias("column_name"), F.countDistinct(c).alias("distinct_values")) for c in columns]
+    return reduce(DataFrame.unionByName, one)
+
+
+def column_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, distinct: bool = True, by: Sequence[str] = (), sketch_bits: int | None = None
+) -> DataFrame:
+    """Per column: rows, nulls, distinct values, min and max as text.
+
+    Exact distinct counts multiply each row by the number of columns; with ``sketch_bits`` they are
+    estimates, made in the same pass as the rest.
+    """
     columns = list(columns or [c for c in df.columns if c not in by])
     facts = ["n_rows", "nulls", *(["distinct_values"] if distinct else []), "min_value", "max_value"]
     aggs = []
@@ -105,7 +141,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, distinct
             F.max(c).cast("string").alias(f"{c}__max_value"),
         ]
         if distinct:
-            aggs.append(F.countDistinct(c).alias(f"{c}__distinct_values"))
+            number = F.countDistinct(c) if sketch_bits is None else F.hll_sketch_estimate(_sketch(c, sketch_bits))
+            aggs.append(number.alias(f"{c}__distinct_values"))
     return _facts(df.groupBy(*by).agg(*aggs), columns, facts, by)
 
 

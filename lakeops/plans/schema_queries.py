@@ -202,6 +202,23 @@ def _(t):
     return c.column_profile(t.customer, CUST)
 
 
+KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query(
+    "stats_distinct_sketches",
+    "C14",
+    " UNION ALL ".join(f"SELECT '{x}' AS column_name, COUNT(DISTINCT {x}) AS distinct_values, true AS near FROM lineitem" for x in KEYS),
+)
+def _(t):
+    # Sketches are kept per file and merged; the exact counts beside them show the error.
+    per_file = c.distinct_sketches(t.lineitem.select(*KEYS, F.col("_metadata.file_path").alias("path")), KEYS, ["path"])
+    told = c.distinct_of_sketches(per_file, KEYS).withColumnRenamed("distinct_values", "told")
+    both = c.distinct_exact(t.lineitem, KEYS).join(told, "column_name")
+    near = F.abs(F.col("told") - F.col("distinct_values")) <= 0.04 * F.col("distinct_values")
+    return both.select("column_name", "distinct_values", near.alias("near"))
+
+
 @query(
     "stats_text_profile",
     "C15",
