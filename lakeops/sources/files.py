@@ -206,11 +206,16 @@ def read_xml(spark: SparkSession, path, row_tag: str, schema=None, attribute_pre
     return reader.format("xml").load(path)
 
 
-def detect_schema(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, nulls, distinct_values) of a scan, from one pass."""
+def detect_schema(df: DataFrame, sketch_bits: int | None = None) -> DataFrame:
+    """(column_name, data_type, nulls, distinct_values) of a scan.
+
+    Exact distinct counts multiply each row by the number of columns; with ``sketch_bits`` they are
+    estimates of sketches with 2^bits slots (14: a standard error of about 0.8 %).
+    """
     facts = []
     for c, t in df.dtypes:
-        facts += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.countDistinct(c).alias(f"{c}__distinct")]
+        number = F.countDistinct(c) if sketch_bits is None else F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(sketch_bits)))
+        facts += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), number.alias(f"{c}__distinct")]
     rows = F.array(
         *[
             F.struct(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lakeops.operators import schema as c
+from lakeops.sources.files import detect_schema
 
 
 def test_distinct_sketches_merge_without_expanding_rows(spark):
@@ -23,3 +24,12 @@ def test_distinct_sketches_merge_without_expanding_rows(spark):
     assert {r["column_name"]: r["distinct_values"] for r in c.distinct_exact(wide, some).collect()} == {n: exact[n] for n in some}
     empty = c.distinct_of_sketches(c.distinct_sketches(wide.limit(0), some, ["part"]), some).collect()
     assert [r["distinct_values"] for r in empty] == [0, 0, 0]
+
+
+def test_detected_schema_with_sketches(spark):
+    df = spark.range(5_000).select("id", (F.col("id") % 90).cast("string").alias("s"), F.when(F.col("id") < 10, F.col("id") * 0.5).alias("d"))
+    found = detect_schema(df, sketch_bits=14)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["column_name"]: (r["data_type"], r["nulls"], r["distinct_values"]) for r in found.collect()}
+    assert got["s"] == ("string", 0, 90) and got["d"] == ("double", 4_990, 10) and abs(got["id"][2] - 5_000) <= 200
+    assert {r["column_name"]: r["distinct_values"] for r in detect_schema(df).collect()} == {"id": 5_000, "s": 90, "d": 10}
