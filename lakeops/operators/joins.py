@@ -1,4 +1,4 @@
-"""Joins that Spark has no direct form for: interval overlap and as-of."""
+"""Joins that Spark has no direct form for: interval overlap, listed or counted, and as-of."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.operators.ordered import SLICE, sort_columns, with_slice
+from lakeops.operators.ordered import SLICE, running, sort_columns, with_slice
 
 
 def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str) -> DataFrame:
@@ -41,6 +41,35 @@ def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, en
     return pairs.select(*keys, F.least("_a", "_b").alias("first_id"), F.greatest("_a", "_b").alias("second_id"))
 
 
+def overlap_counts(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, name: str = "overlaps") -> DataFrame:
+    """How many rows of equal ``keys`` each half-open interval [start, end) overlaps: keys, row_id, ``name``.
+
+    The same overlaps as ``overlap_join``, counted without listing them, so the work does not grow
+    with their number.  An interval overlaps all that start before its end, but for those that end by
+    its start and itself; both are running counts over starts and ends in order of time, spread
+    over ranges of time within a key.  An empty interval overlaps what strictly surrounds it.
+    Rows with a null key or bound, or that end before they start, are left out; ``row_id`` is unique.
+    """
+    sound = F.col(start) <= F.col(end)
+    for k in keys:
+        sound &= F.col(k).isNotNull()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def mark(at, step, opens, ends, plus, minus, own):
+        """A row at a time: what it adds to both counts, and how it uses them (``own``: itself among them)."""
+        parts = {"_at": at, "_step": F.lit(step), "_o": opens, "_e": ends, "_plus": plus, "_minus": minus, "_own": own}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    # At one time: ends, then empty intervals that ask, then those that count, then starts.
+    s, e = F.col(start), F.col(end)
+    full = F.array(mark(e, 0, none, one, one, none, none), mark(s, 3, one, none, none, one, one))
+    empty = F.array(mark(s, 1, none, none, one, one, none), mark(s, 2, one, one, none, none, none))
+    marks = df.where(sound).select(*keys, F.col(row_id), F.inline(F.when(s < e, full).otherwise(empty)))
+    counted = running(marks, keys, ["_at", "_step"], {"_starts": F.col("_o"), "_ends": F.col("_e")}, settle_input=True)
+    share = F.col("_plus") * F.col("_starts") - F.col("_minus") * F.col("_ends") - F.col("_own")
+    return counted.groupBy(*keys, row_id).agg(F.sum(share).alias(name))
+
+
 def as_of_join(
     left: DataFrame,
     right: DataFrame,

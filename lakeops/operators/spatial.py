@@ -7,20 +7,20 @@ the exact test, so no join compares every point with every site.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.functions.common import col
-from lakeops.session import cut_lineage, settle
+from lakeops.session import settle
 
 EARTH_M = 6371000.0
 INDEX_BITS = 28
 MAX_LEVEL = 27
+#: More than the rounding error of a distance, in metres.
+SLACK_M = 1.0
 
 
 # --- measures -----------------------------------------------------------------------
@@ -477,54 +477,100 @@ def within_radius(points: DataFrame, sites: DataFrame, metres: float, level: int
     return pairs.where(F.col("distance_m") <= metres).drop("_row", "_col")
 
 
-def site_level(sites: DataFrame) -> int:
-    """The level whose cells hold about one site each, from the sites' number and extent."""
-    lat, lng = F.col("s_lat"), F.col("s_lng")
-    e = sites.agg(F.count("*").alias("n"), (F.max(lat) - F.min(lat)).alias("h"), (F.max(lng) - F.min(lng)).alias("w")).first()
-    if not e["n"]:
-        return 0
-    share = max(e["h"] / 180.0, 1e-7) * max(e["w"] / 360.0, 1e-7)
-    return max(0, min(24, round(math.log2(e["n"] / share) / 2)))
+def box_distance(lat, lng, box: dict[str, Column]) -> Column:
+    """Least great-circle distance in metres from a point to a latitude/longitude box.
 
+    On every parallel the nearest place of the box has the least longitude difference, so it lies on
+    the point's own meridian or on the nearer side; on that meridian it is one end, or the foot of the
+    perpendicular where the box holds it.
+    """
+    lat, lng = col(lat), col(lng)
+    width = box["east"] - box["west"]
+    turn = F.lit(360.0)
+    gap = F.least(F.pmod(box["west"] - lng, turn), F.pmod(lng - box["east"], turn))
+    aside = F.when(F.pmod(lng - box["west"], turn) <= width, F.lit(0.0)).otherwise(gap)
+    foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(F.radians(aside))))
+    near = F.greatest(box["south"], F.least(box["north"], foot))
+    return F.least(*[distance(lat, F.lit(0.0), y, aside) for y in (box["south"], box["north"], near)])
+
+
+#: Levels of the site tree: each node has up to 16 children.
+TREE_LEVELS = tuple(range(0, 25, 2))
 
-def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, level: int | None = None) -> DataFrame:
-    """Nearest site per point (ties: smallest site id): point_id, site_id, distance_m.
 
-    The first ``level`` is that of about one site per cell unless stated, so that a point
-    has a few candidates whatever the number of sites.  Points look in their own and the eight cells around.  An answer is final if it is
-    nearer than the border of that block can be; the other points go on with cells of
-    four times the area, and at level 0 the block is the whole world, so all end exactly.
+def site_tree(sites: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """An adaptive quadtree over sites: (nodes, listed sites), both written tables.
+
+    A cell is split while it holds more than ``leaf`` sites.  Nodes have their parent, the tight box
+    of their sites, one of their sites and whether they are leaves; cells without sites have no node.
+    Listed sites have their leaf as ``_cell``.
     """
-    # Sites at one place can only be told apart by id, so the smallest stands for all.
-    sites = settle(sites.groupBy("s_lat", "s_lng").agg(F.min(site_id).alias(site_id)), "sites")
-    todo = settle(points.select(point_id, "lat", "lng"), "points")
-    level = site_level(sites) if level is None else level
+    paths = F.explode(F.array(*[cell("s_lat", "s_lng", n) for n in TREE_LEVELS]))
+    placed = sites.withColumn("_cell", paths)
+    box = {"south": F.min("s_lat"), "north": F.max("s_lat"), "west": F.min("s_lng"), "east": F.max("s_lng")}
+    cells = placed.groupBy("_cell").agg(
+        F.count("*").alias("n"), F.min(F.struct("s_lat", "s_lng")).alias("one"), *[v.alias(k) for k, v in box.items()]
+    )
+    level = cell_level("_cell")
+    above = pack(level - 2, F.shiftright(cell_row("_cell"), 2), F.shiftright(cell_column("_cell"), 2))
+    cells = settle(
+        cells.withColumns({"level": level, "parent": F.when(level > 0, above), "is_leaf": (F.col("n") <= leaf) | (level == TREE_LEVELS[-1])}),
+        "site-cells",
+    )
+    split = cells.where("NOT is_leaf").select(F.col("_cell").alias("parent"))
+    nodes = settle(cells.where("level = 0").unionByName(cells.where("level > 0").join(split, "parent", "left_semi")), "site-nodes")
+    leaves = nodes.where("is_leaf").select("_cell")
+    return nodes, settle(placed.join(leaves, "_cell", "left_semi"), "site-leaves")
+
+
+def leaves_near(points: DataFrame, nodes: DataFrame, point_id: str) -> DataFrame:
+    """The leaves of a site tree that may hold the nearest site of each point: point_id, lat, lng, _cell.
+
+    Points go down the tree level by level.  Of a node's children a point keeps those whose box is no
+    farther than the nearest site known so far, so dense towns in a wide area are opened only by the
+    points that they may serve.  There is one round a level that has a node to split.
+    """
+    # One row a level, at most 13.
+    count = [F.count("*").alias("n"), F.count_if(~F.col("is_leaf")).alias("split"), F.max("_cell").alias("one")]
+    levels = {r["level"]: r for r in nodes.groupBy("level").agg(*count).collect()}
+    start = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(point_id, "lat", "lng")
+    if not levels:
+        return start.withColumn("_cell", F.lit(None).cast("long")).limit(0)
+    # Down to the first level with several nodes there is nothing to choose.
+    level = max(n for n in levels if all(levels[m]["n"] == 1 for m in levels if m <= n))
+    live = start.select("*", F.lit(levels[level]["one"]).alias("_cell"), F.lit(float("inf")).alias("_bound"))
+    if not levels[level]["split"]:
+        return live.drop("_bound")
     done = []
-    while True:
-        listed = sites.withColumn("_cell", F.explode(disk(cell("s_lat", "s_lng", level), 1)))
-        placed = todo.withColumn("_cell", cell("lat", "lng", level))
-        pairs = placed.join(listed, "_cell").withColumn("d", distance("lat", "lng", "s_lat", "s_lng"))
-        best = pairs.groupBy(point_id).agg(F.min(F.struct("d", site_id)).alias("b"))
-        found = todo.join(best, point_id, "left")
-        if level == 0:
-            final = F.lit(True)
-        else:
-            here = cell("lat", "lng", level)
-            b = cell_bounds(here)
-            height, width = 180.0 / 2**level, 360.0 / 2**level
-            to_south = F.radians(F.col("lat") - (b["south"] - height))
-            to_north = F.radians(b["north"] + height - F.col("lat"))
-            aside = F.least(F.col("lng") - (b["west"] - width), b["east"] + width - F.col("lng"), F.lit(90.0))
-            to_side = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(aside)))
-            safe = F.least(to_south, to_north, to_side) * EARTH_M
-            final = F.coalesce(F.col("b.d") < safe, F.lit(False))
-        state = cut_lineage(found.withColumn("_final", final))
-        done.append(state.where("_final").select(point_id, F.col(f"b.{site_id}").alias(site_id), F.col("b.d").alias("distance_m")))
-        todo = state.where("NOT _final").select(point_id, "lat", "lng")
-        if level == 0 or todo.isEmpty():
-            break
-        level -= 1
+    while level in levels and levels[level]["split"]:
+        below = nodes.where(F.col("level") == level + 2).select(
+            F.col("parent").alias("_parent"), F.col("_cell").alias("_child"), "one", "south", "north", "west", "east", "is_leaf"
+        )
+        seen = live.join(below, F.col("_cell") == F.col("_parent"))
+        box = {k: F.col(k) for k in ("south", "north", "west", "east")}
+        seen = seen.withColumn("_least", box_distance("lat", "lng", box)).where(F.col("_least") <= F.col("_bound") + SLACK_M)
+        seen = seen.withColumn("_most", F.least("_bound", distance("lat", "lng", F.col("one.s_lat"), F.col("one.s_lng"))))
+        bound = F.min("_most").over(Window.partitionBy(point_id))
+        kept = seen.withColumn("_bound", bound).where(F.col("_least") <= F.col("_bound") + SLACK_M)
+        state = settle(kept.select(point_id, "lat", "lng", F.col("_child").alias("_cell"), "_bound", "is_leaf"), "site-round")
+        done.append(state.where("is_leaf").drop("is_leaf", "_bound"))
+        live = state.where("NOT is_leaf").drop("is_leaf")
+        level += 2
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.where(F.col(site_id).isNotNull())
+    return out
+
+
+def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, leaf: int = 16) -> DataFrame:
+    """Nearest site per point (ties: smallest site id): point_id, site_id, distance_m.
+
+    A point is compared with the sites of the few leaves that ``leaves_near`` gives it, wherever the
+    sites lie.  ``point_id`` is unique; points and sites without a place are left out.
+    """
+    # Sites at one place can only be told apart by id, so the smallest stands for all.
+    known = sites.where("s_lat IS NOT NULL AND s_lng IS NOT NULL")
+    nodes, listed = site_tree(settle(known.groupBy("s_lat", "s_lng").agg(F.min(site_id).alias(site_id)), "sites"), leaf)
+    pairs = leaves_near(points, nodes, point_id).join(listed, "_cell")
+    best = pairs.groupBy(point_id).agg(F.min(F.struct(distance("lat", "lng", "s_lat", "s_lng").alias("d"), site_id)).alias("b"))
+    return best.select(point_id, F.col(f"b.{site_id}").alias(site_id), F.col("b.d").alias("distance_m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeops.functions.common import day, day_of_week, micros, money, net, total
 from lakeops.operators import ordered as o
 from lakeops.operators.changes import Branch, merge
+from lakeops.operators.joins import overlap_counts
 from lakeops.plans.message_queries import s
 from lakeops.plans.registry import query
 from lakeops.plans.relational import NET, OVERLAP_SQL, bookings, dsum, overlap_join
@@ -90,6 +91,23 @@ def _(t):
     return pairs.groupBy("user_id").agg(F.count("*").alias("conflicts"), F.countDistinct("first_id").alias("meetings"))
 
 
+@query(
+    "recipe_room_load",
+    "D06",
+    f"""WITH p AS ({OVERLAP_SQL}), m AS (SELECT first_id AS event_id FROM p UNION ALL SELECT second_id FROM p),
+             c AS (SELECT event_id, COUNT(*) AS n FROM m GROUP BY 1)
+        SELECT user_id, COUNT(*) AS bookings, COUNT(n) AS in_conflict, CAST(COALESCE(SUM(n), 0) AS BIGINT) // 2 AS conflicts, COALESCE(MAX(n), 0) AS most
+        FROM events LEFT JOIN c USING (event_id) GROUP BY 1""",
+)
+def _(t):
+    # Counted by a sweep: no pair is listed.
+    per = overlap_counts(bookings(t), ["user_id", "event_type"], "event_id", "s", "e")
+    n = F.col("overlaps")
+    return per.groupBy("user_id").agg(
+        F.count("*").alias("bookings"), F.count_if(n > 0).alias("in_conflict"), F.floor(F.sum(n) / 2).alias("conflicts"), F.max(n).alias("most")
+    )
+
+
 @query(
     "recipe_durations",
     "D07",
@@ -150,12 +168,15 @@ def claims(t):
     )
     rows = sg.parse_messages(t.orders.select(body.alias("body")), "body", sg.X12)
     flat = sg.materialize(rows, ["clm_1", "clm_2", "ref_2", "clp_1", "clp_4"], sg.X12)
+    # Claims are parsed once; a claim and its payment meet in one aggregate.
     amount = "decimal(14,2)"
-    charge = flat.where("clm_1 IS NOT NULL").select(
-        F.col("clm_1").alias("claim"), F.col("clm_2").try_cast(amount).alias("charged"), F.col("ref_2").alias("priority")
+    per = flat.groupBy(F.coalesce("clm_1", "clp_1").alias("claim")).agg(
+        F.max(F.col("clm_2").try_cast(amount)).alias("charged"),
+        F.max("ref_2").alias("priority"),
+        F.max(F.col("clp_4").try_cast(amount)).alias("paid"),
+        F.count("clm_1").alias("claims"),
     )
-    payment = flat.where("clp_1 IS NOT NULL").select(F.col("clp_1").alias("claim"), F.col("clp_4").try_cast(amount).alias("paid"))
-    return charge.join(payment, "claim", "left")
+    return per.where("claims > 0").drop("claims")
 
 
 @query(
@@ -234,10 +255,14 @@ def _(t):
         F.col("bgm_2").alias("document"),
         F.split_part("moa_1", F.lit(":"), F.lit(2)).try_cast("double").alias("amount"),
     )
-    a = flat.where("kind = 'ORDERS'").select("document", F.col("amount").alias("ordered"))
-    b = flat.where("kind = 'INVOIC'").select("document", F.col("amount").alias("invoiced"))
+    # Documents are parsed once; an order and its invoice meet in one aggregate.
+    per = flat.groupBy("document").agg(
+        F.max(F.when(F.col("kind") == "ORDERS", F.col("amount"))).alias("ordered"),
+        F.max(F.when(F.col("kind") == "INVOIC", F.col("amount"))).alias("invoiced"),
+        F.count_if(F.col("kind") == "ORDERS").alias("orders"),
+    )
     verdict = F.when(F.col("invoiced").isNull(), "no invoice").when(F.col("invoiced") == F.col("ordered"), "matched").otherwise("differs")
-    return a.join(b, "document", "left").withColumn("verdict", verdict)
+    return per.where("orders > 0").drop("orders").withColumn("verdict", verdict)
 
 
 @query(

@@ -68,7 +68,7 @@ def test_overlap_join_matches_brute_force(spark):
     want = {
         (a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3]
     }
-    got = joins.overlap_join(df, ["k"], "id", "s", "e", 9).collect()
+    got = joins.overlap_join(df, ["k"], "id", "s", "e").collect()
     assert {(r["first_id"], r["second_id"]) for r in got} == want and len(got) == len(want)
 
 

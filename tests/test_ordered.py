@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lakeops.operators.joins import overlap_join
+from lakeops.operators.joins import overlap_counts, overlap_join
 from lakeops.operators import ordered as o
 
 
@@ -103,3 +103,18 @@ def test_overlaps_of_minutes_and_years(spark):
     want = {(a[1], a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3]}
     assert len(got) == len(set(got)) and set(got) == want
     assert overlap_join(df.limit(0), ["k"], "id", "s", "e").count() == 0
+
+
+def test_overlap_counts_match_brute_force(spark):
+    rows = [(i, "hot" if i % 3 else "x", (i * 37) % 50, (i * 37) % 50 + (i * 7) % 12) for i in range(150)]
+    bad = [(900, None, 1, 5), (901, "x", None, 5), (902, "x", 9, 4)]
+    df = spark.createDataFrame(rows + bad, "id long, k string, s long, e long")
+    want = {
+        (a[1], a[0], sum(a[0] != b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3] for b in rows)) for a in rows
+    }
+    assert any(a[2] == a[3] for a in rows)
+    got = overlap_counts(df, ["k"], "id", "s", "e").collect()
+    assert {(r["k"], r["id"], r["overlaps"]) for r in got} == want and len(got) == len(want)
+    pairs = overlap_join(df.where("id < 900"), ["k"], "id", "s", "e").count()
+    assert 2 * pairs == sum(n for *_, n in want)
+    assert overlap_counts(df.limit(0), ["k"], "id", "s", "e").count() == 0

@@ -40,6 +40,54 @@ def test_nearest_site_is_exact(spark):
         assert r["s"] == want[r["p"]][1] and abs(r["distance_m"] - want[r["p"]][0]) < 1e-3
 
 
+def nearest(spark, pts, sites, **how):
+    return sp.nearest_site(
+        spark.createDataFrame(pts, "p long, lat double, lng double"),
+        spark.createDataFrame(sites, "s long, s_lat double, s_lng double"), "p", "s", **how,
+    )
+
+
+def test_nearest_site_of_dense_towns_poles_and_the_date_line(spark):
+    rnd = random.Random(7)
+    towns = [(10.0, 20.0), (-40.0, 179.99), (88.5, -60.0)]
+
+    def spread(n, first, wide):
+        out = []
+        for i in range(n):
+            lat, lng = towns[i % 3]
+            out.append((first + i, lat + rnd.uniform(-wide, wide), (lng + rnd.uniform(-wide, wide) + 180) % 360 - 180))
+        return out
+
+    sites = spread(300, 0, 0.02) + [(900, 10.0, 20.0), (901, 10.0, 20.0), (902, None, 1.0)]
+    pts = spread(90, 0, 0.05) + [(1000, 90.0, 0.0), (1001, -90.0, 5.0), (1002, 10.0, 20.0), (1003, 0.0, -180.0), (1004, None, 0.0)]
+    got = {r["p"]: r for r in nearest(spark, pts, sites, leaf=4).collect()}
+    assert set(got) == {p for p, a, _ in pts if a is not None}
+    for p, a, b in pts:
+        if a is not None:
+            m, s = min((haversine(a, b, c, d), s) for s, c, d in sites if c is not None)
+            assert abs(got[p]["distance_m"] - m) < 1e-3 and (got[p]["s"] == s or m == 0)
+    assert got[1002]["s"] == 900
+
+
+def test_nearest_site_has_few_candidates_in_towns(spark):
+    rnd = random.Random(8)
+    near = lambda n: [(i, (50.0 if i % 2 else -20.0) + rnd.uniform(0, 0.02), 9.0 + rnd.uniform(0, 0.02)) for i in range(n)]
+    # Two towns, 7,800 km apart: all pairs within a town would be 1,000 a point.
+    sites = spark.createDataFrame(near(2000), "s long, s_lat double, s_lng double")
+    points = spark.createDataFrame(near(400), "p long, lat double, lng double")
+    nodes, listed = sp.site_tree(sites, 16)
+    assert nodes.where("is_leaf").agg(F.max("n")).first()[0] <= 16 and listed.count() == 2000
+    most = sp.leaves_near(points, nodes, "p").join(listed, "_cell").groupBy("p").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] <= 9 * 16 and most[1] == 400
+
+
+def test_nearest_site_without_sites_or_with_one(spark):
+    pts = [(1, 1.0, 2.0), (2, -80.0, 170.0)]
+    assert nearest(spark, pts, []).collect() == []
+    assert {(r["p"], r["s"]) for r in nearest(spark, pts, [(5, 0.0, 0.0)]).collect()} == {(1, 5), (2, 5)}
+    assert nearest(spark, [], [(5, 0.0, 0.0)]).collect() == []
+
+
 def test_within_radius_is_exact(spark):
     pts, sites = places(150, 3, 0.2), places(60, 4, 0.2)
     got = sp.within_radius(
