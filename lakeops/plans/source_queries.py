@@ -14,7 +14,7 @@ from lakeops.plans.registry import query
 from lakeops.plans.relational import dsum
 from lakeops.session import scratch_path
 from lakeops.sources import files as fs
-from lakeops.sources.flatten import Flatten, flatten, unbundle
+from lakeops.sources.flatten import Flatten, flatten, resolve_references, unbundle
 
 PART_DDL = "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double"
 PART_COLS = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
@@ -414,18 +414,14 @@ def _(t):
     """SELECT 'urn:uuid:o' || o_orderkey AS observation, 'p' || o_custkey AS patient_id, o_orderstatus AS gender, o_totalprice AS value FROM orders""",
 )
 def _(t):
-    rows = unbundle(bundles(t), "body", RESOURCE, ("Patient", "Observation"))
-    obs = rows.where("resourcetype = 'Observation'").select(
-        "bundle_id",
+    # A reference is resolved inside its own bundle.
+    rows = resolve_references(bundles(t), "body", RESOURCE, "Observation", "subject.reference", "Patient").where("target IS NOT NULL")
+    return rows.select(
         F.col("df_full_url").alias("observation"),
-        F.col("resource.subject.reference").alias("df_full_url"),
+        F.col("target.id").alias("patient_id"),
+        F.col("target.gender").alias("gender"),
         F.col("resource.valueQuantity.value").alias("value"),
     )
-    pat = rows.where("resourcetype = 'Patient'").select(
-        "bundle_id", "df_full_url", F.col("resource.id").alias("patient_id"), F.col("resource.gender").alias("gender")
-    )
-    # A reference is resolved inside its own bundle.
-    return obs.join(pat, ["bundle_id", "df_full_url"]).select("observation", "patient_id", "gender", "value")
 
 
 # --- landing and incremental loads ---------------------------------------------------
@@ -450,6 +446,29 @@ def _(t):
     return flatten(landed, Flatten(root_path="items"))
 
 
+@query(
+    "landed_xml_pages_to_table",
+    "S36",
+    """SELECT o_orderkey AS attr_id, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS placed, o_totalprice AS price,
+              CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'USD' END AS price_attr_currency FROM orders""",
+)
+def _(t):
+    """Orders as an API that answers in XML lands them: one page of items per customer."""
+    path = scratch_path(t.spark, "landing-xml")
+    currency = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.lit(' currency="USD"'))
+    item = F.concat(
+        F.lit('<order id="'), F.col("o_orderkey").cast("string"), F.lit('"><status>'), F.col("o_orderstatus"),
+        F.lit("</status><placed>"), day("o_orderdate"), F.lit("</placed><price"), currency, F.lit(">"),
+        F.col("o_totalprice").cast("string"), F.lit("</price></order>"),
+    )
+    rows = t.orders.select("o_custkey", item.alias("item"))
+    pages = rows.groupBy("o_custkey").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    page = F.concat(F.lit('<page customer="'), F.col("o_custkey").cast("string"), F.lit('"><orders>'), F.col("items"), F.lit("</orders></page>"))
+    write_lines(pages.select(page.alias("value")), path, ["<pages>"], ["</pages>"])
+    ddl = "attr_id bigint, status string, placed string, price struct<_VALUE: double, attr_currency: string>"
+    return flatten(fs.read_xml(t.spark, path, "order", schema=ddl), Flatten(column_mappings={"price._VALUE": "price"}))
+
+
 LOADED = "SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'"
 
 

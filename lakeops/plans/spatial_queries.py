@@ -96,7 +96,26 @@ def _(t):
     )
 
 
-@query("spatial_distance_ellipsoid", "G02")
+# Twelve steps of the longitude on the auxiliary sphere, then the length; fixed values of WGS84.
+VINCENTY = f"""WITH RECURSIVE {P}, {Z}, q AS (SELECT id, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat))) AS u1, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(z_lat))) AS u2,
+    radians(z_lng - lng) AS l, {dist(*ENDS)} AS sphere FROM {TO_ZONE}),
+  w(id, u1, u2, l, sphere, step, lam) AS (SELECT id, u1, u2, l, sphere, 0, l FROM q UNION ALL
+    SELECT id, u1, u2, l, sphere, step + 1, l + (1 - k) * f * sa * (sigma + k * ss * (cm + k * cs * (2 * cm * cm - 1))) FROM (
+      SELECT *, f / 16 * ca * (4 + f * (4 - 3 * ca)) AS k FROM (SELECT *, CASE WHEN ca = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / ca END AS cm FROM (
+        SELECT *, 1 - sa * sa AS ca FROM (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM (
+          SELECT *, 1 / 298.257223563::DOUBLE AS f, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+                 sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM w WHERE step < 12)))))),
+  e AS (SELECT id, sphere, ss, cs, atan2(ss, cs) AS sigma, ca, CASE WHEN ca = 0 THEN 0 ELSE cs - 2 * s12 / ca END AS cm,
+               ca * (pow(6378137.0::DOUBLE, 2) - pow(b, 2)) / pow(b, 2) AS uu, b FROM (
+    SELECT *, 1 - pow(CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END, 2) AS ca, sin(u1) * sin(u2) AS s12, 6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS b FROM (
+      SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+             sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM w WHERE step = 12))),
+  m AS (SELECT id, sphere, CASE WHEN ss = 0 THEN 0 ELSE b * big_a * (sigma - big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) END AS metres
+        FROM (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS big_a, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS big_b FROM e))
+  SELECT id, round(metres, 2) AS vincenty, abs(metres / sphere - 1) < 0.006 AS agrees FROM m"""
+
+
+@query("spatial_distance_ellipsoid", "G02", VINCENTY)
 def _(t):
     rows = to_zone(t).withColumns({"vincenty": sp.distance_ellipsoid(*ENDS), "sphere": sp.distance(*ENDS)})
     return rows.select("id", F.round("vincenty", 2).alias("vincenty"), (F.abs(F.col("vincenty") / F.col("sphere") - 1) < 0.006).alias("agrees"))

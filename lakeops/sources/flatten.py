@@ -95,16 +95,37 @@ def flatten(df: DataFrame, cfg: Flatten, keep: tuple[str, ...] = ()) -> DataFram
     return rows.select(*out, *keep)
 
 
+def _parsed(bundles: DataFrame, text: str, resource_schema: str) -> DataFrame:
+    schema = f"""id string, type string, timestamp string, total bigint,
+        entry array<struct<fullUrl: string, resource: struct<resourceType: string, {resource_schema}>>>"""
+    return bundles.select(F.from_json(text, schema).alias("b"))
+
+
+def resolve_references(
+    bundles: DataFrame, text: str, resource_schema: str, resource_type: str, reference: str, target_type: str
+) -> DataFrame:
+    """Entries of one type with the entry of ``target_type`` that their ``reference`` names in the same bundle.
+
+    Gives bundle_id, df_full_url, resource and target (null where the bundle has no such entry; of
+    several, the first).  The text is parsed once and references are looked up in the row, without a
+    shuffle; the work grows with the entries of a bundle times its references.
+    """
+    of_type = lambda kind: F.filter("b.entry", lambda e: e["resource"]["resourceType"] == kind)
+    entries = _parsed(bundles, text, resource_schema).select(
+        F.col("b.id").alias("bundle_id"), of_type(target_type).alias("_targets"), F.explode(of_type(resource_type)).alias("_e")
+    )
+    wanted = F.col(f"_e.resource.{reference}")
+    found = F.get(F.filter("_targets", lambda e: e["fullUrl"] == wanted), F.lit(0))
+    return entries.select("bundle_id", F.col("_e.fullUrl").alias("df_full_url"), F.col("_e.resource").alias("resource"), found["resource"].alias("target"))
+
+
 def unbundle(bundles: DataFrame, text: str, resource_schema: str, resource_types: tuple[str, ...] = ()) -> DataFrame:
     """One row per entry of FHIR bundles held as JSON text.
 
     Gives df_full_url, resourcetype, the resource fields and the bundle's id, type,
     timestamp and stated total.  The text is parsed once, with only the listed fields.
     """
-    schema = f"""id string, type string, timestamp string, total bigint,
-        entry array<struct<fullUrl: string, resource: struct<resourceType: string, {resource_schema}>>>"""
-    parsed = bundles.select(F.from_json(text, schema).alias("b"))
-    entries = parsed.select(
+    entries = _parsed(bundles, text, resource_schema).select(
         F.col("b.id").alias("bundle_id"),
         F.col("b.type").alias("bundle_type"),
         F.col("b.timestamp").alias("bundle_timestamp"),

@@ -67,7 +67,7 @@ def hide_released(text: Column, d: dict[str, Column], dialect: Dialect) -> Colum
 
 def delimiters(text: Column | str, dialect: Dialect) -> dict[str, Column]:
     """Element, component and segment separators, as the envelope of the message states them."""
-    text = F.ltrim(F.regexp_replace(col(text), "^\\x{FEFF}", ""))
+    text = F.ltrim(F.ltrim(col(text), F.lit("\ufeff")))
     if dialect.name == "x12":
         # ISA has 16 elements; the last is the component separator, then comes the terminator.
         element = F.substring(text, 4, 1)
@@ -82,12 +82,12 @@ def delimiters(text: Column | str, dialect: Dialect) -> dict[str, Column]:
     return {"element": F.substring(text, 4, 1), "component": F.substring(text, 5, 1), "segment": F.lit(None)}
 
 
-def _cut(s: Column, element: Column, dialect: Dialect) -> Column:
-    """Text of one segment -> [tag, element 1, element 2, ..]."""
+def _cut(s: Column, pattern: Column, dialect: Dialect) -> Column:
+    """Text of one segment -> [tag, element 1, element 2, ..]; ``pattern`` stands for the element separator."""
     if dialect.tag_sep:
         # TRADACOMS: TAG=first+second.
         s = F.regexp_replace(s, f"^([A-Z]+){dialect.tag_sep}", "$1+")
-    return F.split(s, literal_pattern(element))
+    return F.split(s, pattern)
 
 
 def _named(parts: Column, element: Column, dialect: Dialect) -> Column:
@@ -104,18 +104,20 @@ def parse_messages(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
     """One row per transaction of the messages in column ``text``; other columns are kept."""
     keep = [c for c in df.columns if c != text]
     d = delimiters(text, dialect)
-    clean = F.regexp_replace(F.col(text), "^\\x{FEFF}", "")
+    clean = F.ltrim(F.col(text), F.lit("\ufeff"))
     # ``inline`` of one struct keeps Catalyst from copying the separator expressions into
     # every later use of them; it computes them once per message.
     one = F.struct(clean.alias("_text"), *[v.alias(f"_d_{k}") for k, v in d.items()])
     with_d = df.select(*keep, F.inline(F.array(one)))
+    # One pattern per message, not one per segment.
+    with_d = with_d.select("*", F.inline(F.array(F.struct(literal_pattern(F.col("_d_element")).alias("_pattern")))))
     seps = {k: F.col(f"_d_{k}") for k in d}
     seps["signs"] = [seps[k] for k in ("release", "segment", "element", "component") if dialect.release]
     pattern = F.lit("[\\r\\n]+") if dialect.name == "hl7" else literal_pattern(seps["segment"])
     raw = F.transform(F.split(hide_released(F.col("_text"), seps, dialect), pattern), lambda s: F.trim(s, F.lit(" \t\r\n")))
     own = F.filter(raw, lambda s: (s != "") & ~s.startswith("UNA"))
     element = seps["element"]
-    cut = F.transform(own, lambda s: _cut(s, element, dialect))
+    cut = F.transform(own, lambda s: _cut(s, F.col("_pattern"), dialect))
     parts = F.transform(cut, lambda p: _named(p, element, dialect))
     stated = [F.col("_d_component").alias("component")]
     if dialect.release:
@@ -127,6 +129,8 @@ def parse_messages(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
         F.transform("_s", lambda x, i: F.struct(i.alias("at"), x.alias("s"))), lambda e: e["s"]["segment"].isin(*dialect.envelope)
     )
     marked = parsed.select("*", F.inline(F.array(F.struct(at.alias("_starts"), outer.alias("_env")))))
+    # Envelope segments by tag, once per message; a transaction then looks among those of each tag.
+    marked = marked.select("*", F.inline(F.array(F.struct(*[_of_kind(t) for t in dialect.envelope]))))
 
     def transaction(start: Column, i: Column) -> Column:
         until = F.coalesce(F.get("_starts", i + 1), F.size("_s"))
@@ -137,11 +141,15 @@ def parse_messages(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
     return marked.select(*keep, *names, F.inline(F.transform("_starts", transaction)))
 
 
+def _of_kind(tag: str) -> Column:
+    return F.filter("_env", lambda e: e["s"]["segment"] == tag).alias(f"_env_{tag}")
+
+
 def _header(start: Column, dialect: Dialect) -> Column:
     """Elements of the start segment and of the last envelope segment of each kind before it."""
 
     def last(tag):
-        before = F.filter("_env", lambda e: (e["at"] < start) & (e["s"]["segment"] == tag))
+        before = F.filter(f"_env_{tag}", lambda e: e["at"] < start)
         return F.try_element_at(before, F.lit(-1))["s"]["elements"]
 
     own = F.get("_s", start)["elements"].alias(dialect.start)
@@ -223,7 +231,7 @@ def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, signs: Da
         seps = {k: F.col(k) for k in ("release", "segment", "element", "component")}
         rows = rows.where(~F.col("_t").startswith("UNA")).withColumn("_t", hide_released(F.col("_t"), seps | {"signs": list(seps.values())}, dialect))
         own_signs = [F.concat(*seps.values()).alias(SIGNS)]
-    rows = rows.withColumn("_p", _cut(F.col("_t"), F.col("element"), dialect)).drop("value", "_t")
+    rows = rows.withColumn("_p", _cut(F.col("_t"), literal_pattern(F.col("element")), dialect)).drop("value", "_t")
     rows = rows.withColumn("_s", _named(F.col("_p"), F.col("element"), dialect)).drop("_p")
     rows = rows.select(FILE, BLOCK, "_at", "df_file_name", "component", "_s", *own_signs)
     kept = ["component", *([SIGNS] if own_signs else [])]

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -199,3 +200,22 @@ def test_hl7_after_blank_lines(spark, tmp_path):
     (tmp_path / "a.hl7").write_text("\n\r\nMSH|^~\\&|A|B\rPID|1|x^y\r")
     rows = sg.materialize(sg.read_hl7_files(spark, str(tmp_path)), ["pid_2"], sg.HL7).select("component", "pid_2")
     assert [tuple(r) for r in rows.collect()] == [("^", "x^y")]
+
+
+def test_references_are_resolved_in_their_own_bundle(spark):
+    from lakeops.sources.flatten import resolve_references
+
+    def entry(url, kind, **more):
+        return {"fullUrl": url, "resource": {"resourceType": kind, **more}}
+
+    patient, other = entry("u1", "Patient", id="p1"), entry("u1", "Patient", id="p2")
+    watch = lambda url, ref: entry(url, "Observation", subject={"reference": ref})
+    bundles = [
+        {"id": "a", "entry": [watch("o1", "u1"), patient, watch("o2", "gone")]},
+        {"id": "b", "entry": [other, watch("o3", "u1"), entry("u2", "Observation", id="x"), watch("o4", "u2")]},
+        {"id": "c"},
+    ]
+    df = spark.createDataFrame([(json.dumps(b),) for b in bundles] + [(None,)], "body string")
+    rows = resolve_references(df, "body", "id string, subject struct<reference: string>", "Observation", "subject.reference", "Patient")
+    got = {(r["bundle_id"], r["df_full_url"], r["target"] and r["target"]["id"]) for r in rows.collect()}
+    assert got == {("a", "o1", "p1"), ("a", "o2", None), ("b", "o3", "p2"), ("b", "u2", None), ("b", "o4", None)}
