@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split skewed join partitions even when a later operator then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # First k rows per key are cut per task before the shuffle for larger k, too (Spark: up to 1,000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

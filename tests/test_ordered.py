@@ -118,3 +118,12 @@ def test_overlap_counts_match_brute_force(spark):
     pairs = overlap_join(df.where("id < 900"), ["k"], "id", "s", "e").count()
     assert 2 * pairs == sum(n for *_, n in want)
     assert overlap_counts(df.limit(0), ["k"], "id", "s", "e").count() == 0
+
+
+def test_top_k_cuts_keys_before_the_shuffle_for_large_k(spark):
+    from lakeops.operators.ordered import top_k
+
+    df = spark.range(5000).selectExpr("id", "id % 2 AS k")
+    top = top_k(df, ["k"], ["-id"], 2000)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert top.count() == 4000 and top.where("k = 0").agg(F.min("id")).first()[0] == 4998 - 2 * 1999
