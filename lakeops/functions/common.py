@@ -59,3 +59,10 @@ def microseconds_of_day(hour: Column, minute: Column, second: Column) -> Column:
 def micros(ts: Column | str) -> Column:
     """Timestamp as microseconds since 1970."""
     return F.unix_micros(col(ts).cast("timestamp"))
+
+
+def ieee_divide(a: Column | str, b: Column | str) -> Column:
+    """a / b of doubles by IEEE 754: a zero divisor gives an infinity, or NaN for 0 / 0, and no error."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))
+    return F.when(b == 0, F.when(a.isNotNull(), by_zero)).otherwise(F.try_divide(a, b))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeops.functions.common import day, day_of_week, micros, money, net, total
+from lakeops.functions.common import day, day_of_week, ieee_divide, micros, money, net, total
 from lakeops.operators import ordered as o
 from lakeops.operators.changes import Branch, merge
 from lakeops.operators.joins import overlap_counts
@@ -151,7 +151,8 @@ def _(t):
         F.max("value").alias("hi"),
     )
     first, last, lo, hi = (F.col(c) for c in ("first_close", "last_close", "lo", "hi"))
-    return per.withColumns({"return_pct": (last - first) * 100 / first, "range_pct": (hi - lo) * 100 / lo}).drop("lo", "hi")
+    # A first or lowest value of 0 gives an infinity or NaN, as in the SQL.
+    return per.withColumns({"return_pct": ieee_divide((last - first) * 100, first), "range_pct": ieee_divide((hi - lo) * 100, lo)}).drop("lo", "hi")
 
 
 PAID = "CAST(CAST(o_totalprice AS DECIMAL(14,2)) * CASE o_orderstatus WHEN 'F' THEN CAST(1 AS DECIMAL(3,2)) WHEN 'P' THEN CAST(0.8 AS DECIMAL(3,2)) ELSE CAST(0.5 AS DECIMAL(3,2)) END AS DECIMAL(14,2))"
