@@ -341,15 +341,22 @@ def grid_distance(a, b) -> Column:
 
 def grid_path(a, b) -> Column:
     """Array of cells from a to b, one step at a time (not across the date line)."""
-    n = F.greatest(F.abs(cell_row(a) - cell_row(b)), F.abs(cell_column(a) - cell_column(b)))
+    rows, columns = cell_row(b) - cell_row(a), cell_column(b) - cell_column(a)
+    ends = F.struct(
+        F.greatest(F.abs(rows), F.abs(columns)).alias("n"), rows.alias("dr"), columns.alias("dc"),
+        cell_row(a).alias("r"), cell_column(a).alias("c"), cell_level(a).alias("level"),
+    )
 
-    def at(i):
-        share = F.when(n == 0, F.lit(0.0)).otherwise(i / n)
-        row = cell_row(a) + F.floor((cell_row(b) - cell_row(a)) * share + 0.5)
-        column = cell_column(a) + F.floor((cell_column(b) - cell_column(a)) * share + 0.5)
-        return pack(cell_level(a), row, column)
+    def steps(e):
+        """What does not change from step to step is taken once per path, from ``ends``."""
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), n), at)
+        def at(i):
+            share = F.when(e["n"] == 0, F.lit(0.0)).otherwise(i / e["n"])
+            return pack(e["level"], e["r"] + F.floor(e["dr"] * share + 0.5), e["c"] + F.floor(e["dc"] * share + 0.5))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), e["n"]), at)
+
+    return F.get(F.transform(F.array(ends), steps), F.lit(0))
 
 
 #: Degrees by which a cell is taken as larger, so that rounding cannot put a point beside its cell.

@@ -259,13 +259,15 @@ def _(t):
         SELECT id, greatest(abs(r1 - r2), abs(k1 - k2)) AS steps, greatest(abs(r1 - r2), abs(k1 - k2)) + 1 AS path_cells, {pack_sql('r2', 'k2')} AS goal FROM q""",
 )
 def _(t):
-    rows = to_zone(t).withColumns({"a": sp.cell("lat", "lng", LEVEL), "b": sp.cell("z_lat", "z_lng", LEVEL)})
-    path = sp.grid_path("a", "b")
-    return rows.select(
+    rows = to_zone(t).select("id", sp.cell("lat", "lng", LEVEL).alias("a"), sp.cell("z_lat", "z_lng", LEVEL).alias("b"))
+    # Paths are up to half the grid long, so rows are dealt to all tasks; ``inline`` keeps one path per row.
+    dealt = rows.repartition(4 * t.spark.sparkContext.defaultParallelism)
+    paths = dealt.select("id", "a", "b", F.inline(F.array(F.struct(sp.grid_path("a", "b").alias("path")))))
+    return paths.select(
         "id",
         sp.grid_distance("a", "b").alias("steps"),
-        F.size(F.array_distinct(path)).cast("long").alias("path_cells"),
-        F.element_at(path, -1).alias("goal"),
+        F.size(F.array_distinct("path")).cast("long").alias("path_cells"),
+        F.element_at("path", -1).alias("goal"),
     )
 
 

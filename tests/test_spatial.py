@@ -201,3 +201,18 @@ def test_area_subtracts_holes(spark):
     ring = {k: sp.EARTH_M**2 * math.radians(w) * (math.sin(math.radians(n)) - math.sin(math.radians(s))) for k, w, s, n in [("out", 5, -20, -16), ("hole", 1, -19, -18)]}
     assert abs(got["strait"] / (ring["out"] - ring["hole"]) - 1) < 2e-3
     assert got["none"] == 0.0 and got["null"] is None and 0 < got["block"] < got["islands"] < got["country"]
+
+
+def test_long_grid_path_is_planned_once_per_row_and_spread(spark, tmp_path):
+    from lakeops.plans import load_all
+
+    a, b = (sp.pack(16, F.lit(r), F.lit(c)) for r, c in ((40, 900), (10, 5)))
+    row = spark.range(1).select(sp.grid_path(a, b).alias("p"), sp.grid_path(a, a).alias("own"), sp.grid_path(F.lit(None).cast("long"), b).alias("none")).first()
+    n = 895
+    want = [(16 << 56) + ((40 + math.floor(-30 * (i / n) + 0.5)) << 28) + 900 + math.floor(-895 * (i / n) + 0.5) for i in range(n + 1)]
+    assert row["p"] == want and len(row["own"]) == 1 and row["none"] is None
+    spark.createDataFrame([(1, 0), (90_000, 0), (7, None)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    df = load_all()["spatial_grid_distance_path"](spark, str(tmp_path))
+    assert "RoundRobinPartitioning" in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["steps"] + 1 == r["path_cells"] for r in df.collect()} == {1: True, 90_000: True}
