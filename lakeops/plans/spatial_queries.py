@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeops.functions.common import ieee_divide
 from lakeops.operators import spatial as sp
 from lakeops.plans.registry import query
 from lakeops.session import settle
@@ -118,7 +119,9 @@ VINCENTY = f"""WITH RECURSIVE {P}, {Z}, q AS (SELECT id, atan((1 - 1 / 298.25722
 @query("spatial_distance_ellipsoid", "G02", VINCENTY)
 def _(t):
     rows = to_zone(t).withColumns({"vincenty": sp.distance_ellipsoid(*ENDS), "sphere": sp.distance(*ENDS)})
-    return rows.select("id", F.round("vincenty", 2).alias("vincenty"), (F.abs(F.col("vincenty") / F.col("sphere") - 1) < 0.006).alias("agrees"))
+    # A point on the centre itself has 0 / 0, which agrees with nothing.
+    share = ieee_divide("vincenty", "sphere")
+    return rows.select("id", F.round("vincenty", 2).alias("vincenty"), (F.abs(share - 1) < 0.006).alias("agrees"))
 
 
 @query(

@@ -216,3 +216,12 @@ def test_long_grid_path_is_planned_once_per_row_and_spread(spark, tmp_path):
     df = load_all()["spatial_grid_distance_path"](spark, str(tmp_path))
     assert "RoundRobinPartitioning" in df._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["steps"] + 1 == r["path_cells"] for r in df.collect()} == {1: True, 90_000: True}
+
+
+def test_a_point_on_the_centre_has_no_share_of_distances(spark, tmp_path):
+    from lakeops.plans import load_all
+
+    spark.createDataFrame([(1, 0), (2, 0), (3, None)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    rows = load_all()["spatial_distance_ellipsoid"](spark, str(tmp_path)).collect()
+    assert {r["id"]: (r["vincenty"] == 0, r["agrees"]) for r in rows} == {1: (True, False), 2: (False, True)}
