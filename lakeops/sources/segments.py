@@ -48,6 +48,8 @@ HL7_ESCAPES = {"F": "|", "S": "^", "T": "&", "R": "~", "X0D": "\r", "E": "\\"}
 STAND_INS = "\u0001\u0002\u0003\u0004"
 #: Column of the release sign and separators of a message, in the order of the stand-ins.
 SIGNS = "signs"
+#: Column of a file's number.
+FILE_NO = "_no"
 
 
 def literal_pattern(sep: Column) -> Column:
@@ -169,7 +171,7 @@ MARKS = {"x12": ("S", 108), "hl7": ("S", 2), "edifact": ("N", 10)}
 
 
 def file_signs(spark: SparkSession, path, dialect: Dialect, **select) -> DataFrame:
-    """(_file, element, component, segment, release): the separators that each file states at its start.
+    """(_file, df_file_name, element, component, segment, release, _no): the separators that each file states at its start.
 
     The file is cut at a letter of the envelope's tags, so its first parts are short whether it has line
     ends or not, and blank lines before the envelope are in the first part.  The signs are looked for in
@@ -179,96 +181,104 @@ def file_signs(spark: SparkSession, path, dialect: Dialect, **select) -> DataFra
     first = Window.partitionBy(FILE).orderBy("_at")
     cut = raw_lines(spark, path, mark, **select).where(F.col(BLOCK) == 0)
     head = cut.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= parts)
-    text = head.groupBy(FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"], mark).alias("_t"))
+    text = head.groupBy(FILE, "df_file_name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"], mark).alias("_t"))
     clean = F.ltrim(F.regexp_replace("_t", "^\\x{FEFF}", ""), F.lit(" \t\r\n"))
     tags = {"x12": "ISA", "hl7": "^(MSH|FHS|BHS)", "edifact": "^UN[AB]"}
     message = F.concat(F.lit(f"no {dialect.name} envelope in "), F.col(FILE))
     known = F.when(clean.rlike(tags[dialect.name]), clean).when(clean == "", F.lit(None)).otherwise(F.raise_error(message))
-    found = text.select(FILE, known.alias("_t")).where("_t IS NOT NULL")
+    found = text.select(FILE, "df_file_name", known.alias("_t")).where("_t IS NOT NULL")
     signs = delimiters("_t", dialect)
     signs.setdefault("release", F.lit(None).cast("string"))
-    return found.select(FILE, *[signs[k].alias(k) for k in ("element", "component", "segment", "release")])
+    return _numbered(found.select(FILE, "df_file_name", *[signs[k].alias(k) for k in ("element", "component", "segment", "release")]), dialect)
 
 
-def _stitched(lines: DataFrame, end: str) -> DataFrame:
-    """``lines`` (cut at every ``end``) with those joined again whose ``end`` was released.
+def _numbered(signs: DataFrame, dialect: Dialect) -> DataFrame:
+    """The signs of each file with its number, written once."""
+    return settle(signs.select("*", F.monotonically_increasing_id().alias(FILE_NO)), f"{dialect.name}-signs")
 
-    A part is open when it ends in an odd number of release signs.  Whether the part before is open
-    is known within a split; of the split before, only its last part's state crosses tasks.  Only the
-    pieces of open segments are grouped.
+
+#: Parts of a split (2^14) and transactions (2^8) that are put in order together.
+PARTS, TRANSACTIONS = 14, 8
+
+
+def _placed(rows: DataFrame, dialect: Dialect) -> DataFrame:
+    """``txn_no`` of every part: how many transactions its file has begun up to it.
+
+    A part begins one if it has the start tag and the part before it is not open, which means that its
+    terminator was released.  Splits are cut into runs of parts, so that no task orders a whole split;
+    only counts and the state of the last part cross runs.
     """
-    signs = F.when(F.col("release") == " ", 0).otherwise(F.length("value") - F.length(F.rtrim("value", F.col("release"))))
-    rows = lines.withColumn("_open", signs % 2 == 1)
-    place = F.struct(F.col(BLOCK).alias("b"), F.col("_at").alias("a"))
-    inside = Window.partitionBy(FILE, BLOCK).orderBy("_at")
-    last = rows.groupBy(FILE, BLOCK).agg(F.max_by("_open", "_at").alias("_o"))
-    before = last.select(FILE, BLOCK, F.coalesce(F.lag("_o").over(Window.partitionBy(FILE).orderBy(BLOCK)), F.lit(False)).alias("_came"))
-    rows = rows.join(before, [FILE, BLOCK]).withColumn("_first", ~F.coalesce(F.lag("_open").over(inside), F.col("_came")))
-    rows = rows.withColumn("_own", F.last(F.when(F.col("_first"), place), ignorenulls=True).over(inside))
-    heads = rows.groupBy(FILE, BLOCK).agg(F.max("_own").alias("_h"))
-    carry = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(FILE, BLOCK, F.last("_h", ignorenulls=True).over(carry).alias("_earlier"))
-    rows = rows.join(heads, [FILE, BLOCK]).withColumn("_own", F.coalesce("_own", "_earlier"))
-    whole = rows.where("_first AND NOT _open")
-    columns = [c for c in lines.columns if c not in (BLOCK, "_at", "value")]
-    pieces = rows.where("NOT _first OR _open").groupBy(FILE, "_own").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "value")))["value"], end).alias("value"),
-        *[F.first(c).alias(c) for c in columns if c != FILE],
-    )
-    joined = pieces.select(*columns, F.col("_own.b").alias(BLOCK), F.col("_own.a").alias("_at"), "value")
-    return whole.select(*joined.columns).unionByName(joined)
+    run = [FILE_NO, BLOCK, "_run"]
+    inside = Window.partitionBy(*run).orderBy("_at")
+    if dialect.release:
+        rows = rows.withColumn("_before", F.lag("_open").over(inside))
+        known = F.col("_begins") & (F.col("_before") == F.lit(False))
+        rows = rows.withColumn("_sure", F.coalesce(known, F.lit(False))).withColumn("_asks", F.col("_begins") & F.col("_before").isNull()).drop("_before", "_begins")
+    else:
+        rows = rows.withColumn("_sure", F.col("_begins")).withColumn("_asks", F.lit(False)).withColumn("_open", F.lit(False)).drop("_begins")
+    per_run = rows.groupBy(*run).agg(F.count_if("_sure").alias("_n"), F.bool_or("_asks").alias("_first"), F.max_by("_open", "_at").alias("_last"))
+    order = Window.partitionBy(FILE_NO).orderBy(BLOCK, "_run")
+    came = F.coalesce(F.lag("_last").over(order), F.lit(False))
+    per_run = per_run.select(*run, "_n", (F.col("_first") & ~came).alias("_first"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_run.select(*run, "_first", F.coalesce(F.sum(F.col("_n") + F.col("_first").cast("long")).over(earlier), F.lit(0)).alias("_earlier"))
+    begins = F.col("_sure") | (F.col("_asks") & F.col("_first"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    txn = F.col("_earlier") + F.sum(F.when(begins, 1).otherwise(0)).over(upto)
+    return rows.join(offsets, run).select(FILE_NO, BLOCK, "_at", "value", txn.alias("txn_no"))
 
 
 def _read_files(spark: SparkSession, path, dialect: Dialect, line_sep, signs: DataFrame, **select) -> DataFrame:
-    """Transactions of the files that ``signs`` lists, all with the same line separator."""
-    lines = raw_lines(spark, path, line_sep, **select).drop("df_file_modified").join(signs.select(FILE, "element", "component", "release"), FILE)
-    if dialect.release:
-        lines = _stitched(lines, line_sep).withColumn("segment", F.lit(line_sep))
+    """Transactions of the files that ``signs`` lists, all with the same line separator.
+
+    Until they are one row per transaction, parts cross tasks as text under the number of their file.
+    """
+    element = F.col("element")
+    lines = raw_lines(spark, path, line_sep, **select).join(signs.select(FILE, FILE_NO, "element", "release"), FILE)
     text = F.trim("value", F.lit(" \t\r\n\ufeff"))
-    rows = lines.withColumn("_t", text).where("_t <> ''")
-    own_signs = []
+    seps = [dialect.tag_sep and F.lit(dialect.tag_sep), element]
+    begins = reduce(lambda a, b: a | b, [text.startswith(F.concat(F.lit(dialect.start), sep)) for sep in seps if sep is not None], text == dialect.start)
+    rows = lines.select(FILE_NO, BLOCK, F.shiftright("_at", PARTS).alias("_run"), "_at", "value", begins.alias("_begins"), *([_is_open().alias("_open")] if dialect.release else []))
+    if not dialect.release:
+        rows = rows.where(F.trim("value", F.lit(" \t\r\n\ufeff")) != "")
+    group = [FILE_NO, "_group"]
+    dealt = _placed(rows, dialect).withColumn("_group", F.shiftright("txn_no", TRANSACTIONS)).repartition(*group)
+    whole = dealt.groupBy(*group, "txn_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "value")))["value"], line_sep or "\n").alias("_text"))
+    told = whole.join(signs.select(FILE_NO, "df_file_name", "element", "component", "release"), FILE_NO)
+    kept = ["df_file_name", "component"]
+    hidden, pattern = F.col("_text"), F.lit("[\\r\\n]+") if line_sep is None else literal_pattern(F.lit(line_sep))
     if dialect.release:
-        seps = {k: F.col(k) for k in ("release", "segment", "element", "component")}
-        rows = rows.where(~F.col("_t").startswith("UNA")).withColumn("_t", hide_released(F.col("_t"), seps | {"signs": list(seps.values())}, dialect))
-        own_signs = [F.concat(*seps.values()).alias(SIGNS)]
-    rows = rows.withColumn("_p", _cut(F.col("_t"), literal_pattern(F.col("element")), dialect)).drop("value", "_t")
-    rows = rows.withColumn("_s", _named(F.col("_p"), F.col("element"), dialect)).drop("_p")
-    rows = rows.select(FILE, BLOCK, "_at", "df_file_name", "component", "_s", *own_signs)
-    kept = ["component", *([SIGNS] if own_signs else [])]
-    tag = F.col("_s.segment")
-    is_start = F.when(tag == dialect.start, 1).otherwise(0)
-    carried = [dialect.start, *dialect.envelope]
-
-    def own(t):
-        return F.when(tag == t, F.col("_s.elements"))
-
-    per_split = rows.groupBy(FILE, BLOCK).agg(
-        F.sum(is_start).alias("_starts"), *[F.max_by(own(t), F.when(tag == t, F.col("_at"))).alias(f"_c_{t}") for t in carried]
-    )
-    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.select(
-        FILE,
-        BLOCK,
-        F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_before"),
-        *[F.last(f"_c_{t}", ignorenulls=True).over(earlier).alias(f"_c_{t}") for t in carried],
-    )
-    # A window covers one split of a file, which maxPartitionBytes bounds.
-    upto = Window.partitionBy(FILE, BLOCK).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.join(offsets, [FILE, BLOCK]).withColumn("txn_no", F.col("_before") + F.sum(is_start).over(upto))
-    heads = {t: F.coalesce(F.last(own(t), ignorenulls=True).over(upto), F.col(f"_c_{t}")) for t in carried}
-    header = F.struct(*[h.alias(t) for t, h in heads.items()])
-    body = marked.withColumn("_header", F.when(tag == dialect.start, header)).where("txn_no > 0")
-    ordered = F.array_sort(F.collect_list(F.struct(BLOCK, "_at", "_s")))
-    grouped = body.groupBy(FILE, "df_file_name", "txn_no").agg(
-        ordered.alias("_all"), F.any_value("_header", ignoreNulls=True).alias("header"), *[F.any_value(c).alias(c) for c in kept]
-    )
-    return grouped.select(
-        "df_file_name",
-        *kept,
-        "txn_no",
-        "header",
-        _body(F.col("_all")["_s"], dialect).alias("segments"),
-    )
+        seps = {"release": F.col("release"), "segment": F.lit(line_sep), "element": element, "component": F.col("component")}
+        hidden = hide_released(hidden, seps | {"signs": list(seps.values())}, dialect)
+        told = told.withColumn(SIGNS, F.concat(*seps.values()))
+        kept.append(SIGNS)
+    raw = F.transform(F.split(hidden, pattern), lambda x: F.trim(x, F.lit(" \t\r\n\ufeff")))
+    own = F.filter(raw, lambda x: (x != "") & ~x.startswith("UNA")) if dialect.release else F.filter(raw, lambda x: x != "")
+    # As in ``parse_messages``, ``inline`` of one struct has Catalyst compute these once per transaction.
+    told = told.select(*group, "txn_no", *kept, "element", F.inline(F.array(F.struct(own.alias("_own"), literal_pattern(element).alias("_pattern")))))
+    parts = F.transform("_own", lambda x: _named(_cut(x, F.col("_pattern"), dialect), element, dialect))
+    parsed = told.select(*group, "txn_no", *kept, F.inline(F.array(F.struct(parts.alias("_s")))))
+
+    def last(tag):
+        return F.try_element_at(F.filter("_s", lambda x: x["segment"] == tag), F.lit(-1))["elements"].alias(f"_e_{tag}")
+
+    parsed = parsed.select("*", *[last(t) for t in dialect.envelope])
+    # Envelope segments behind a transaction's end hold for those after it.
+    carried = [f"_e_{t}" for t in dialect.envelope]
+    per_group = parsed.groupBy(*group).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("txn_no"))).alias(c) for c in carried])
+    before = Window.partitionBy(FILE_NO).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_group.select(*group, *[F.last(c, ignorenulls=True).over(before).alias(f"_c{c}") for c in carried])
+    inside = Window.partitionBy(*group).orderBy("txn_no").rowsBetween(Window.unboundedPreceding, -1)
+    heads = [F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c{c}")).alias(t) for c, t in zip(carried, dialect.envelope)]
+    header = F.struct(F.get("_s", F.lit(0))["elements"].alias(dialect.start), *heads)
+    found = parsed.join(earlier, group).select(*kept, "txn_no", header.alias("header"), _body(F.col("_s"), dialect).alias("segments"))
+    return found.where("txn_no > 0")
+
+
+def _is_open() -> Column:
+    """True for a part that ends in an odd number of release signs: its terminator was released."""
+    signs = F.when(F.col("release") == " ", 0).otherwise(F.length("value") - F.length(F.rtrim("value", F.col("release"))))
+    return signs % 2 == 1
 
 
 def _by_terminator(spark: SparkSession, path, dialect: Dialect, signs: DataFrame, default: str, **select) -> DataFrame:
@@ -280,24 +290,24 @@ def _by_terminator(spark: SparkSession, path, dialect: Dialect, signs: DataFrame
 
 def read_x12_files(spark: SparkSession, path, **select) -> DataFrame:
     """Transactions of X12 files; each file has the separators stated in its own envelope."""
-    return _by_terminator(spark, path, X12, settle(file_signs(spark, path, X12, **select), "x12-signs"), "~", **select)
+    return _by_terminator(spark, path, X12, file_signs(spark, path, X12, **select), "~", **select)
 
 
 def read_edifact_files(spark: SparkSession, path, **select) -> DataFrame:
     """Messages of EDIFACT files of any size, with or without line ends; each file has the signs of its UNA."""
-    return _by_terminator(spark, path, EDIFACT, settle(file_signs(spark, path, EDIFACT, **select), "edifact-signs"), "'", **select)
+    return _by_terminator(spark, path, EDIFACT, file_signs(spark, path, EDIFACT, **select), "'", **select)
 
 
 def read_tradacoms_files(spark: SparkSession, path, **select) -> DataFrame:
     """Messages of TRADACOMS files of any size; the signs are fixed."""
-    files = raw_lines(spark, path, "'", **select).select(FILE).distinct()
-    signs = files.select(FILE, *[v.alias(k) for k, v in delimiters(F.lit(""), TRADACOMS).items()])
+    files = raw_lines(spark, path, "'", **select).select(FILE, "df_file_name").distinct()
+    signs = _numbered(files.select("*", *[v.alias(k) for k, v in delimiters(F.lit(""), TRADACOMS).items()]), TRADACOMS)
     return _read_files(spark, path, TRADACOMS, "'", signs, **select)
 
 
 def read_hl7_files(spark: SparkSession, path, **select) -> DataFrame:
     """Messages of HL7 v2 files (segments end with CR, LF or both), each with its own separators."""
-    signs = settle(file_signs(spark, path, HL7, **select), "hl7-signs")
+    signs = file_signs(spark, path, HL7, **select)
     return _read_files(spark, path, HL7, None, signs, **select)
 
 

@@ -219,3 +219,29 @@ def test_references_are_resolved_in_their_own_bundle(spark):
     rows = resolve_references(df, "body", "id string, subject struct<reference: string>", "Observation", "subject.reference", "Patient")
     got = {(r["bundle_id"], r["df_full_url"], r["target"] and r["target"]["id"]) for r in rows.collect()}
     assert got == {("a", "o1", "p1"), ("a", "o2", None), ("b", "o3", "p2"), ("b", "u2", None), ("b", "o4", None)}
+
+
+@pytest.mark.parametrize("kind", ["x12", "edifact", "tradacoms", "hl7"])
+def test_files_in_runs_of_few_parts_like_whole_texts(spark, tmp_path, monkeypatch, kind):
+    # Runs of two parts and groups of two transactions: envelopes, counts and released ends cross them.
+    monkeypatch.setattr(sg, "PARTS", 1)
+    monkeypatch.setattr(sg, "TRANSACTIONS", 1)
+    texts = {
+        "x12": ["ISA*" + "*".join(["0"] * 14) + f"*P*:~GS*PO*{f}~" + "".join(f"ST*850*{i}~BEG*{i}~SE*3*{i}~" for i in range(7)) + "GE*1~GS*IN*9~ST*810*8~SE*2*8~IEA*1~" for f in (1, 2)],
+        "edifact": [f"UNA:+.? 'UNB+X+B{f}'" + "".join(f"UNH+{i}+O'FTX+a?'UNH+b??'BGM+{i}?''UNT+3'" for i in range(7)) + "UNZ+7'" for f in (1, 2)],
+        "tradacoms": [f"STX=A+B{f}'" + "".join(f"MHD={i}+I'SDT=a?'MHD=b??+{i}'MTR=3'" for i in range(7)) + "END=7'" for f in (1, 2)],
+        "hl7": [f"FHS|^~\\&|F{f}\r" + "".join(f"MSH|^~\\&|L{i}\rPID|{i}\r" for i in range(7)) for f in (1, 2)],
+    }[kind]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i} +%.txt").write_bytes(text.encode())
+    dialect = {"x12": sg.X12, "edifact": sg.EDIFACT, "tradacoms": sg.TRADACOMS, "hl7": sg.HL7}[kind]
+    read = {"x12": sg.read_x12_files, "edifact": sg.read_edifact_files, "tradacoms": sg.read_tradacoms_files, "hl7": sg.read_hl7_files}[kind]
+    whole = spark.createDataFrame([(f"{i} +%.txt", t) for i, t in enumerate(texts)], "df_file_name string, body string")
+
+    def rows(df):
+        return sorted((r["df_file_name"], r["txn_no"], json.dumps(r["header"].asDict()), [tuple(s) for s in r["segments"]]) for r in df.collect())
+
+    if kind == "hl7":  # FHS stands before the signs that a whole text is parsed by
+        assert [(r[1], json.loads(r[2])["FHS"][1]) for r in rows(read(spark, str(tmp_path)))] == [(i + 1, f"F{f}") for f in (1, 2) for i in range(7)]
+    else:
+        assert rows(read(spark, str(tmp_path))) == rows(sg.parse_messages(whole, "body", dialect))
