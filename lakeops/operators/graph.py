@@ -478,25 +478,36 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), chosen).distinct()
 
 
-def pair_similarity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Most neighbours of a vertex that are kept in one list.
+LISTED = 1 << 13
+
+
+def pair_similarity(edges: DataFrame, pairs: DataFrame, listed: int = LISTED) -> DataFrame:
     """Jaccard similarity of the neighbour sets of given pairs (a, b).
 
-    Only the neighbours of the end with the lower degree are listed, then looked up at
-    the other end, so a hub's neighbours are not expanded for each of its pairs.
+    The neighbour list of the end with the lower degree goes to the other end's list, as one row per
+    pair.  Where the other end is a hub of more than ``listed`` neighbours, they are looked up one by
+    one instead, so no list is longer than that and a hub's neighbours are not expanded for its pairs.
     """
     both = settle(both_ways(edges.select("src", "dst")), "similar-edges")
-    degree = both.groupBy("src").agg(F.count("*").alias("d"))
+    degree = settle(both.groupBy("src").agg(F.count("*").alias("d")), "similar-degrees")
     da = degree.select(F.col("src").alias("a"), F.col("d").alias("da"))
     db = degree.select(F.col("src").alias("b"), F.col("d").alias("db"))
     sized = settle(pairs.select("a", "b").distinct().join(da, "a", "left").join(db, "b", "left").fillna(0, ["da", "db"]), "similar-pairs")
     small_a = F.col("da") <= F.col("db")
-    ends = sized.select("a", "b", F.when(small_a, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(small_a, F.col("b")).otherwise(F.col("a")).alias("hi"))
-    listed = ends.join(both.select(F.col("src").alias("lo"), F.col("dst").alias("x")), "lo")
-    common = listed.join(both.select(F.col("src").alias("hi"), F.col("dst").alias("x")), ["hi", "x"], "left_semi")
+    ends = sized.select("*", F.when(small_a, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(small_a, F.col("b")).otherwise(F.col("a")).alias("hi"))
+    hub = F.greatest("da", "db") > listed
+    short = both.join(degree.where(F.col("d") <= listed), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("l"))
+    lows, highs = short.select(F.col("src").alias("lo"), F.col("l").alias("ll")), short.select(F.col("src").alias("hi"), F.col("l").alias("lh"))
+    by_list = ends.where(~hub).join(lows, "lo", "left").join(highs, "hi", "left")
+    few = by_list.select("a", "b", "da", "db", F.coalesce(F.size(F.array_intersect("lh", "ll")).cast("long"), F.lit(0)).alias("common"))
+    of_hubs = ends.where(hub)
+    looked = of_hubs.select("a", "b", "lo", "hi").join(both.select(F.col("src").alias("lo"), F.col("dst").alias("x")), "lo")
+    common = looked.join(both.select(F.col("src").alias("hi"), F.col("dst").alias("x")), ["hi", "x"], "left_semi")
     counts = common.groupBy("a", "b").agg(F.count("*").alias("common"))
-    full = sized.join(counts, ["a", "b"], "left").fillna(0, ["common"])
+    many = of_hubs.select("a", "b", "da", "db").join(counts, ["a", "b"], "left").fillna(0, ["common"])
     union = F.col("da") + F.col("db") - F.col("common")
-    return full.select("a", "b", "common", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("similarity"))
+    return few.unionByName(many).select("a", "b", "common", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("similarity"))
 
 
 def nearest(edges: DataFrame, node: int, k: int) -> DataFrame:

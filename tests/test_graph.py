@@ -233,3 +233,19 @@ def test_only_the_last_round_is_kept(spark):
         df = rounds.put(spark.range(i + 1))
     folder = shared_dir(spark).removeprefix("file:")
     assert df.count() == 3 and sum(n.startswith("kept-test-") for n in os.listdir(folder)) == 1
+
+
+def test_similarity_by_lists_and_by_looking_up_hubs(spark, random_graph):
+    pairs = [(a, b) for a, b in itertools.combinations(range(30), 2)] + [(0, 999), (None, 1)]
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(120)]
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(30)}
+    for v in near:
+        near[v].discard(v)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for most in (0, 7, 8192):
+        found = g.pair_similarity(df, spark.createDataFrame(pairs, "a long, b long"), listed=most).collect()
+        assert len(found) == len(pairs)
+        for r in found:
+            x, y = near.get(r["a"], set()), near.get(r["b"], set())
+            assert r["common"] == len(x & y) and r["similarity"] == pytest.approx(len(x & y) / len(x | y) if x | y else 0.0)
