@@ -249,3 +249,15 @@ def test_similarity_by_lists_and_by_looking_up_hubs(spark, random_graph):
         for r in found:
             x, y = near.get(r["a"], set()), near.get(r["b"], set())
             assert r["common"] == len(x & y) and r["similarity"] == pytest.approx(len(x & y) / len(x | y) if x | y else 0.0)
+
+
+def test_landmarks_share_a_row_of_bits(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)})
+    hops = g.both_ways(spark.createDataFrame(edges, "src long, dst long"))
+    marks = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "source long")
+    far = g.bfs(hops, marks).where("depth > 0").groupBy("id").agg(F.count("*").alias("r"), F.sum("depth").alias("s")).collect()
+    want = {x["id"]: x["r"] / x["s"] * min(1.0, x["r"] * 60 / 20 / 59) for x in far}
+    monkeypatch.setattr(g, "bfs", None)  # no row per vertex and landmark
+    got = {x["id"]: x["closeness"] for x in g.closeness_by_landmarks(hops, marks, 60).collect()}
+    assert got == pytest.approx(want)
