@@ -86,30 +86,32 @@ def count_paths(vertices: DataFrame, steps: Sequence[DataFrame], label: str) ->
 
 
 def _ranked(edges: DataFrame) -> DataFrame:
-    """Undirected pairs oriented from the lower to the higher (degree, id).
+    """(src, dst, d): undirected pairs oriented from the lower to the higher (degree, id), with the degree of ``dst``.
 
     No vertex keeps more than sqrt(2 * edges) outgoing pairs, whatever its degree.
     """
-    both = both_ways(edges.select("src", "dst"))
-    degree = both.groupBy("src").agg(F.count("*").alias("d"))
-    a = degree.select("src", F.col("d").alias("da"))
-    b = degree.select(F.col("src").alias("dst"), F.col("d").alias("db"))
-    full = both.join(a, "src").join(b, "dst")
-    return full.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("src") < F.col("dst"))))
+    plain = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    degree = plain.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    da = degree.select(F.col("id").alias("a"), F.col("d").alias("da"))
+    db = degree.select(F.col("id").alias("b"), F.col("d").alias("db"))
+    full = plain.join(da, "a").join(db, "b")
+    low, high = F.struct(F.col("da").alias("d"), F.col("a").alias("id")), F.struct(F.col("db").alias("d"), F.col("b").alias("id"))
+    ends = F.struct(F.least(low, high).alias("l"), F.greatest(low, high).alias("h"))
+    return full.select(F.inline(F.array(ends))).select(F.col("l.id").alias("src"), F.col("h.id").alias("dst"), F.col("h.d").alias("d"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles (u, v, w), each once.
+    """Triangles (u, v, w), each once, in the order of (degree, id).
 
-    For every oriented pair the short out-lists of both ends are intersected; a hub has
-    many incoming but few outgoing pairs, so lists stay below sqrt(2 * edges).
+    For every oriented pair (u, v) the neighbours of u that rank after v are intersected with the
+    out-list of v; a hub has many incoming but few outgoing pairs, so lists stay below sqrt(2 * edges).
     """
-    pairs = settle(_ranked(edges).select("src", "dst"), "oriented")
-    lists = pairs.groupBy("src").agg(F.collect_list("dst").alias("outs"))
-    u = lists.select("src", F.col("outs").alias("ou"))
-    v = lists.select(F.col("src").alias("dst"), F.col("outs").alias("ov"))
-    met = pairs.join(u, "src").join(v, "dst")
-    return met.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.explode(F.array_intersect("ou", "ov")).alias("w"))
+    outs = F.array_sort(F.collect_list(F.struct("d", "dst")))["dst"]
+    lists = settle(_ranked(edges).groupBy("src").agg(outs.alias("outs")), "oriented")
+    each = lists.select(F.col("src").alias("u"), "outs", F.posexplode("outs").alias("i", "v")).where(F.col("i") + 1 < F.size("outs"))
+    later = each.select("u", "v", F.slice("outs", F.col("i") + 2, F.size("outs")).alias("later"))
+    met = later.join(lists.select(F.col("src").alias("v"), F.col("outs").alias("ov")), "v")
+    return met.select("u", "v", F.explode(F.array_intersect("later", "ov")).alias("w"))
 
 
 def triangle_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -261,3 +261,14 @@ def test_landmarks_share_a_row_of_bits(spark, monkeypatch):
     monkeypatch.setattr(g, "bfs", None)  # no row per vertex and landmark
     got = {x["id"]: x["closeness"] for x in g.closeness_by_landmarks(hops, marks, 60).collect()}
     assert got == pytest.approx(want)
+
+
+def test_triangles_of_a_random_graph_ship_shortened_lists(spark):
+    rnd = random.Random(9)
+    edges = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(300)}
+    both = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
+    want = {frozenset(t) for t in itertools.combinations(range(40), 3) if all(p in both for p in itertools.combinations(t, 2))}
+    df = g.triangles(spark.createDataFrame(sorted(edges), "src long, dst long"))
+    assert "slice(" in df._jdf.queryExecution().analyzed().toString()
+    got = [frozenset((r["u"], r["v"], r["w"])) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
