@@ -15,16 +15,17 @@ def overlap_join(df: DataFrame, keys: Sequence[str], row_id: str, start: str, en
 
     Output: ``first_id < second_id`` plus the keys.  Of two that overlap, the later start lies in the
     other interval.  An interval is placed in the cells it touches of a width that follows its own
-    length, at most six, and each start is looked up in its one cell of every width that occurs.  So
+    length, at most six, and each start is looked up in its one cell of every width that occurs; widths
+    are powers of 16, so that a start is copied for few of them.  So
     minutes and years meet without a common bucket: a start is paired with few intervals that do not
     hold it, and a pair comes out once.  Empty intervals overlap what strictly surrounds them.
     """
-    # The width is the power of two above a quarter of the length, given by its exponent.
+    # The width is the power of 16 above a quarter of the length, given by its exponent to the base 2.
     length = F.col(end) - F.col(start)
-    power = F.greatest(F.length(F.bin(length)).cast("int") - 2, F.lit(0))
+    power = F.greatest(F.ceil((F.length(F.bin(length)) - 2) / 4).cast("int") * 4, F.lit(0))
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     holders = rows.where(length > 0).withColumn("_p", power)
-    # At most 62 numbers.
+    # At most 17 numbers.
     powers = sorted(r[0] for r in holders.select("_p").distinct().collect())
 
     def cell(at, p):

@@ -127,3 +127,12 @@ def test_top_k_cuts_keys_before_the_shuffle_for_large_k(spark):
     top = top_k(df, ["k"], ["-id"], 2000)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert top.count() == 4000 and top.where("k = 0").agg(F.min("id")).first()[0] == 4998 - 2 * 1999
+
+
+def test_overlap_starts_are_copied_for_few_widths(spark):
+    rows = [(i, "k", 1000 * i, 1000 * i + 2**i) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, e long")
+    pairs = overlap_join(df, ["k"], "id", "s", "e")
+    assert "[0,4,8,12,16,20,24,28]" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] < b[3] and b[2] < a[3])
+    assert sorted((r["first_id"], r["second_id"]) for r in pairs.collect()) == want
