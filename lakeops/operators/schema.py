@@ -127,10 +127,13 @@ def column_profile(
 ) -> DataFrame:
     """Per column: rows, nulls, distinct values, min and max as text.
 
-    Exact distinct counts multiply each row by the number of columns; with ``sketch_bits`` they are
-    estimates, made in the same pass as the rest.
+    Exact distinct counts multiply each row by the number of columns, in tasks that have an equal share
+    of the rows; with ``sketch_bits`` they are estimates, made in the same pass as the rest.
     """
     columns = list(columns or [c for c in df.columns if c not in by])
+    if distinct and sketch_bits is None:
+        # Dealt to all tasks, so that the one that reads a file does not hold all its values.
+        df = df.select(*dict.fromkeys([*by, *columns])).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     facts = ["n_rows", "nulls", *(["distinct_values"] if distinct else []), "min_value", "max_value"]
     aggs = []
     for c in columns:

@@ -33,3 +33,10 @@ def test_detected_schema_with_sketches(spark):
     got = {r["column_name"]: (r["data_type"], r["nulls"], r["distinct_values"]) for r in found.collect()}
     assert got["s"] == ("string", 0, 90) and got["d"] == ("double", 4_990, 10) and abs(got["id"][2] - 5_000) <= 200
     assert {r["column_name"]: r["distinct_values"] for r in detect_schema(df).collect()} == {"id": 5_000, "s": 90, "d": 10}
+
+
+def test_exact_profile_deals_its_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "x int, y string").coalesce(1)
+    found = c.column_profile(df)
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["column_name"]: (r["n_rows"], r["nulls"], r["distinct_values"]) for r in found.collect()} == {"x": (3, 1, 2), "y": (3, 0, 2)}
