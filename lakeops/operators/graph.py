@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators.ordered import rank_columns, row_numbers
-from lakeops.session import Rounds, cut_lineage, settle
+from lakeops.session import Rounds, cut_lineage, settle, shuffle_tasks
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     lists = settle(_ranked(edges).groupBy("src").agg(outs.alias("outs")), "oriented")
     each = lists.select(F.col("src").alias("u"), "outs", F.posexplode("outs").alias("i", "v")).where(F.col("i") + 1 < F.size("outs"))
     later = each.select("u", "v", F.slice("outs", F.col("i") + 2, F.size("outs")).alias("later"))
-    met = later.join(lists.select(F.col("src").alias("v"), F.col("outs").alias("ov")), "v")
+    # Lists of one vertex are alike and shrink in the shuffle; by its size alone tasks would be merged to too few.
+    met = later.repartition(shuffle_tasks(edges.sparkSession), "v").join(lists.select(F.col("src").alias("v"), F.col("outs").alias("ov")), "v")
     return met.select("u", "v", F.explode(F.array_intersect("later", "ov")).alias("w"))
 
 
@@ -510,7 +511,8 @@ def pair_similarity(edges: DataFrame, pairs: DataFrame, listed: int = LISTED) ->
     hub = F.greatest("da", "db") > listed
     short = both.join(degree.where(F.col("d") <= listed), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("l"))
     lows, highs = short.select(F.col("src").alias("lo"), F.col("l").alias("ll")), short.select(F.col("src").alias("hi"), F.col("l").alias("lh"))
-    by_list = ends.where(~hub).join(lows, "lo", "left").join(highs, "hi", "left")
+    carried = ends.where(~hub).join(lows, "lo", "left").repartition(shuffle_tasks(edges.sparkSession), "hi")
+    by_list = carried.join(highs, "hi", "left")
     few = by_list.select("a", "b", "da", "db", F.coalesce(F.size(F.array_intersect("lh", "ll")).cast("long"), F.lit(0)).alias("common"))
     of_hubs = ends.where(hub)
     looked = of_hubs.select("a", "b", "lo", "hi").join(both.select(F.col("src").alias("lo"), F.col("dst").alias("x")), "lo")
