@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.operators.ordered import rank_columns, row_numbers
+from lakeops.operators.ordered import default_slices, rank_columns, row_numbers
 from lakeops.session import Rounds, cut_lineage, settle, shuffle_tasks
 
 
@@ -561,59 +561,74 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0,
     so two neighbours seldom swap.  Equal gains go to the smaller community id.  Rounds end
     when a full turn (both halves) raises modularity by less than ``least_gain``, and levels
     when merging no longer helps; a turn that lowers it is not taken.
+
+    Only edges of the half that may move are walked.  They lie in ranges of their start, so that
+    its links to one community are mostly summed before they cross tasks; a hub spans several ranges.
     """
-    hops = settle(both_ways(edges.select("src", "dst", "weight")), "community-edges")
-    assigned = cut_lineage(vertices.select("id", F.col("id").alias("community")))
+    spark = vertices.sparkSession
+    merging, ranged, half, taken, tried, groups = (Rounds(spark, f"community-{n}") for n in ("edges", "ranges", "half", "taken", "tried", "groups"))
+    hops = merging.put(both_ways(edges.select("src", "dst", "weight")))
+    assigned = groups.put(vertices.select("id", F.col("id").alias("community")))
     m2 = hops.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
     if not m2:
+        merging.drop()
         return assigned
     reached = None
 
     def quality(hops: DataFrame, state: DataFrame) -> float:
         a = state.select(F.col("id").alias("src"), F.col("c").alias("ca"))
         b = state.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
-        inside = F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))
-        per = hops.join(a, "src").join(b, "dst").groupBy("ca").agg(F.sum("weight").alias("k"), inside.alias("inside"))
-        return per.agg(F.sum(F.col("inside") / m2 - resolution * (F.col("k") / m2) * (F.col("k") / m2))).first()[0]
+        inside = hops.join(a, "src").join(b, "dst").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+        share = F.col("tot") / m2
+        spread = state.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(share * share).alias("spread"))
+        return inside.crossJoin(spread).select(F.col("inside") / m2 - resolution * F.col("spread")).first()[0]
 
     def half_turn(hops: DataFrame, state: DataFrame, r: int) -> DataFrame:
+        # The turn's number is a row and not a literal, or every turn would compile its own code.
+        turn = F.broadcast(spark.range(r // 2, r // 2 + 1, 1, 1).select(F.col("id").cast("int").alias("turn")))
+        in_turn = F.pmod(F.xxhash64("id", "turn"), F.lit(2)) == r % 2
         totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = hops.where("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst")
-        links = near.groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
-        own = state.select("id", "k", F.col("c").alias("old"))
-        stay = state.select("id", "c", F.lit(0.0).alias("w"))
-        options = links.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own, "id").join(totals, "c")
-        others = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+        near = hops.where("src <> dst").withColumnRenamed("src", "id").join(turn, in_turn).join(state.select(F.col("id").alias("dst"), "c"), "dst")
+        stay = state.join(turn, in_turn).select("id", "c", F.lit(0.0).alias("weight"), "k", F.lit(True).alias("own"))
+        links = near.select("id", "c", "weight", "k", F.lit(False).alias("own")).unionByName(stay)
+        options = links.groupBy("id", "c").agg(F.sum("weight").alias("w"), F.max("k").alias("k"), F.max("own").alias("own")).join(totals, "c")
+        others = F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
         best = options.withColumn("g", gain).groupBy("id").agg(
             F.max(F.struct("g", (-F.col("c")).alias("nc"))).alias("b"),
-            F.max(F.when(F.col("c") == F.col("old"), F.col("g"))).alias("g0"),
-            F.first("old").alias("old"),
-            F.first("k").alias("k"),
+            F.max(F.when(F.col("own"), F.col("g"))).alias("g0"),
+            F.max(F.when(F.col("own"), F.col("c"))).alias("old"),
+            F.max("k").alias("k"),
         )
-        moves = (F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2) & (F.col("b.g") > F.col("g0"))
-        return cut_lineage(best.select("id", "k", F.when(moves, -F.col("b.nc")).otherwise(F.col("old")).alias("c")))
+        moved = best.select("id", "k", F.when(F.col("b.g") > F.col("g0"), -F.col("b.nc")).otherwise(F.col("old")).alias("c"))
+        return moved.unionByName(state.join(turn, ~in_turn).select("id", "k", "c"))
 
     while True:
-        state = cut_lineage(hops.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")).withColumn("c", F.col("id")))
-        at, turn = quality(hops, state), 0
+        state = taken.put(hops.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")).withColumn("c", F.col("id")))
+        of_start = hops.join(state.select(F.col("id").alias("src"), "k"), "src")
+        dealt = ranged.put(of_start.repartitionByRange(default_slices(hops), "src", "dst"))
+        at, turn = quality(dealt, state), 0
         while True:
             # Both halves are picked by the hash of the same number, so each vertex has one turn.
-            moved = half_turn(hops, half_turn(hops, state, 2 * turn), 2 * turn + 1)
-            now = quality(hops, moved)
+            first = half.put(half_turn(dealt, state, 2 * turn))
+            moved = tried.put(half_turn(dealt, first, 2 * turn + 1))
+            now = quality(dealt, moved)
             if now > at:
-                state = moved
+                state, taken, tried = moved, tried, taken
             if now < at + least_gain:
                 break
             at, turn = now, turn + 1
         if reached is not None and at < reached + least_gain:
-            return assigned
+            break
         reached = at
         merged = state.select(F.col("id").alias("community"), F.col("c").alias("new"))
-        assigned = cut_lineage(
+        assigned = groups.put(
             assigned.join(merged, "community", "left").select("id", F.coalesce("new", "community").alias("community"))
         )
         a = state.select(F.col("id").alias("src"), F.col("c").alias("ca"))
         b = state.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
-        grouped = hops.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        hops = settle(grouped.agg(F.sum("weight").alias("weight")), "community-edges")
+        grouped = dealt.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        hops = merging.put(grouped.agg(F.sum("weight").alias("weight")))
+    for rounds in (merging, ranged, half, taken, tried):
+        rounds.drop()
+    return assigned

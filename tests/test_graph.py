@@ -1,12 +1,15 @@
 """Graph jobs against the published values of the 34-member club graph (Zachary 1977)."""
 
 import itertools
+import os
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeops.operators import graph as g
+from lakeops.session import shared_dir
 
 # The 78 friendships, vertex -> higher neighbours.
 CLUB = {
@@ -135,6 +138,74 @@ def test_communities_raise_modularity(club):
     assert row["members"] == 34 and 2 <= row["groups"] <= 8 and row["modularity"] > 0.3
 
 
+def plain_communities(links, ids, halves, resolution, least_gain):
+    """The rule of ``communities`` row by row; ``links`` has both directions, ``halves`` the half of (vertex, turn)."""
+    m2, assigned, reached = sum(links.values()), {v: v for v in ids}, None
+
+    def shares(c, k):
+        tot = defaultdict(float)
+        for v in k:
+            tot[c[v]] += k[v]
+        return tot
+
+    while True:
+        k = defaultdict(float)
+        for (a, _), w in links.items():
+            k[a] += w
+
+        def quality(c):
+            inside = sum(w for (a, b), w in links.items() if c[a] == c[b])
+            return inside / m2 - resolution * sum((t / m2) ** 2 for t in shares(c, k).values())
+
+        c = {v: v for v in k}
+        at, turn = quality(c), 0
+        while True:
+            moved = dict(c)
+            for half in (0, 1):
+                now, tot = dict(moved), shares(moved, k)
+                for v in (v for v in k if halves[v, turn] == half):
+                    w = defaultdict(float, {now[v]: 0.0})
+                    for (a, b), x in links.items():
+                        if a == v != b:
+                            w[now[b]] += x
+                    gain = {o: round(w[o] - resolution * k[v] * (tot[o] - (k[v] if o == now[v] else 0.0)) / m2, 9) for o in w}
+                    best = max(w, key=lambda o: (gain[o], -o))
+                    if gain[best] > gain[now[v]]:
+                        moved[v] = best
+            new = quality(moved)
+            c = moved if new > at else c
+            if new < at + least_gain:
+                break
+            at, turn = new, turn + 1
+        if reached is not None and at < reached + least_gain:
+            return assigned
+        reached = at
+        assigned = {v: c.get(g, g) for v, g in assigned.items()}
+        merged = defaultdict(float)
+        for (a, b), w in links.items():
+            merged[c[a], c[b]] += w
+        links = merged
+
+
+def test_communities_follow_the_rule_and_leave_one_table(spark):
+    rnd = random.Random(11)
+    # Two crowds with a hub each, a few links between them, a pair apart and a vertex without edges.
+    pairs = {(a, b) for n in (0, 12) for a in range(n, n + 12) for b in range(a + 1, n + 12) if a == n or rnd.random() < 0.2}
+    pairs |= {tuple(sorted(rnd.sample(range(24), 2))) for _ in range(6)} | {(70, 71)}
+    edges = [(a, b, float(rnd.randrange(1, 9))) for a, b in sorted(pairs)]
+    ids = [*range(24), 70, 71, 80]
+    picked = spark.createDataFrame([(v, t) for v in ids for t in range(40)], "id long, turn int").select("id", "turn", F.pmod(F.xxhash64("id", "turn"), F.lit(2)).alias("half"))
+    halves = {(r["id"], r["turn"]): r["half"] for r in picked.collect()}
+    both = {(x, y): w for a, b, w in edges for x, y in ((a, b), (b, a))}
+    vertices, table = spark.createDataFrame([(v,) for v in ids], "id long"), spark.createDataFrame(edges, "src long, dst long, weight double")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = by_id(g.communities(vertices, table, 1.0, 0.005), "community")
+    assert found == plain_communities(both, ids, halves, 1.0, 0.005) and len(set(found.values())) >= 4
+    # States and edges of past turns and levels are gone (each turn left two tables before).
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 @pytest.fixture(scope="module")
 def random_graph():
     rnd = random.Random(5)
