@@ -1,15 +1,19 @@
 """Graph jobs against the published values of the 34-member club graph (Zachary 1977)."""
 
+import glob
 import itertools
 import os
 import random
-from collections import defaultdict
+import tempfile
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeops.operators import graph as g
-from lakeops.session import shared_dir
+from lakeops.operators import walks
+from lakeops.session import CLEANUP, settle, shared_dir
 
 # The 78 friendships, vertex -> higher neighbours.
 CLUB = {
@@ -206,6 +210,104 @@ def test_communities_follow_the_rule_and_leave_one_table(spark):
     assert len(set(os.listdir(folder)) - before) == 1
 
 
+def shortest_ways(pairs, ids):
+    """(distance, number of shortest paths) by (from, to), and betweenness by its definition."""
+    out, far = defaultdict(set), {}
+    for a, b in pairs:
+        out[a].add(b)
+    for s in ids:
+        level, far[s, s] = {s: 1}, (0, 1)
+        while level:
+            new = defaultdict(int)
+            for v, k in level.items():
+                for w in out[v]:
+                    if (s, w) not in far:
+                        new[w] += k
+            depth = far[s, next(iter(level))][0] + 1
+            far |= {(s, w): (depth, k) for w, k in new.items()}
+            level = new
+    score = dict.fromkeys(ids, 0.0)
+    for (s, e), (d, k) in far.items():
+        for v in ids:
+            if v not in (s, e) and (s, v) in far and (v, e) in far and far[s, v][0] + far[v, e][0] == d:
+                score[v] += far[s, v][1] * far[v, e][1] / k
+    n = len(ids)
+    return far, {v: x / ((n - 1) * (n - 2)) for v, x in score.items()}
+
+
+@pytest.fixture(scope="module")
+def parted(spark):
+    """Directed graph of several parts, with a hub, a loop, repeats and a vertex without edges."""
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(110)] + [(50, v) for v in range(51, 75)] + [(v, 50) for v in range(51, 75, 2)]
+    pairs += [(51, 52), (90, 91), (91, 90), (91, 91), (91, 90)] + [(i, i + 1) for i in range(100, 104)]
+    ids = [*range(40), *range(50, 75), 90, 91, *range(100, 105), 500]
+    return pairs, ids, spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(v,) for v in ids], "id long")
+
+
+@pytest.mark.parametrize("held", [g.HELD, 0])
+def test_walks_in_tasks_and_by_tables_agree_with_the_definition(spark, parted, held):
+    pairs, ids, hops, vertices = parted
+    far, between = shortest_ways(pairs, ids)
+    assert by_id(g.betweenness(vertices, hops, lanes=10, at_once=80, held=held), "score") == pytest.approx(between)
+
+
+def test_small_buffers_give_the_same_walks(parted, monkeypatch):
+    """Hubs with more neighbours than a buffer has room for, levels that are sent and levels that are fetched."""
+    pairs, ids, _, _ = parted
+    edges = sorted({(a, b) for a, b in pairs if a != b} | {(b, a) for a, b in pairs if a != b})
+    degree = defaultdict(int, Counter(a for a, _ in edges))
+    order = sorted({a for a, _ in edges}, key=lambda v: (-degree[v], v))
+    near = [sorted(order.index(b) for a, b in edges if a == v) for v in order]
+    net = walks.Net.of(walks.Lists.of(np.array([len(x) for x in near]), np.array(sum(near, []), np.int32)))
+    assert net.ins is net.outs and len(set(net.part)) == 4
+    far, between = shortest_ways(edges, order)
+    n = len(order)
+    for words, most, send in ((1, 1, 1), (2, 8, 0), (64, 1 << 17, 1 << 30)):
+        monkeypatch.setattr(walks, "WORDS", most)
+        monkeypatch.setattr(walks, "EDGES", max(4, most))
+        monkeypatch.setattr(walks, "SEND", send)
+        r, s = walks.distance_sums(net, np.arange(min(n, 64)), words)
+        assert [*r] == [sum(a == order[v] != b and order.index(b) < 64 for a, b in far) for v in range(n)]
+        assert [*s] == [sum(d for (a, b), (d, _) in far.items() if a == order[v] and order.index(b) < 64) for v in range(n)]
+        found = walks.dependencies(net, np.arange(n)) / ((n - 1) * (n - 2))
+        assert [*found] == pytest.approx([between[v] for v in order])
+
+
+def test_walks_in_tasks_shuffle_no_state(club, monkeypatch):
+    """All sources' states were written and shuffled every round."""
+    monkeypatch.setattr(g.Rounds, "put", None)
+    assert round(by_id(g.betweenness(club.vertices, club.hops()), "score")[0], 4) == 0.4376
+
+
+def test_states_of_walks_by_tables_are_bounded_by_the_graph(spark, monkeypatch):
+    """The state grew with sources times vertices."""
+    rows, n = [], 70
+
+    class Counted(g.Rounds):
+        def put(self, df):
+            out = super().put(df)
+            rows.append((self.name, out.count()))
+            return out
+
+    monkeypatch.setattr(g, "Rounds", Counted)
+    vertices = spark.range(n)
+    hops = g.both_ways(spark.createDataFrame([(v, v % 3) for v in range(3, n)] + [(0, 1), (1, 2)], "src long, dst long"))
+    g.betweenness(vertices, hops, lanes=35, held=0)
+    states = [k for name, k in rows if name.endswith("-round")]
+    assert len(states) > 6 and max(states) <= n
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        return {f for d in spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()).split(",") for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*.data")}
+
+    before, conf = files(), spark.conf.get(CLEANUP)
+    table = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    left = files() - before
+    assert table.count() == 7 and files() - before and not left and spark.conf.get(CLEANUP) == conf
+
+
 @pytest.fixture(scope="module")
 def random_graph():
     rnd = random.Random(5)
