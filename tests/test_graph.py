@@ -250,6 +250,9 @@ def test_walks_in_tasks_and_by_tables_agree_with_the_definition(spark, parted, h
     pairs, ids, hops, vertices = parted
     far, between = shortest_ways(pairs, ids)
     assert by_id(g.betweenness(vertices, hops, lanes=10, at_once=80, held=held), "score") == pytest.approx(between)
+    dist = {v: [d for (s, e), (d, _) in far.items() if s == v != e] for v in ids}
+    close = {v: len(d) / sum(d) * (len(d) / (len(ids) - 1)) if d else 0.0 for v, d in dist.items()}
+    assert by_id(g.all_closeness(vertices, hops, words=2, held=held), "closeness") == pytest.approx(close)
 
 
 def test_small_buffers_give_the_same_walks(parted, monkeypatch):
@@ -277,6 +280,7 @@ def test_small_buffers_give_the_same_walks(parted, monkeypatch):
 def test_walks_in_tasks_shuffle_no_state(club, monkeypatch):
     """All sources' states were written and shuffled every round."""
     monkeypatch.setattr(g.Rounds, "put", None)
+    assert round(by_id(g.all_closeness(club.vertices, club.hops()), "closeness")[0], 4) == 0.5690
     assert round(by_id(g.betweenness(club.vertices, club.hops()), "score")[0], 4) == 0.4376
 
 
@@ -294,8 +298,9 @@ def test_states_of_walks_by_tables_are_bounded_by_the_graph(spark, monkeypatch):
     vertices = spark.range(n)
     hops = g.both_ways(spark.createDataFrame([(v, v % 3) for v in range(3, n)] + [(0, 1), (1, 2)], "src long, dst long"))
     g.betweenness(vertices, hops, lanes=35, held=0)
+    g.all_closeness(vertices, hops, words=1, held=0)
     states = [k for name, k in rows if name.endswith("-round")]
-    assert len(states) > 6 and max(states) <= n
+    assert len(states) > 12 and max(states) <= n
 
 
 def test_written_tables_leave_no_shuffle_files(spark):
