@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.operators import walks
+from lakeops.operators import moves, walks
 from lakeops.operators.ordered import default_slices, rank_columns, row_numbers
 from lakeops.session import Rounds, cut_lineage, settle, shuffle_tasks
 
@@ -641,7 +641,14 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
     return sizes.withColumn("modularity", per.agg(q).scalar())
 
 
-def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6) -> DataFrame:
+#: Most vertices whose communities are kept in arrays by the driver and sent to every task (12 bytes a vertex in each half turn).
+NUMBERED = 1 << 22
+
+#: Edges of one block of neighbour lists, about; a block has whole lists, so a hub may make it larger.
+BLOCK = 1 << 20
+
+
+def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6, numbered: int = NUMBERED) -> DataFrame:
     """(id, community): local moves that raise modularity, then the same on merged vertices.
 
     In a round only one half of the vertices, picked by a hash of id and round, may move,
@@ -649,17 +656,136 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0,
     when a full turn (both halves) raises modularity by less than ``least_gain``, and levels
     when merging no longer helps; a turn that lowers it is not taken.
 
-    Only edges of the half that may move are walked.  They lie in ranges of their start, so that
-    its links to one community are mostly summed before they cross tasks; a hub spans several ranges.
+    The edges are dealt to tasks as blocks of neighbour lists.  A half turn is one pass over them: tasks get the
+    communities of all vertices as an array and give back who moves.  With more than ``numbered`` vertices
+    or ids that are no whole numbers, communities are tables as well.
     """
     spark = vertices.sparkSession
-    merging, ranged, half, taken, tried, groups = (Rounds(spark, f"community-{n}") for n in ("edges", "ranges", "half", "taken", "tried", "groups"))
+    merging, blocks = Rounds(spark, "community-edges"), Rounds(spark, "community-blocks")
     hops = merging.put(both_ways(edges.select("src", "dst", "weight")))
-    assigned = groups.put(vertices.select("id", F.col("id").alias("community")))
     m2 = hops.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
     if not m2:
         merging.drop()
-        return assigned
+        return Rounds(spark, "community-groups").put(vertices.select("id", F.col("id").alias("community")))
+    kind, ends = vertices.schema["id"].dataType.simpleString(), {hops.schema[x].dataType.simpleString() for x in ("src", "dst")}
+    if ends | {kind} not in ({"bigint"}, {"int"}) or hops.select("src").distinct().count() > numbered:
+        return communities_by_tables(vertices, merging, hops, m2, resolution, least_gain)
+    m2, reached, first, found = float(m2), None, None, None
+    while True:
+        ids, k, dealt = listed_edges(hops, blocks)
+        if first is None:
+            first, found = ids, ids
+        c, at = settle_down(dealt, ids, k, kind == "bigint", m2, resolution, least_gain)
+        if reached is not None and at < reached + least_gain:
+            break
+        reached = at
+        found = ids[c[np.searchsorted(ids, found)]]
+        hops = merging.put(merged_edges(dealt, ids, c, hops.schema["src"].dataType.simpleString()))
+    for rounds in (merging, blocks):
+        rounds.drop()
+    of = spark.createDataFrame(pa.table({"id": first, "_c": found})).select(F.col("id").cast(kind).alias("id"), F.col("_c").cast(kind).alias("_c"))
+    rows = vertices.select("id").join(of, "id", "left").select("id", F.coalesce("_c", "id").alias("community"))
+    return Rounds(spark, "community-groups").put(rows)
+
+
+def listed_edges(hops: DataFrame, blocks: Rounds) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Sorted ids of the vertices, the sums of their weights, and blocks of their neighbour lists by numbers in that order."""
+    spark = hops.sparkSession
+    sums = hops.groupBy(F.col("src").cast("long").alias("id")).agg(F.sum(F.col("weight").cast("double")).alias("k")).toArrow()
+    ids, k = sums["id"].to_numpy(), sums["k"].to_pandas().to_numpy(np.float64)
+    order = np.argsort(ids)
+    ids, k = ids[order], k[order]
+    sent = spark.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Numbers take half the room of ids, so each batch is turned into them at once.
+        found = [(np.searchsorted(sent.value, b.column(0)).astype(np.int32), np.searchsorted(sent.value, b.column(1)).astype(np.int32), b.column(2).to_pandas().to_numpy(np.float64)) for b in batches]
+        if found:
+            src, to, w = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(src, kind="stable")
+            src, to, w = src[order], to[order], w[order]
+            rows, sizes = np.unique(src, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, sizes.astype(np.int32), to, w)], names=["rows", "sizes", "to", "weights"])
+
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-hops.count() // BLOCK))
+    lists = hops.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).repartition(parts, "src")
+    dealt = blocks.put(lists.mapInArrow(run, "rows binary, sizes binary, to binary, weights binary"))
+    sent.destroy()
+    return ids, k, dealt
+
+
+def block_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, sizes, to, weights) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate((np.int32, np.int32, np.int32, np.float64)))
+
+
+def settle_down(dealt: DataFrame, ids: np.ndarray, k: np.ndarray, wide: bool, m2: float, resolution: float, least_gain: float) -> tuple[np.ndarray, float]:
+    """Communities by number after the turns of one level, and the modularity that ended them."""
+    context = dealt.sparkSession.sparkContext
+    fixed = context.broadcast((ids, k))
+
+    def half_turn(c: np.ndarray, r: int) -> tuple[np.ndarray, float]:
+        """The communities after a half turn, and the modularity before it."""
+        tot = moves.totals(c, k)
+        sent = context.broadcast((c, tot))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (ids, k), (c, tot), weight = fixed.value, sent.value, 0.0
+            for rows, sizes, to, weights in block_arrays(batches):
+                # Both halves are picked by the hash of the same number, so each vertex has one turn.
+                may = moves.halves(ids[rows], wide, r // 2) == r % 2
+                weight += moves.inside(rows, sizes, to, weights, c) if r % 2 == 0 else 0.0
+                who, where = moves.moves(rows, sizes, to, weights, may, c, k, tot, m2, resolution)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(where), pa.nulls(len(who), pa.float64())], names=["no", "c", "inside"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([weight])], names=["no", "c", "inside"])
+
+        told = dealt.mapInArrow(run, "no int, c int, inside double").toArrow()
+        sent.destroy()
+        who, where = told["no"].to_numpy(), told["c"].to_numpy()
+        new = c.copy()
+        new[who[who >= 0]] = where[who >= 0]
+        share = tot / m2
+        return new, float(np.nansum(told["inside"].to_pandas())) / m2 - resolution * float(np.nansum(share * share))
+
+    state, turn = np.arange(len(ids), dtype=np.int32), 0
+    first, at = half_turn(state, 0)
+    while True:
+        moved, _ = half_turn(first, 2 * turn + 1)
+        # The pass that tells how good the turn was also makes the next one's first half.
+        first, now = half_turn(moved, 2 * turn + 2)
+        if now > at:
+            state = moved
+        if now < at + least_gain:
+            fixed.destroy()
+            return state, at
+        at, turn = now, turn + 1
+
+
+def merged_edges(dealt: DataFrame, ids: np.ndarray, c: np.ndarray, kind: str) -> DataFrame:
+    """Edges between communities, those inside of one as a loop."""
+    sent = dealt.sparkSession.sparkContext.broadcast((ids, c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = sent.value
+        for block in block_arrays(batches):
+            a, b, w = moves.between(*block, c)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(w, from_pandas=True)], names=["src", "dst", "weight"])
+
+    found = dealt.mapInArrow(run, "src long, dst long, weight double").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return found.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+
+
+def communities_by_tables(vertices: DataFrame, merging: Rounds, hops: DataFrame, m2: float, resolution: float, least_gain: float) -> DataFrame:
+    """The same where the communities of the vertices do not fit into a task.
+
+    Only edges of the half that may move are walked.  They lie in ranges of their start, so that
+    its links to one community are mostly summed before they cross tasks; a hub spans several ranges.
+    """
+    spark = vertices.sparkSession
+    ranged, half, taken, tried, groups = (Rounds(spark, f"community-{n}") for n in ("ranges", "half", "taken", "tried", "groups"))
+    assigned = groups.put(vertices.select("id", F.col("id").alias("community")))
     reached = None
 
     def quality(hops: DataFrame, state: DataFrame) -> float:

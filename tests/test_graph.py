@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeops.operators import graph as g
-from lakeops.operators import walks
+from lakeops.operators import moves, walks
 from lakeops.session import CLEANUP, settle, shared_dir
 
 # The 78 friendships, vertex -> higher neighbours.
@@ -313,6 +313,42 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert table.count() == 7 and files() - before and not left and spark.conf.get(CLEANUP) == conf
 
 
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_communities_in_arrays_equal_those_by_tables_and_turns_write_none(spark, monkeypatch, kind):
+    """Each half turn wrote a table."""
+    rnd = random.Random(4)
+    edges = [(a, b, None if rnd.random() < 0.1 else rnd.randrange(-1, 12) / 2) for a, b in (rnd.sample(range(-15, 15), 2) for _ in range(110))]
+    edges += [(40, 41, None), (41, 42, None), (40, 42, 0.0), (7, 7, 3.0), (None, 3, 1.0)]
+    table = spark.createDataFrame(edges, f"src {kind}, dst {kind}, weight double")
+    vertices = spark.createDataFrame([(v,) for v in [*range(-15, 14), 13, 40, 41, 42, 77, None]], f"id {kind}")
+    want = Counter(g.communities(vertices, table, 1.0, 0.001, numbered=0).collect())
+    puts = []
+
+    class Counted(g.Rounds):
+        def put(self, df):
+            puts.append(self.name)
+            return super().put(df)
+
+    monkeypatch.setattr(g, "Rounds", Counted)
+    found = g.communities(vertices, table, 1.0, 0.001)
+    assert found.schema["community"].dataType == found.schema["id"].dataType
+    assert Counter(found.collect()) == want and len({c for _, c in want}) >= 5
+    assert set(puts) == {"community-edges", "community-blocks", "community-groups"} and len(puts) <= 9
+
+
+def test_halves_and_rounding_are_those_of_spark(spark):
+    rnd = random.Random(6)
+    ids = np.array([rnd.randrange(-(2**31), 2**31) for _ in range(300)])
+    rows = spark.createDataFrame([(int(v), int(v)) for v in ids], "wide long, narrow int")
+    turn = F.lit(7).cast("int")
+    half = rows.select(F.pmod(F.xxhash64("wide", turn), F.lit(2)), F.pmod(F.xxhash64("narrow", turn), F.lit(2))).collect()
+    assert [tuple(r) for r in half] == [*zip(moves.halves(ids, True, 7), moves.halves(ids, False, 7))]
+    x = [rnd.uniform(-1, 1) * 10.0 ** rnd.randrange(-12, 13) for _ in range(3000)]
+    x += [round(rnd.uniform(-50, 50), 8) + s * 5e-10 for _ in range(1000) for s in (-1, 1)] + [rnd.randrange(1 << 40) / 2**20 for _ in range(500)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(F.round("x", 9)).collect()]
+    assert [*moves.rounded(np.array(x))] == want
+
+
 @pytest.fixture(scope="module")
 def random_graph():
     rnd = random.Random(5)
