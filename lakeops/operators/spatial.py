@@ -7,8 +7,11 @@ the exact test, so no join compares every point with every site.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -339,24 +342,49 @@ def grid_distance(a, b) -> Column:
     return F.greatest(F.abs(cell_row(a) - cell_row(b)), F.least(dx, side - dx))
 
 
-def grid_path(a, b) -> Column:
-    """Array of cells from a to b, one step at a time (not across the date line)."""
-    rows, columns = cell_row(b) - cell_row(a), cell_column(b) - cell_column(a)
-    ends = F.struct(
-        F.greatest(F.abs(rows), F.abs(columns)).alias("n"), rows.alias("dr"), columns.alias("dc"),
-        cell_row(a).alias("r"), cell_column(a).alias("c"), cell_level(a).alias("level"),
-    )
+#: Cells of paths that are worked out at a time, and sent as one batch.
+PATH_CELLS = 1 << 17
+
+
+def _span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns from cell a to cell b."""
+    mask = 2**INDEX_BITS - 1
+    return ((b >> INDEX_BITS) & mask) - ((a >> INDEX_BITS) & mask), (b & mask) - (a & mask)
+
 
-    def steps(e):
-        """What does not change from step to step is taken once per path, from ``ends``."""
+def _paths(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cells of the paths of ``n`` steps from ``a`` to ``b``, one path after the other."""
+    rows, columns = _span(a, b)
+    sizes = n + 1
+    share = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)) / np.repeat(np.maximum(n, 1), sizes)
+    cells = np.floor(np.repeat(rows.astype(np.float64), sizes) * share + 0.5).astype(np.int64)
+    cells <<= INDEX_BITS
+    cells += np.floor(np.repeat(columns.astype(np.float64), sizes) * share + 0.5).astype(np.int64)
+    cells += np.repeat(a, sizes)
+    return cells
 
-        def at(i):
-            share = F.when(e["n"] == 0, F.lit(0.0)).otherwise(i / e["n"])
-            return pack(e["level"], e["r"] + F.floor(e["dr"] * share + 0.5), e["c"] + F.floor(e["dc"] * share + 0.5))
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), e["n"]), at)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _grid_paths(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for ends in batches:
+        null = ~np.logical_and(*(x.is_valid().to_numpy(zero_copy_only=False) for x in ends))
+        a, b = (np.where(null, 0, x.fill_null(0).to_numpy(zero_copy_only=False)) for x in ends)
+        n = np.max(np.abs(_span(a, b)), axis=0)
+        at, lo = np.concatenate([[0], np.cumsum(n + 1)]), 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PATH_CELLS, "right")) - 1)
+            cells = _paths(a[lo:hi], b[lo:hi], n[lo:hi])
+            yield pa.ListArray.from_arrays(pa.array((at[lo : hi + 1] - at[lo]).astype(np.int32)), pa.array(cells), mask=pa.array(null[lo:hi]))
+            lo = hi
 
-    return F.get(F.transform(F.array(ends), steps), F.lit(0))
+
+def grid_path(a, b) -> Column:
+    """Array of cells from a to b, one step at a time (not across the date line).
+
+    Paths of a long way have tens of thousands of cells, so they are worked out as arrays and
+    cross to Spark some at a time.
+    """
+    return _grid_paths(col(a), col(b))
 
 
 #: Degrees by which a cell is taken as larger, so that rounding cannot put a point beside its cell.

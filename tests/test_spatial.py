@@ -218,6 +218,28 @@ def test_long_grid_path_is_planned_once_per_row_and_spread(spark, tmp_path):
     assert {r["id"]: r["steps"] + 1 == r["path_cells"] for r in df.collect()} == {1: True, 90_000: True}
 
 
+def test_grid_paths_are_worked_out_as_arrays_in_several_batches(spark):
+    """A path's cells went through an interpreted function one by one."""
+    rnd = random.Random(12)
+    ends = [[(16 << 56) + (rnd.randrange(1 << 16) << 28) + rnd.randrange(1 << 16) for _ in "ab"] for _ in range(8)]
+    ends += [[(16 << 56) + (rnd.randrange(300) << 28) + rnd.randrange(300) for _ in "ab"] for _ in range(40)]
+    ends += [[ends[0][0]] * 2, [None, ends[0][0]], [ends[1][0], None], [None, None], [(3 << 56) + (7 << 28) + 1, (3 << 56) + (1 << 28) + 7]]
+    rnd.shuffle(ends)
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "i int, a long, b long").coalesce(1).withColumn("p", sp.grid_path("a", "b"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    found = {r["i"]: r["p"] for r in df.collect()}
+
+    def path(a, b):
+        if a is None or b is None:
+            return None
+        (r, c), (dr, dc) = (a >> 28 & (1 << 28) - 1, a & (1 << 28) - 1), ((b >> 28 & (1 << 28) - 1) - (a >> 28 & (1 << 28) - 1), (b & (1 << 28) - 1) - (a & (1 << 28) - 1))
+        n = max(abs(dr), abs(dc))
+        return [(a >> 56 << 56) + (r + math.floor(dr * (i / max(n, 1)) + 0.5) << 28) + c + math.floor(dc * (i / max(n, 1)) + 0.5) for i in range(n + 1)]
+
+    assert sum(len(p) for p in found.values() if p) > 2 * sp.PATH_CELLS
+    assert all(found[i] == path(a, b) for i, (a, b) in enumerate(ends))
+
+
 def test_a_point_on_the_centre_has_no_share_of_distances(spark, tmp_path):
     from lakeops.plans import load_all
 
