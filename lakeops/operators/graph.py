@@ -581,33 +581,65 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 LISTED = 1 << 13
 
 
-def pair_similarity(edges: DataFrame, pairs: DataFrame, listed: int = LISTED) -> DataFrame:
+#: Neighbours of low ends that are carried to the other ends at a time, at least; also so many times the edges.
+CARRIED, CARRIED_EDGES = 1 << 26, 2
+
+
+def pair_similarity(edges: DataFrame, pairs: DataFrame, listed: int = LISTED, carried: int | None = None) -> DataFrame:
     """Jaccard similarity of the neighbour sets of given pairs (a, b).
 
     The neighbour list of the end with the lower degree goes to the other end's list, as one row per
     pair.  Where the other end is a hub of more than ``listed`` neighbours, they are looked up one by
     one instead, so no list is longer than that and a hub's neighbours are not expanded for its pairs.
+
+    All lists on their way are many times the edges.  So with more than ``carried`` neighbours on their way (by
+    default twice the edges) the pairs are worked on in slices, one after the other, and only one slice's shuffle files are on disk.
     """
-    both = settle(both_ways(edges.select("src", "dst")), "similar-edges")
+    spark = edges.sparkSession
+    kept = Rounds(spark, "similar-edges")
+    both = kept.put(both_ways(edges.select("src", "dst")))
     degree = settle(both.groupBy("src").agg(F.count("*").alias("d")), "similar-degrees")
     da = degree.select(F.col("src").alias("a"), F.col("d").alias("da"))
     db = degree.select(F.col("src").alias("b"), F.col("d").alias("db"))
     sized = settle(pairs.select("a", "b").distinct().join(da, "a", "left").join(db, "b", "left").fillna(0, ["da", "db"]), "similar-pairs")
     small_a = F.col("da") <= F.col("db")
     ends = sized.select("*", F.when(small_a, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(small_a, F.col("b")).otherwise(F.col("a")).alias("hi"))
+    # All lists and the hubs' edges are written once, as every slice reads them; the edges themselves go then.
+    short = settle(both.join(degree.where(F.col("d") <= listed), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("l")), "similar-lists")
+    long_ = settle(both.join(degree.where(F.col("d") > listed), "src", "left_semi").select("src", "dst"), "similar-hubs")
     hub = F.greatest("da", "db") > listed
-    short = both.join(degree.where(F.col("d") <= listed), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("l"))
-    lows, highs = short.select(F.col("src").alias("lo"), F.col("l").alias("ll")), short.select(F.col("src").alias("hi"), F.col("l").alias("lh"))
-    carried = ends.where(~hub).join(lows, "lo", "left").repartition(shuffle_tasks(edges.sparkSession), "hi")
+    # A neighbour that is looked up crosses tasks with its pair, about five times the bytes of one in a list.
+    load = F.sum(F.least("da", "db") * F.when(hub, 5).otherwise(1))
+    way = sized.agg(load.alias("way"), F.bool_or(hub).alias("hubs")).crossJoin(degree.agg(F.sum("d").alias("edges"))).first()
+    kept.drop()
+    slices = -(-(way["way"] or 0) // (carried or max(CARRIED, CARRIED_EDGES * (way["edges"] or 0))))
+    found = [
+        similarity_slice(ends.where(~hub), ends.where(hub) if way["hubs"] else None, short, long_, k, slices) for k in range(max(1, slices))
+    ]
+    if slices <= 1:
+        return found[0]
+    return reduce(lambda x, y: x.unionByName(y), [settle(f, "similar") for f in found])
+
+
+def similarity_slice(lists: DataFrame, hubs: DataFrame | None, short: DataFrame, long_: DataFrame, k: int, slices: int) -> DataFrame:
+    """Similarity of the pairs of slice ``k``: those by lists go by their high end, those of hubs by both ends."""
+
+    def in_slice(df: DataFrame, *keys: str) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == k) if slices > 1 else df
+
+    lows, highs = short.select(F.col("src").alias("lo"), F.col("l").alias("ll")), in_slice(short, "src").select(F.col("src").alias("hi"), F.col("l").alias("lh"))
+    carried = in_slice(lists, "hi").join(lows, "lo", "left").repartition(shuffle_tasks(short.sparkSession), "hi")
     by_list = carried.join(highs, "hi", "left")
-    few = by_list.select("a", "b", "da", "db", F.coalesce(F.size(F.array_intersect("lh", "ll")).cast("long"), F.lit(0)).alias("common"))
-    of_hubs = ends.where(hub)
-    looked = of_hubs.select("a", "b", "lo", "hi").join(both.select(F.col("src").alias("lo"), F.col("dst").alias("x")), "lo")
-    common = looked.join(both.select(F.col("src").alias("hi"), F.col("dst").alias("x")), ["hi", "x"], "left_semi")
-    counts = common.groupBy("a", "b").agg(F.count("*").alias("common"))
-    many = of_hubs.select("a", "b", "da", "db").join(counts, ["a", "b"], "left").fillna(0, ["common"])
+    counted = by_list.select("a", "b", "da", "db", F.coalesce(F.size(F.array_intersect("lh", "ll")).cast("long"), F.lit(0)).alias("common"))
+    if hubs is not None:
+        of_hubs = in_slice(hubs, "a", "b")
+        both = long_.unionByName(short.select("src", F.explode("l").alias("dst")))
+        looked = of_hubs.select("a", "b", "lo", "hi").join(both.select(F.col("src").alias("lo"), F.col("dst").alias("x")), "lo")
+        common = looked.join(long_.select(F.col("src").alias("hi"), F.col("dst").alias("x")), ["hi", "x"], "left_semi")
+        counts = common.groupBy("a", "b").agg(F.count("*").alias("common"))
+        counted = counted.unionByName(of_hubs.select("a", "b", "da", "db").join(counts, ["a", "b"], "left").fillna(0, ["common"]))
     union = F.col("da") + F.col("db") - F.col("common")
-    return few.unionByName(many).select("a", "b", "common", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("similarity"))
+    return counted.select("a", "b", "common", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("similarity"))
 
 
 def nearest(edges: DataFrame, node: int, k: int) -> DataFrame:

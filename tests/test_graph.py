@@ -465,6 +465,20 @@ def test_similarity_by_lists_and_by_looking_up_hubs(spark, random_graph):
             assert r["common"] == len(x & y) and r["similarity"] == pytest.approx(len(x & y) / len(x | y) if x | y else 0.0)
 
 
+@pytest.mark.parametrize("most", [5, 8192])
+def test_similarity_in_slices_keeps_one_slice_on_its_way(spark, random_graph, monkeypatch, most):
+    """All pairs' lists were shuffled at once."""
+    written = []
+    monkeypatch.setattr(g, "settle", lambda df, name="settled": (written.append(name), settle(df, name))[1])
+    pairs = [(a, b) for a, b in itertools.combinations(range(30), 2)] + [(0, 999), (None, 1), (3, None), (4, 4)]
+    df, wanted = spark.createDataFrame(random_graph, "src long, dst long"), spark.createDataFrame(pairs, "a long, b long")
+    whole = Counter(g.pair_similarity(df, wanted, listed=most).collect())
+    assert "similar" not in written and len(whole) == len(pairs)
+    load = sum(min(sum(v in e for e in {frozenset(e) for e in random_graph}) for v in p) for p in pairs)
+    found = g.pair_similarity(df, wanted, listed=most, carried=-(-load // 3))
+    assert Counter(found.collect()) == whole and 3 <= written.count("similar") <= 15
+
+
 def test_landmarks_share_a_row_of_bits(spark, monkeypatch):
     rnd = random.Random(3)
     edges = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)})
